@@ -184,16 +184,16 @@ def breakdown(counts: DataFrame, n_rows: Column, labels: DataFrame, minimum: flo
     """
     shares = counts.withColumn("percent", F.col("n") / n_rows * 100.0)
     entry = F.when(
-        F.col("percent") >= minimum, F.struct((-F.col("n")).alias("minus"), "first_row", "aa", "percent")
+        F.col("percent") >= minimum, F.struct((-F.col("n")).alias("minus"), "first_row", "aa", "n", "percent")
     )
     per_column = shares.groupBy("col").agg(
         F.sum("n").alias("filled"), F.array_sort(F.collect_list(entry)).alias("entries")
     )
-    residues = F.transform("entries", lambda e: F.struct(e["aa"].alias("aa"), e["percent"].alias("percent")))
+    residues = F.transform("entries", lambda e: F.struct(*[e[c].alias(c) for c in ("aa", "n", "percent")]))
     return labels.join(per_column, "col", "left").select(
         "label",
         F.coalesce((n_rows - F.col("filled")) / n_rows * 100.0, F.lit(100.0)).alias("gap_percent"),
-        F.coalesce(residues, F.array().cast("array<struct<aa:string,percent:double>>")).alias("residues"),
+        residues.alias("residues"),
     )
 
 
@@ -205,9 +205,12 @@ def positions_breakdown(counts: DataFrame, n_rows: Column, labels: DataFrame, po
 
 def profile_text(breakdown_rows: DataFrame) -> DataFrame:
     """``(label, profile)`` such as ``K  45.0% | R  12.0%``, or ``-`` without residues."""
-    parts = F.transform("residues", lambda r: F.format_string("%s %5.1f%%", r["aa"], r["percent"]))
+    # format_number rounds the binary value half to even, unlike format_string.
+    parts = F.transform(
+        "residues", lambda r: F.concat(r["aa"], F.lit(" "), F.lpad(F.format_number(r["percent"], 1), 5, " "), F.lit("%"))
+    )
     return breakdown_rows.select(
-        "label", F.when(F.size("residues") == 0, "-").otherwise(F.concat_ws(" | ", parts)).alias("profile")
+        "label", F.when(F.coalesce(F.size("residues"), F.lit(0)) < 1, "-").otherwise(F.concat_ws(" | ", parts)).alias("profile")
     )
 
 

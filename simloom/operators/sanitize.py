@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from simloom.functions.headers import clean_header
 from simloom.functions.residues import clean_sequence, masked_symbols, stripped_symbols
 from simloom.plans.numbering import dense_index, id_bucket, running_total
+from simloom.plans.runtime import materialized
 
 
 def cleaned_records(records: DataFrame) -> DataFrame:
@@ -68,14 +69,15 @@ def unique_headers(sequences: DataFrame) -> DataFrame:
     already a header are skipped. Output order is by first appearance of the header, then of the
     sequence. Numbering runs in buckets, so one header may hold most of the sequences.
     """
+    light = sequences.select("header", "first_ord")
     ranked = dense_index(
-        sequences, "rank", [id_bucket("first_ord")], [F.col("first_ord")], within=["header"], start=1
+        light, "rank", [id_bucket("first_ord")], [F.col("first_ord")], within=["header"], start=1
     )
     stem = F.when(F.col("header").endswith("_"), F.col("header")).otherwise(
         F.concat("header", F.lit("_"))
     )
     heads = (
-        sequences.groupBy("header")
+        light.groupBy("header")
         .agg(F.min("first_ord").alias("head_ord"), F.count(F.lit(1)).alias("members"))
         .withColumn("stem", stem)
     )
@@ -94,7 +96,8 @@ def unique_headers(sequences: DataFrame) -> DataFrame:
     named = _skip_taken(shared, heads).withColumn(
         "new_header", F.concat("stem", F.col("number").cast("string"))
     )
-    return single.unionByName(named.drop("number")).drop("stem", "used", "start", "rank", "slot", "head_ord")
+    renamed = single.unionByName(named.drop("number")).select("first_ord", "ord", "new_header")
+    return sequences.join(renamed, "first_ord")
 
 
 def _skip_taken(shared: DataFrame, heads: DataFrame) -> DataFrame:
@@ -131,7 +134,8 @@ def _skip_taken(shared: DataFrame, heads: DataFrame) -> DataFrame:
 
 def sanitized_records(records: DataFrame) -> DataFrame:
     """Clean, deduplicate and rename records: ``(ord, header, sequence)``."""
-    unique = unique_headers(distinct_sequences(cleaned_records(records)))
+    # Texts are cleaned and written once; numbering then reads only the small columns.
+    unique = unique_headers(materialized(distinct_sequences(cleaned_records(records))))
     return unique.select("ord", F.col("new_header").alias("header"), "sequence")
 
 

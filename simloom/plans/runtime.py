@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,19 +24,29 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so that a lost executor never loses the result.
+def scratch_folder(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The shared folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting falls back to a scratch folder.
+    Only a local session without that setting falls back to a scratch folder of its own.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-            folder = tempfile.mkdtemp(prefix="simloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = _LOCAL_SCRATCH.setdefault("folder", tempfile.mkdtemp(prefix="simloom-"))
+    return folder.rstrip("/")
+
+
+_LOCAL_SCRATCH: dict[str, str] = {}
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing the rows to the shared folder once and reading them back.
+
+    Unlike a checkpoint this computes the rows once, keeps them columnar (later readers prune
+    columns and push filters) and gives the planner their true size. A lost executor only
+    rereads files.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/simloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
