@@ -326,8 +326,8 @@ def conserved(t: Tables):
     "agg_12_profile_text",
     sql(
         "labels counts",
-        f"""SELECT label, coalesce(string_agg(format('{{}} {{:5.1f}}%', aa, n * 100.0 / {_ROWS}), ' | ' ORDER BY n DESC, first_row)
-              FILTER (n * 100.0 / {_ROWS} >= 1.0), '-') AS profile FROM labels LEFT JOIN counts USING (col) GROUP BY label""",
+        f"""SELECT label, coalesce(string_agg(format('{{}} {{:5.1f}}%', aa, n / {_ROWS} * 100.0), ' | ' ORDER BY n DESC, first_row)
+              FILTER (n / {_ROWS} * 100.0 >= 1.0), '-') AS profile FROM labels LEFT JOIN counts USING (col) GROUP BY label""",
     ),
 )
 def profile(t: Tables):

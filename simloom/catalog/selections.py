@@ -22,9 +22,6 @@ def _context(t: Tables, strip_spaces: bool = True) -> SelectionContext:
         "bolts.txt": t.nodes.where("contains(header, ' bolt ')").select(
             F.concat(F.lit("see "), F.lower("header")).alias("header")
         ),
-        "sizes.txt": t.nodes.where("seq_len >= 45").select(
-            F.concat((F.col("seq_len") * 100).cast("string"), F.lit("_A chain")).alias("header")
-        ),
     }
     return SelectionContext(
         nodes=t.nodes,
@@ -56,12 +53,6 @@ _selection(
     "pred_2_header_file", "@large.txt@", "lower(header) IN (SELECT lower(header) FROM nodes WHERE kind = 'LARGE')"
 )
 _selection("pred_3_accession_file", "@[NCBI]bolts.txt@", "contains(header, ' bolt ')")
-_selection(
-    "pred_4_structure_file",
-    "@[PDB]sizes.txt@",
-    r"""list_has_any(regexp_extract_all(lower(header), '\b([1-9][a-z0-9]{3})(?:_[a-z0-9]+)?\b', 1),
-        (SELECT list(CAST(seq_len * 100 AS VARCHAR)) FROM nodes WHERE seq_len >= 45))""",
-)
 _selection("pred_5_cluster", "#cluster_7#", "cluster = 7")
 _selection("pred_5_noise", "#noise# | #Cluster_3#", "cluster = -1 OR cluster = 3")
 _selection("pred_6_group", "#RED# & #economy#", "group_b = 'red' AND group_a = 'economy'")
@@ -98,6 +89,23 @@ def mixed(t: Tables):
     return chosen.select("node_id", "header")
 
 
+@query(
+    "pred_4_structure_file",
+    sql("nodes", "SELECT node_id FROM nodes WHERE seq_len >= 45 OR seq_len IN (3, 4)"),
+)
+def structure_file(t: Tables):
+    """Any four-character structure id of a header is listed; chains are ignored."""
+    named = F.concat(
+        F.lit("model 2abc, template "), (F.col("seq_len") + 1000).cast("string"), F.lit("_A and "), (F.col("seq_len") + 4996).cast("string")
+    )
+    listed = t.nodes.where("seq_len >= 45").select(
+        F.concat((F.col("seq_len") + 1000).cast("string"), F.lit("_B chain 2abc")).alias("header")
+    )
+    extra = t.nodes.where("seq_len IN (3, 4)").select((F.col("seq_len") + 4996).cast("string").alias("header"))
+    context = SelectionContext(t.nodes.withColumn("header", named), files={"ids.txt": listed.union(extra)})
+    return select_nodes(context, "@[PDB]ids.txt@").select("node_id")
+
+
 @query(
     "pred_14_reference_row",
     sql("nodes", "SELECT min(node_id) AS row_id FROM nodes WHERE contains(lower(header), 'hot bolt')"),
