@@ -209,12 +209,12 @@ def leiden_labels(
     resolution: float = 1.0,
     seed: int = 42,
     max_levels: int = 10,
-    max_rounds: int = 20,
+    max_rounds: int = 8,
 ) -> DataFrame:
     """``(node_id, label)`` by modularity optimisation; nodes without edges are noise.
 
-    Nodes move in parallel to the neighbouring community with the best gain; a seeded half of
-    them may move per round, which keeps neighbours from swapping forever. Communities then
+    Nodes move in parallel to the neighbouring community with the best gain; a seeded part of
+    them waits in each round, which keeps neighbours from swapping forever. Communities then
     become the nodes of the next, smaller level. As a last step every community is split into
     its connected parts, so all results are connected.
     """
@@ -258,7 +258,7 @@ def leiden_labels(
 def _local_moves(level: DataFrame, resolution: float, seed: int, max_rounds: int) -> DataFrame | None:
     """Communities ``(node_id, label)`` of one level, or None if no node wants to move.
 
-    A level ends once fewer than one node in a hundred wants to move; what is left is settled
+    A level ends once fewer than one node in twenty wants to move; what is left is settled
     at the next level, where a node is a whole community.
     """
     both = level.select(
@@ -278,7 +278,7 @@ def _local_moves(level: DataFrame, resolution: float, seed: int, max_rounds: int
     state = strength.withColumn("label", F.col("node_id"))
     any_moved = False
     for turn in range(max_rounds):
-        sizes = state.groupBy("label").agg(F.sum("k").alias("mass"))
+        sizes = state.groupBy("label").agg(F.sum("k").alias("mass"), F.count(F.lit(1)).alias("n"))
         near = outer.join(state.select(F.col("node_id").alias("other"), "label"), "other")
         near = near.select("node_id", "label", "k", "w", F.lit(False).alias("stays"))
         own = state.select("node_id", "label", "k", F.lit(0.0).alias("w"), F.lit(True).alias("stays"))
@@ -289,10 +289,14 @@ def _local_moves(level: DataFrame, resolution: float, seed: int, max_rounds: int
         gain = F.col("inside") - F.lit(resolution) * F.col("k") * mass / F.lit(total)
         best = options.join(sizes, "label").withColumn("gain", gain).groupBy("node_id").agg(
             F.max("k").alias("k"),
-            F.max(F.struct("gain", (-F.col("label")).alias("minus"))).alias("best"),
-            F.max(F.when(F.col("stays"), F.struct("gain", "label"))).alias("home"),
+            F.max(F.struct("gain", (-F.col("label")).alias("minus"), "n")).alias("best"),
+            F.max(F.when(F.col("stays"), F.struct("gain", "label", "n"))).alias("home"),
         )
-        may_move = F.pmod(F.xxhash64("node_id", F.lit(seed * 1000 + turn)), F.lit(2)) == 0
+        # Two single nodes never swap: only the one with the higher label moves. Otherwise a
+        # seeded quarter of the nodes waits, so that groups do not chase each other.
+        single = (F.col("best.n") == 1) & (F.col("home.n") == 1)
+        wait = F.pmod(F.xxhash64("node_id", F.lit(seed * 1000 + turn)), F.lit(4)) == 0
+        may_move = F.when(single, -F.col("best.minus") < F.col("home.label")).otherwise(~wait)
         better = F.col("best.gain") > F.col("home.gain") + 1e-9
         decided = materialized(
             best.select(
@@ -306,7 +310,7 @@ def _local_moves(level: DataFrame, resolution: float, seed: int, max_rounds: int
         wants, moved = decided.agg(F.count_if("wants"), F.count_if("moved")).first()
         any_moved = any_moved or moved > 0
         state = decided.select("node_id", "k", "label")
-        if wants <= count // 100 and (moved or not wants or turn > 2):
+        if wants <= count // 20 and (moved or not wants or turn > 2):
             break
     return state.select("node_id", "label") if any_moved else None
 
