@@ -8,9 +8,11 @@ from simloom.catalog import (  # noqa: F401  (modules register their queries on
     graphs,
     metadata,
     networks,
+    outputs,
     pairs,
     selections,
     sequences,
+    trees,
 )
 
 __all__ = ["ORACLES", "QUERIES"]

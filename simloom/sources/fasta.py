@@ -32,10 +32,11 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
         F.col("value"),
     )
     # Only the first record of a file keeps its ">"; text before it is dropped.
-    text = F.regexp_replace("value", "^﻿", "")
+    first = raw.groupBy("file").agg(F.min(F.when(F.col("block") == 0, F.col("place"))).alias("first_place"))
+    raw = raw.join(first, "file")
     opened = F.when(
-        (F.col("block") == 0) & text.rlike(rf"(?s)^({UNICODE_SPACE}*|[^>].*\n{UNICODE_SPACE}*)>"), text
-    ).otherwise(F.concat(F.lit(">"), text))
+        (F.col("block") == 0) & (F.col("place") == F.col("first_place")), F.regexp_replace("value", "^\ufeff", "")
+    ).otherwise(F.concat(F.lit(">"), F.col("value")))
     chunks = F.split(opened, rf"(?m)^{UNICODE_SPACE}*>")
     records = raw.select(
         "file", "block", "place", F.posexplode(F.slice(chunks, F.lit(2), F.size(chunks))).alias("part", "record")

@@ -20,7 +20,7 @@ def read_header_list(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def header_lines(lines: DataFrame, fasta: bool) -> DataFrame:
     """Non-blank trimmed lines; for FASTA only the text after ``>``."""
-    text = F.trim(F.regexp_replace("value", r"^﻿|[\r\t]+$", ""))
+    text = F.trim(F.regexp_replace("value", "^\ufeff|[\\r\\t]+$", ""))
     rows = lines.select(text.alias("header")).where(F.col("header") != "")
     if fasta:
         rows = rows.where(F.col("header").startswith(">")).select(F.expr("substring(header, 2)").alias("header"))

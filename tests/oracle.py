@@ -18,10 +18,14 @@ TABLES = (
 
 
 def session(cores: int = 8):
+    """Local session; its shared folder is a fresh one under the system's scratch folder."""
+    import tempfile
+
     from pyspark.sql import SparkSession
 
     return (
         SparkSession.builder.master(f"local[{cores}]")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="simloom-tests-"))
         .appName("simloom-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
