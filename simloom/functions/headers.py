@@ -11,17 +11,24 @@ from pyspark.sql import functions as F
 ACCESSION = r"\b([A-Z]{2}_\d+(?:\.\d+)?|[A-Z]{3}\d{5,7}(?:\.\d+)?)\b"
 STRUCTURE_ID = r"\b([1-9][A-Z0-9]{3})(?:_[A-Z0-9]+)?\b"
 # Fixed value: Unicode white space, spelled out because \s is ASCII-only in the JVM.
-UNICODE_SPACE = (
-    r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+UNICODE_SPACE = f"[{WHITE_SPACE}]"
+
+
+def stripped(text: Column) -> Column:
+    """Text without white space at both ends."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def clean_header(header: Column) -> Column:
     """Canonical header: safe brackets, no reserved characters, single underscores."""
     text = F.translate(header, "[]{}", "()()")
     text = F.regexp_replace(text, r'[?*"#%@$/\\]', "_")
-    text = F.trim(F.regexp_replace(text, UNICODE_SPACE + "+", " "))
-    return F.regexp_replace(F.replace(text, F.lit(" "), F.lit("_")), "_+", "_")
+    text = F.regexp_replace(stripped(text), UNICODE_SPACE + "+", "_")
+    return F.regexp_replace(text, "_+", "_")
 
 
 def first_token(header: Column) -> Column:

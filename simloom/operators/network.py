@@ -14,6 +14,7 @@ from simloom.functions.headers import first_token
 from simloom.functions.scores import normalized_score, normalized_score_floored
 from simloom.plans.numbering import dense_index_by_id
 from simloom.plans.ranking import kth_largest
+from simloom.plans.runtime import materialized
 
 
 def canonical_edges(hits: DataFrame, score: str = "score") -> DataFrame:
@@ -108,16 +109,18 @@ def at_least(edges: DataFrame, threshold: float) -> DataFrame:
 
 
 def top_percent_cutoff(edges: DataFrame, n_nodes: int, percent: float):
-    """Score of the last edge among the top percent of all *possible* edges."""
-    n_edges = edges.count()
-    if n_edges == 0:
-        return 0.0
+    """Score of the last edge among the top percent of all *possible* edges (0.0 without edges)."""
     wanted = int(n_nodes * (n_nodes - 1) / 2.0 * (percent / 100.0))
-    return kth_largest(edges, "score", max(1, min(wanted, n_edges)))
+    cutoff = kth_largest(edges, "score", wanted, clamp=True)
+    return 0.0 if cutoff is None else cutoff
 
 
 def top_percent(edges: DataFrame, n_nodes: int, percent: float) -> DataFrame:
-    """Edges at or above the top-percent cutoff, ties included."""
+    """Edges at or above the top-percent cutoff, ties included.
+
+    Finding the cutoff takes several scans of the scores, so the edges are written once.
+    """
+    edges = materialized(edges)
     cutoff = top_percent_cutoff(edges, n_nodes, percent)
     return edges.where(F.col("score") >= F.lit(cutoff))
 

@@ -12,17 +12,19 @@ from pyspark.sql import functions as F
 from simloom.functions.headers import clean_header
 from simloom.functions.residues import clean_sequence, masked_symbols, stripped_symbols
 from simloom.plans.numbering import dense_index, id_bucket, running_total
-from simloom.plans.runtime import materialized
+from simloom.plans.runtime import computed_once, materialized, spread
 
 
 def cleaned_records(records: DataFrame) -> DataFrame:
     """Raw and cleaned header and sequence side by side."""
-    return records.select(
-        "ord",
-        F.col("header").alias("raw_header"),
-        F.col("sequence").alias("raw_sequence"),
-        clean_header(F.col("header")).alias("header"),
-        clean_sequence(F.col("sequence")).alias("sequence"),
+    raw = spread(records).select(
+        "ord", F.col("header").alias("raw_header"), F.col("sequence").alias("raw_sequence")
+    )
+    return computed_once(
+        raw,
+        *raw.columns,
+        header=clean_header(F.col("raw_header")),
+        sequence=clean_sequence(F.col("raw_sequence")),
     )
 
 

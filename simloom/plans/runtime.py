@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime-settable only: a session handed in by the caller keeps its own cluster sizing.
 ADAPTIVE_CONF = {
@@ -13,6 +14,8 @@ ADAPTIVE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split hot join keys even where that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Small inputs of costly Python stages still use all cores; large ones are not affected.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -24,6 +27,26 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for CPU-bound work on an input of too few splits (e.g. one small file).
+
+    Inputs with at least as many splits as cores, which is the normal case, are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions() if hasattr(df, "_jdf") else cores
+    return df if splits >= cores else df.repartition(cores)
+
+
+def computed_once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """Keep some columns and add costly ones that are evaluated exactly once per row.
+
+    Filters and projections on plain derived columns are merged into their definition, which
+    repeats it for every reference. A generator is a boundary for both.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the one the cluster names in ``spark.checkpoint.dir``.
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.functions.headers import UNICODE_SPACE
+from simloom.functions.headers import UNICODE_SPACE, clean_header, stripped
 from simloom.operators.alignment import alignment_cells
 from simloom.operators.sanitize import sanitized_records
-from simloom.functions.headers import clean_header
 from simloom.functions.residues import clean_aligned
 from simloom.plans.numbering import dense_index
 
 
 def joined_lines(text: Column) -> Column:
     """Sequence of several lines: each line stripped, blank lines gone, all joined."""
-    return F.regexp_replace(text, rf"^{UNICODE_SPACE}+|{UNICODE_SPACE}*[\n\r]{UNICODE_SPACE}*|{UNICODE_SPACE}+$", "")
+    lines = F.split(F.translate(text, "\r", "\n"), "\n")
+    return F.array_join(F.transform(lines, stripped), "")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +41,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     records = raw.select(
         "file", "block", "place", F.posexplode(F.slice(chunks, F.lit(2), F.size(chunks))).alias("part", "record")
     )
-    header = F.trim(F.regexp_replace(F.split_part("record", F.lit("\n"), F.lit(1)), f"^{UNICODE_SPACE}+|{UNICODE_SPACE}+$", ""))
+    header = stripped(F.split_part("record", F.lit("\n"), F.lit(1)))
     body = F.regexp_extract("record", r"(?s)^[^\n]*\n(.*)$", 1)
     parsed = records.select("file", "block", "place", "part", header.alias("header"), joined_lines(body).alias("sequence"))
     return dense_index(

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simloom.functions.headers import stripped
 from simloom.functions.scores import evalue_score
 from simloom.operators.network import canonical_edges
 from simloom.plans.numbering import dense_index, id_bucket
+from simloom.plans.runtime import computed_once, spread
 
 DEFAULT_EVALUE_COLUMN = 10
 SAMPLE_LINES = 1000
@@ -25,11 +27,11 @@ def read_hit_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _fields(value: Column) -> Column:
-    return F.split(F.trim(F.regexp_replace(value, r"\s+", " ")), " ")
+    return F.split(stripped(value), r"\s+")
 
 
 def _data_lines(lines: DataFrame) -> DataFrame:
-    text = F.trim(F.regexp_replace("value", r"\s+", " "))
+    text = stripped(F.col("value"))
     return lines.where((text != "") & ~text.startswith("#"))
 
 
@@ -40,7 +42,7 @@ def parse_numeric_hits(lines: DataFrame, n_sequences: Column | int) -> DataFrame
     ``0..n_sequences-1``, or its E-value (column 10) is negative or not finite.
     """
     limit = F.lit(n_sequences) if isinstance(n_sequences, int) else n_sequences
-    fields = _data_lines(lines).select("line", _fields(F.col("value")).alias("f"))
+    fields = computed_once(_data_lines(spread(lines)), "line", f=_fields(F.col("value")))
     typed = fields.select(
         "line",
         F.size("f").alias("width"),
@@ -76,11 +78,12 @@ def evalue_column(lines: DataFrame) -> DataFrame:
 
 def parse_named_hits(lines: DataFrame, column: int) -> DataFrame:
     """``(line, query, subject, evalue)`` with text ids; the E-value is NULL if unreadable."""
-    return _data_lines(lines).select(
+    fields = computed_once(_data_lines(spread(lines)), "line", f=_fields(F.col("value")))
+    return fields.select(
         "line",
-        F.get(_fields(F.col("value")), F.lit(0)).alias("query"),
-        F.get(_fields(F.col("value")), F.lit(1)).alias("subject"),
-        F.get(_fields(F.col("value")), F.lit(column)).try_cast("double").alias("evalue"),
+        F.get("f", F.lit(0)).alias("query"),
+        F.get("f", F.lit(1)).alias("subject"),
+        F.get("f", F.lit(column)).try_cast("double").alias("evalue"),
     ).where("subject IS NOT NULL")
 
 

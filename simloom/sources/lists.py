@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simloom.functions.headers import stripped
+
 
 def read_header_list(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """``(header)`` from a list file, or from the header lines of a FASTA file.
@@ -20,7 +22,7 @@ def read_header_list(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def header_lines(lines: DataFrame, fasta: bool) -> DataFrame:
     """Non-blank trimmed lines; for FASTA only the text after ``>``."""
-    text = F.trim(F.regexp_replace("value", "^\ufeff|[\\r\\t]+$", ""))
+    text = stripped(F.regexp_replace("value", "^\ufeff", ""))
     rows = lines.select(text.alias("header")).where(F.col("header") != "")
     if fasta:
         rows = rows.where(F.col("header").startswith(">")).select(F.expr("substring(header, 2)").alias("header"))
