@@ -4,10 +4,11 @@ Identity is the share of matching standard residues among columns where either r
 A row's weight is the inverse number of rows (itself included) at least that identical.
 
 Comparing all pairs is avoided exactly: two rows within the threshold differ in at most
-``(1 - t) * width`` columns. With one more band of columns than that, some band agrees in every
-column, so candidates come from an equality join on band contents. Copies are collapsed first
-and a pair counts only in its first common band, so nothing is deduplicated afterwards and only
-per-row sums are shuffled.
+``d = (1 - t) * width`` columns. Of ``d + 1`` bands of columns, one therefore agrees completely,
+and candidates come from an equality join on band contents. A band content shared by very many
+rows (mostly gaps, say) is split further by the same argument on the remaining columns. Copies
+are collapsed first, and a pair counts only in its first common band, so nothing has to be
+deduplicated afterwards and only per-row sums are shuffled.
 """
 
 from __future__ import annotations
@@ -20,65 +21,53 @@ from pyspark.sql import functions as F
 from simloom.functions.residues import STANDARD_RESIDUES
 from simloom.plans.runtime import materialized
 
+HOT_ROWS = 50_000
+
 
 def _standard_only(sequence: Column) -> Column:
     return F.regexp_replace(F.upper(sequence), f"[^{STANDARD_RESIDUES}]", "-")
 
 
+def _bands(text: Column, width: int, bands: int) -> Column:
+    """Interleaved columns, so that conserved and gap-rich regions spread over all bands."""
+    return F.array(
+        *[F.concat(*[F.substring(text, c + 1, 1) for c in range(band, width, bands)]) for band in range(bands)]
+    )
+
+
 def neighbour_counts(sequences: DataFrame, threshold: float) -> DataFrame:
     """``(sequence, neighbours)`` for distinct aligned texts ``(sequence, copies)``."""
     coded = sequences.select("sequence", "copies", _standard_only(F.col("sequence")).alias("coded"))
     by_code = materialized(coded.groupBy("coded").agg(F.sum("copies").alias("copies")))
     width = by_code.agg(F.max(F.length("coded"))).first()[0] or 1
-    differences = min(width, int(math.floor((1.0 - threshold) * width + 1e-9)))
-    bands = min(width, differences + 1)
-    if differences >= width:
-        raise ValueError("the identity threshold must be above zero")
-    # Interleaved columns spread conserved and gap-rich regions over all bands.
-    parts = F.array(
-        *[
-            F.concat(*[F.substring("coded", c + 1, 1) for c in range(band, width, bands)])
-            for band in range(bands)
-        ]
-    )
-    padded = by_code.withColumn("coded", F.rpad("coded", width, "-")).withColumn("parts", parts)
+    bands = int(math.floor((1.0 - threshold) * width + 1e-9)) + 1
+    if bands > width:
+        raise ValueError("the identity threshold is too low for this width")
+    padded = by_code.withColumn("coded", F.rpad("coded", width, "-"))
+    padded = padded.withColumn("parts", _bands(F.col("coded"), width, bands))
     residues = F.length(F.replace("coded", F.lit("-"), F.lit("")))
-    keyed = padded.select("coded", "copies", "parts", residues.alias("size"), F.posexplode("parts").alias("band", "part"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    # A match needs min(size) >= t * max(size): most unequal rows never get compared.
-    close = (F.col("a.size") >= threshold * F.col("b.size") - 1e-9) & (
-        F.col("b.size") >= threshold * F.col("a.size") - 1e-9
-    )
-    pairs = a.join(
-        b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & close
-    )
-    agree = F.zip_with("a.parts", "b.parts", lambda x, y: x == y)
-    first_common = F.array_position(agree, F.lit(True)) == F.col("a.band") + 1
-    same = F.aggregate(
-        F.zip_with(
-            F.split("a.coded", ""),
-            F.split("b.coded", ""),
-            lambda x, y: F.when((x == y) & (x != "-") & (x != ""), 1).otherwise(0),
-        ),
-        F.lit(0),
-        lambda n, x: n + x,
-    )
-    either = F.aggregate(
-        F.zip_with(
-            F.split("a.coded", ""),
-            F.split("b.coded", ""),
-            lambda x, y: F.when(~(x.isin("-", "") & y.isin("-", "")), 1).otherwise(0),
-        ),
-        F.lit(0),
-        lambda n, x: n + x,
-    )
-    similar = (either > 0) & (same >= threshold * either - 1e-12)
-    counted = (
-        pairs.where(first_common)
-        .where(similar)
-        .groupBy(F.col("a.coded").alias("coded"))
-        .agg(F.sum("b.copies").alias("neighbours"))
+    keyed = padded.select(
+        "coded", "copies", "parts", residues.alias("size"), F.posexplode("parts").alias("band", "part")
     )
+    per_band = [len(range(band, width, bands)) for band in range(bands)]
+    rest_width = width - max(per_band)
+    pairs = _similar(keyed, ["band", "part"], [("parts", "band")], threshold)
+    if rest_width >= bands:
+        sizes = keyed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("rows"))
+        hot = materialized(sizes.where(F.col("rows") > HOT_ROWS).select("band", "part"))
+        if not hot.isEmpty():
+            rest = F.array_join(F.filter("parts", lambda part, k: k != F.col("band")), "")
+            split = keyed.join(hot, ["band", "part"], "left_semi").withColumn(
+                "subparts", _bands(rest, width - min(per_band), bands)
+            )
+            split = split.select("*", F.posexplode("subparts").alias("sub", "subpart"))
+            cold = keyed.join(hot, ["band", "part"], "left_anti")
+            pairs = _similar(cold, ["band", "part"], [("parts", "band")], threshold).unionByName(
+                _similar(
+                    split, ["band", "part", "sub", "subpart"], [("parts", "band"), ("subparts", "sub")], threshold
+                )
+            )
+    counted = pairs.groupBy("coded").agg(F.sum("copies").alias("neighbours"))
     # A row without any standard residue stays one independent observation.
     return (
         coded.select("sequence", F.rpad("coded", width, "-").alias("coded"))
@@ -87,6 +76,31 @@ def neighbour_counts(sequences: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def _similar(
+    keyed: DataFrame, keys: list[str], bands: list[tuple[str, str]], threshold: float
+) -> DataFrame:
+    """``(coded, copies)`` per similar pair: the left row and the copies of the right one."""
+    a, b = keyed.alias("a"), keyed.alias("b")
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & (F.col(f"a.{key}") == F.col(f"b.{key}"))
+    # A match needs min(size) >= t * max(size): most unequal rows never get compared.
+    for x, y in ("ab", "ba"):
+        condition = condition & (F.col(f"{x}.size") >= threshold * F.col(f"{y}.size") - 1e-9)
+    for parts, band in bands:
+        agree = F.zip_with(f"a.{parts}", f"b.{parts}", lambda x, y: x == y)
+        condition = condition & (F.array_position(agree, F.lit(True)) == F.col(f"a.{band}") + 1)
+
+    def columns(test) -> Column:
+        letters = F.zip_with(F.split("a.coded", ""), F.split("b.coded", ""), lambda x, y: F.when(test(x, y), 1).otherwise(0))
+        return F.aggregate(letters, F.lit(0), lambda n, x: n + x)
+
+    same = columns(lambda x, y: (x == y) & ~x.isin("-", ""))
+    either = columns(lambda x, y: ~(x.isin("-", "") & y.isin("-", "")))
+    similar = (either > 0) & (same >= threshold * either - 1e-12)
+    return a.join(b, condition & similar).select(F.col("a.coded").alias("coded"), F.col("b.copies").alias("copies"))
+
+
 def identity_weights(aligned: DataFrame, threshold: float) -> DataFrame:
     """``(row_id, weight)`` of aligned rows ``(row_id, sequence)``."""
     rows = aligned.select("row_id", F.upper("sequence").alias("sequence"))

@@ -168,10 +168,21 @@ def align_block(
 EDGE_SCHEMA = "i BIGINT, j BIGINT, l_score FLOAT, l_len INT, g_score FLOAT, g_len INT"
 
 
+BLOCK_BYTES = 32 << 20
+
+
+def rows_per_block(embeddings: DataFrame, most: int = 128) -> int:
+    """Rows whose embeddings fill a block of bounded bytes on average."""
+    values = F.size("embedding") * F.size(F.get("embedding", F.lit(0)))
+    average = embeddings.agg(F.avg(values * 4)).first()[0] or 1.0
+    return int(max(1, min(most, BLOCK_BYTES // max(1.0, average))))
+
+
 def align_all_pairs(
-    embeddings: DataFrame, gap_global: float = 0.0, gap_local: float = -2.0, block_rows: int = 128
+    embeddings: DataFrame, gap_global: float = 0.0, gap_local: float = -2.0, block_rows: int | None = None
 ) -> DataFrame:
     """Alignment network of ``(node_id, embedding ARRAY<ARRAY<FLOAT>>)``: every pair ``i < j``."""
+    block_rows = block_rows or rows_per_block(embeddings)
     placed = place_column(embeddings.select("node_id", "embedding"), "node_id")
     pairs = block_pairs(placed, "place", ["node_id", "embedding"], block_rows)
 

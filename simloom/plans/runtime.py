@@ -27,14 +27,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+SMALL_INPUT_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-bound work on an input of too few splits (e.g. one small file).
+    """Use all cores for CPU-bound work on a small input, which may be one single split.
 
-    Inputs with at least as many splits as cores, which is the normal case, are not shuffled.
+    Only inputs that the planner estimates below 1 GB are shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions() if hasattr(df, "_jdf") else cores
-    return df if splits >= cores else df.repartition(cores)
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size.toString()) >= SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def computed_once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:

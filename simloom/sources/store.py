@@ -90,6 +90,12 @@ def write_network(folder: str, nodes: DataFrame, edges: DataFrame, model_name: s
     write_store(folder, kind, {"nodes": nodes, "edges": ordered}, model_name=model_name, **attributes)
 
 
+def write_alignment(folder: str, rows: DataFrame, cells: DataFrame, **attributes) -> None:
+    """Store an alignment; cells are clustered by column, so that queries read few row groups."""
+    ordered = cells.repartitionByRange("col", "row_id").sortWithinPartitions("col", "row_id")
+    write_store(folder, "msa", {"rows": rows, "cells": ordered}, **attributes)
+
+
 def read_network(spark: SparkSession, folder: str) -> Stored:
     stored = read_store(spark, folder)
     if stored.kind != network_kind(stored.manifest.get("model_name")):
