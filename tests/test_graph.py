@@ -187,3 +187,36 @@ def test_group_names():
     for bad in ("noise", "cluster_3", "subcluster_1_2", "a b", ""):
         with pytest.raises(ValueError):
             metadata.checked_group_name(bad)
+
+
+def test_spectral_start_matches_dense_eigenvectors(spark):
+    pairs = [(a, b) for a, b in itertools.combinations(range(12), 2) if b - a in (1, 5)]
+    nodes, edges = frames(spark, 15, pairs, [1.0 + (k % 3) for k in range(len(pairs))])
+    components = graph.connected_components(nodes, edges)
+    got = {r["node_id"]: r for r in layout.spectral_positions(edges, components, rounds=60).collect()}
+    w = np.zeros((12, 12))
+    for k, (a, b) in enumerate(pairs):
+        w[a, b] = w[b, a] = 1.0 + (k % 3)
+    d = w.sum(0)
+    _, vectors = np.linalg.eigh(np.eye(12) - w / np.sqrt(np.outer(d, d)))
+    span = vectors[:, 1:3]
+    for axis in "xy":
+        v = np.array([got[k][axis] for k in range(12)])
+        v = v - v.mean()
+        basis = np.column_stack([span, np.ones(12)])
+        fitted = basis @ np.linalg.lstsq(basis, v, rcond=None)[0]
+        assert np.linalg.norm(v - fitted) < 0.05 * np.linalg.norm(v)
+    box = np.sqrt(12) * 2.5 + 5
+    assert max(abs(got[k]["x"]) for k in range(12)) <= 0.4 * box + 1e-6
+
+
+def test_stochastic_steps(spark):
+    assert layout.annealed_temperature(0, 10, 2.0) == 2.0
+    assert layout.annealed_temperature(4, 10, 2.0) == pytest.approx(0.4)
+    assert layout.annealed_temperature(5, 10, 2.0) == 0.0
+    nodes, edges = frames(spark, 8, [(0, 1), (1, 2), (2, 3), (4, 5)])
+    components = graph.connected_components(nodes, edges)
+    one = layout.force_layout(edges, components, steps=3, stochastic=True, cutoff=30.0).orderBy("node_id").collect()
+    two = layout.force_layout(edges, components.repartition(5), steps=3, stochastic=True, cutoff=30.0)
+    for a, b in zip(one, two.orderBy("node_id").collect()):
+        assert (a["x"], a["y"]) == pytest.approx((b["x"], b["y"]))
