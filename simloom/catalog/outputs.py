@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from simloom.catalog.registry import Tables, query, sql
-from simloom.sources import fasta, sheets, store
+from simloom.operators import layout, metadata, network, search, trees
+from simloom.plans.runtime import scratch_folder
+from simloom.sources import fasta, hits, lists, sheets, store
 
 
 def _node_records(t: Tables):
@@ -72,9 +76,7 @@ def numbered(t: Tables):
 )
 def stored_network(t: Tables):
     """A network written to the shared folder and read back with only the local scores."""
-    from simloom.plans.runtime import scratch_folder
-
-    folder = f"{scratch_folder(t.spark)}/network-{id(t)}"
+    folder = f"{scratch_folder(t.spark)}/network-{uuid.uuid4().hex}"
     edges = t.scored_edges.select(
         "i", "j", F.col("score").alias("l_score"), F.col("aln_len").alias("l_len"),
         (F.col("score") * 2).alias("g_score"), (F.col("aln_len") + 1).alias("g_len"),
@@ -101,3 +103,169 @@ def fingerprint(t: Tables):
 def row_digests(t: Tables):
     records = t.table("documents").select(F.col("doc_id").alias("ord"), F.col("source").alias("header"), F.col("text").alias("sequence"))
     return store.row_digests(records)
+
+
+@query(
+    "join_21_consistency",
+    sql(
+        "nodes",
+        """WITH f AS (SELECT header FROM nodes WHERE seq_len > 20 UNION ALL SELECT 'orphan ' || s_name FROM supplier)
+           SELECT count(*) AS records, count(*) FILTER (header NOT IN (SELECT header FROM nodes)) AS missing_in_network,
+                  count(*) FILTER (header NOT IN (SELECT header FROM nodes WHERE kind <> 'PROMO')) AS missing_in_alignment,
+                  count(*) FILTER (contains(lower(header), 'hot ring')) AS reference_hits FROM f""",
+    ),
+)
+def consistency(t: Tables):
+    """Sequence file against network, alignment and reference."""
+    orphans = t.table("supplier").select(F.concat(F.lit("orphan "), "s_name").alias("header"))
+    records = t.nodes.where("seq_len > 20").select("header").unionByName(orphans)
+    return network.consistency_report(records, t.nodes, t.nodes.where("kind <> 'PROMO'"), "Hot Ring")
+
+
+@query(
+    "win_12_first_examples",
+    sql("nodes", "SELECT header FROM nodes WHERE kind = 'PROMO' ORDER BY header LIMIT 10"),
+)
+def examples(t: Tables):
+    """First ten unaligned headers for a message (a bounded list is the feature)."""
+    return network.first_examples(t.nodes.where("kind = 'PROMO'"), "header")
+
+
+@query(
+    "src_4_header_lines",
+    "SELECT source || ' ' || lang AS header FROM documents UNION ALL SELECT substr(trim(line, chr(32) || chr(9) || chr(13)), 2) FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line, chr(32) || chr(9) || chr(13)) LIKE '>%'",
+)
+def header_lines(t: Tables):
+    """Header lines of FASTA text, nothing else of it."""
+    lines = t.table("documents").select(
+        F.explode(F.concat(F.array(F.concat(F.lit(">"), "source", F.lit(" "), "lang")), F.split("text", "\n"))).alias("value")
+    )
+    return lists.header_lines(lines, fasta=True)
+
+
+_NAMED = """
+    WITH lines AS (SELECT o_orderkey AS line, 'C' || o_custkey AS q, 'C' || (o_orderkey * 7 % 1009) AS s,
+                          CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST('1e-' || CAST(CAST(floor(o_totalprice / 10000) AS INTEGER) AS VARCHAR) AS DOUBLE) END AS e FROM orders),
+    seen AS (SELECT name, min(place) AS place FROM (SELECT q AS name, line * 2 AS place FROM lines UNION ALL SELECT s, line * 2 + 1 FROM lines) GROUP BY name),
+    ids AS (SELECT name, row_number() OVER (ORDER BY place) - 1 AS id FROM seen)
+    SELECT least(a.id, b.id) AS i, greatest(a.id, b.id) AS j, round(max(-log10(e + 1e-300)), 4) AS score
+    FROM lines JOIN ids a ON q = a.name JOIN ids b ON s = b.name WHERE e >= 0 AND a.id <> b.id GROUP BY 1, 2"""
+
+
+@query("src_10_named_hit_table", _NAMED)
+def named_hits(t: Tables):
+    """Hit table with text ids to a network on ids of first appearance."""
+    exponent = F.floor(F.col("o_totalprice") / 10000).cast("int").cast("string")
+    line = F.concat_ws(
+        " ",
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")),
+        F.concat(F.lit("C"), (F.col("o_orderkey") * 7 % 1009).cast("string")),
+        *[F.lit("0")] * 8,
+        F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.concat(F.lit("1e-"), exponent)),
+        F.lit("50"),
+    )
+    lines = t.table("orders").select(F.col("o_orderkey").alias("line"), line.alias("value"))
+    edges = hits.named_network(hits.parse_named_hits(lines, 10))[1]
+    return edges.select("i", "j", F.round("score", 4).alias("score"))
+
+
+def _hits_report(t: Tables):
+    """Suppliers as ranked hits: balance per length as normalised score."""
+    scored = t.table("supplier").select(
+        F.col("s_name").alias("header"),
+        F.round(F.col("s_acctbal") / (F.col("s_nationkey") + 1), 4).alias("norm_score"),
+        F.col("s_acctbal").alias("raw_score"),
+        F.col("s_nationkey").alias("seq_len"),
+        (F.col("s_nationkey") + 1).alias("aln_len"),
+    )
+    return search.ranked_hits(scored, "Supplier#000000007", top_k=100)
+
+
+_REPORT = """
+    WITH r AS (SELECT s_name AS header, round(s_acctbal / (s_nationkey + 1), 4) AS norm_score, s_acctbal AS raw_score, s_nationkey AS seq_len, s_nationkey + 1 AS aln_len FROM supplier),
+    k AS (SELECT *, row_number() OVER (ORDER BY norm_score DESC, header) AS rank FROM r WHERE header <> 'Supplier#000000007' ORDER BY norm_score DESC, header LIMIT 99)"""
+
+
+@query(
+    "snk_10_search_report",
+    _REPORT + """ SELECT header AS "Node ID", rank AS "Rank", norm_score AS "Norm_Score", raw_score AS "Raw_Score", seq_len AS "Sequence_Length", aln_len AS "Alignment_Length" FROM k""",
+)
+def search_report(t: Tables):
+    """Ranked hits as a sheet that can be uploaded as metadata."""
+    return search.search_report(_hits_report(t))
+
+
+@query(
+    "snk_9_report_lines",
+    _REPORT + """ SELECT rank, header || ':' || CAST(aln_len AS VARCHAR) AS tail FROM k""",
+)
+def report_lines(t: Tables):
+    """Text lines of the search report (here their last two fields)."""
+    lines = sheets.search_lines(_hits_report(t))
+    fields = F.split("line", r"\s+\|\s+")
+    return lines.select("rank", F.concat(F.get(fields, F.lit(5)), F.lit(":"), F.get(fields, F.lit(4))).alias("tail"))
+
+
+@query(
+    "arr_15_unit_residues",
+    """WITH r AS (SELECT vec_id, res, list_transform(embedding[res * 8 + 1 : res * 8 + 8], lambda x: CAST(x AS DOUBLE)) AS v
+                 FROM (SELECT vec_id, embedding, unnest(range(8)) AS res FROM embeddings))
+       SELECT vec_id AS node_id, res, round(CAST(CAST(v[1] / sqrt(list_dot_product(v, v)) AS FLOAT) AS DOUBLE), 5) AS first_value FROM r""",
+)
+def unit_residues(t: Tables):
+    """Residue vectors scaled to length one."""
+    from simloom.catalog.pairs import _residue_embeddings
+
+    flat = trees.unit_profiles(_residue_embeddings(t)).select(F.col("c").alias("node_id"), F.posexplode("profile").alias("res", "v"))
+    return flat.select("node_id", "res", F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first_value"))
+
+
+@query(
+    "win_10_group_order",
+    sql("nodes", "SELECT name, row_number() OVER (ORDER BY n DESC, name) AS place FROM (SELECT name, count(*) AS n FROM (SELECT unnest([group_a, group_b]) AS name FROM nodes) GROUP BY name)"),
+)
+def group_order(t: Tables):
+    """Display order of the group list: by size, then name (one row per group)."""
+    from pyspark.sql import Window
+
+    order = Window.orderBy(F.desc("nodes"), "name")
+    return metadata.group_counts(t.nodes).select("name", F.row_number().over(order).alias("place"))
+
+
+@query(
+    "san_10_alignment_headers",
+    sql("nodes aligned", r"SELECT row_id, regexp_replace(replace(replace(replace(header, '[', '('), ']', ')'), '#', '_'), '[ _]+', '_', 'g') AS header, sequence FROM aligned JOIN nodes ON row_id = node_id"),
+)
+def alignment_headers(t: Tables):
+    """Aligned records through the strict checks: cleaned, never renamed, unique, of one width."""
+    return fasta.checked_alignment(t.aligned.select(F.col("row_id").alias("ord"), "header", "sequence"))
+
+
+@query("snk_12_stored_layout", sql("nodes", "SELECT node_id, header FROM nodes"))
+def stored_layout(t: Tables):
+    """A layout written with its manifest, found by its settings and read back."""
+    folder = f"{scratch_folder(t.spark)}/layouts-{uuid.uuid4().hex}/{store.next_version([])}"
+    fields = store.compatibility("aa", "bb", "blast", threshold=30)
+    store.write_layout(folder, layout.grid_positions(t.nodes.select("node_id", "header")), fields)
+    found = store.matching_folders(t.spark, [folder], fields)
+    return store.read_layout(t.spark, found[0], t.nodes).select("node_id", "header")
+
+
+@query("snk_4_stored_embeddings", "SELECT 'vec_' || vec_id AS header, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value FROM embeddings")
+def stored_embeddings(t: Tables):
+    """An embedding database written with its manifest and read back complete."""
+    from simloom.catalog.pairs import _residue_embeddings
+
+    folder = f"{scratch_folder(t.spark)}/embeddings-{uuid.uuid4().hex}"
+    store.write_embeddings(folder, _residue_embeddings(t).select("header", "sequence", "embedding"), "model-a", "float32")
+    back = store.read_embeddings(t.spark, folder)["embeddings"]
+    first = F.get(F.get("embedding", F.lit(0)), F.lit(0)).cast("double")
+    return back.select("header", F.round(first, 6).alias("first_value"))
+
+
+@query("snk_5_stored_alignment", sql("cells", "SELECT row_id, col, aa FROM cells WHERE col = 3"))
+def stored_alignment(t: Tables):
+    """Sparse cells clustered by column; reading one column skips the others."""
+    folder = f"{scratch_folder(t.spark)}/alignment-{uuid.uuid4().hex}"
+    store.write_alignment(folder, t.rows, t.cells)
+    return store.read_store(t.spark, folder, "msa")["cells"].where("col = 3")

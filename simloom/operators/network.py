@@ -261,3 +261,23 @@ def edge_violations(edges: DataFrame, n_nodes: int) -> DataFrame:
         F.count_if(F.col("i") >= F.col("j")).alias("not_ordered"),
         F.count_if((F.least("i", "j") < 0) | (F.greatest("i", "j") >= n_nodes)).alias("out_of_range"),
     )
+
+
+def consistency_report(records: DataFrame, nodes: DataFrame, rows: DataFrame, reference: str) -> DataFrame:
+    """One row comparing a sequence file with a network, an alignment and a reference name."""
+    named = (
+        records.select("header")
+        .join(nodes.select("header", F.lit(True).alias("in_network")).distinct(), "header", "left")
+        .join(rows.select("header", F.lit(True).alias("in_alignment")).distinct(), "header", "left")
+    )
+    return named.agg(
+        F.count(F.lit(1)).alias("records"),
+        F.count_if(F.col("in_network").isNull()).alias("missing_in_network"),
+        F.count_if(F.col("in_alignment").isNull()).alias("missing_in_alignment"),
+        F.count_if(F.contains(F.lower("header"), F.lit(reference.lower()))).alias("reference_hits"),
+    )
+
+
+def first_examples(values: DataFrame, column: str, most: int = 10) -> DataFrame:
+    """The first few values in order, for messages."""
+    return values.select(column).orderBy(column).limit(most)

@@ -36,7 +36,7 @@ def spread(df: DataFrame) -> DataFrame:
     Only inputs that the planner estimates below 1 GB are shuffled for this.
     """
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size.toString()) >= SMALL_INPUT_BYTES:
+    if int(str(size)) >= SMALL_INPUT_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
