@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,8 +63,14 @@ def safe_file_name(text: Column) -> Column:
 def wildcard_match(text: Column, pattern: str) -> Column:
     """Shell-style wildcard over the whole text (``* ? [seq] [!seq]``)."""
     regex = fnmatch.translate(pattern)
-    # Python closes the pattern with \z or \Z; the JVM spells the absolute end \z.
-    return text.rlike(regex.removesuffix(r"\Z").removesuffix(r"\z") + r"\z")
+    # Inside a set the JVM takes a bare "[" for a nested set.
+    regex = re.sub(
+        r"(?<!\\)\[(\^?\]?)([^\]]*)\]",
+        lambda found: "[" + found[1] + re.sub(r"(?<!\\)\[", r"\\[", found[2]) + "]",
+        regex,
+    )
+    # The JVM searches anywhere in the text, so both ends are anchored (\z is its absolute end).
+    return text.rlike(r"\A" + regex.removesuffix(r"\Z").removesuffix(r"\z") + r"\z")
 
 
 def header_contains(header: Column, text: str) -> Column:

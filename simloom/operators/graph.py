@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from simloom.operators.network import degrees, edges_within, endpoints
 from simloom.plans.numbering import dense_index, id_bucket
-from simloom.plans.runtime import materialized
+from simloom.plans.runtime import materialized, materialized_with
 
 NOISE = -1
 
@@ -42,8 +42,12 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
             )
         )
-        links = materialized(rooted.where("u <> v").distinct())
-        checksum = links.agg(F.count(F.lit(1)), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        links, checksum = materialized_with(
+            rooted.where("u <> v").distinct(),
+            rows=F.count(F.lit(1)),
+            roots=F.sum("v"),
+            content=F.bit_xor(F.xxhash64("u", "v")),
+        )
         if checksum == state:
             break
         state = checksum
@@ -298,16 +302,18 @@ def _local_moves(level: DataFrame, resolution: float, seed: int, max_rounds: int
         wait = F.pmod(F.xxhash64("node_id", F.lit(seed * 1000 + turn)), F.lit(4)) == 0
         may_move = F.when(single, -F.col("best.minus") < F.col("home.label")).otherwise(~wait)
         better = F.col("best.gain") > F.col("home.gain") + 1e-9
-        decided = materialized(
+        decided, totals = materialized_with(
             best.select(
                 "node_id",
                 "k",
                 F.when(better & may_move, -F.col("best.minus")).otherwise(F.col("home.label")).alias("label"),
                 better.alias("wants"),
                 (better & may_move).alias("moved"),
-            )
+            ),
+            wants=F.count_if("wants"),
+            moved=F.count_if("moved"),
         )
-        wants, moved = decided.agg(F.count_if("wants"), F.count_if("moved")).first()
+        wants, moved = totals["wants"], totals["moved"]
         any_moved = any_moved or moved > 0
         state = decided.select("node_id", "k", "label")
         if wants <= count // 20 and (moved or not wants or turn > 2):

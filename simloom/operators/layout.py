@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from simloom.functions.noise import hashed_normal, hashed_uniform
 from simloom.plans.numbering import dense_index, dense_index_by_id, id_bucket
-from simloom.plans.runtime import materialized
+from simloom.plans.runtime import materialized, materialized_with
 
 
 def box_limit(n_nodes: Column | int, scale: float = 1.0) -> Column:
@@ -294,8 +294,8 @@ def force_layout(
             stepped = sampled_step(state, edges, F.col("box"), turn=turn, samples=samples, temperature=heat, **forces)
         else:
             stepped = force_step(state, edges, F.col("box"), **forces)
-        stepped = materialized(stepped)
-        rmsd = math.sqrt(stepped.agg(F.avg("moved_sq")).first()[0] or 0.0)
+        stepped, totals = materialized_with(stepped, moved=F.avg("moved_sq"))
+        rmsd = math.sqrt(totals["moved"] or 0.0)
         state = stepped.drop("moved_sq")
         if rmsd < tolerance:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Runtime-settable only: a session handed in by the caller keeps its own cluster sizing.
@@ -77,3 +77,13 @@ def materialized(df: DataFrame) -> DataFrame:
     path = f"{scratch_folder(df.sparkSession)}/simloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialized_with(df: DataFrame, **totals: Column) -> tuple[DataFrame, dict]:
+    """:func:`materialized`, with aggregates collected during the same write.
+
+    Iterations get their stop criterion this way without another job over the new state.
+    """
+    seen = Observation()
+    written = materialized(df.observe(seen, *[total.alias(name) for name, total in totals.items()]))
+    return written, seen.get

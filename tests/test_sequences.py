@@ -160,3 +160,14 @@ def test_header_lists(spark, tmp_path):
     twice = spark.createDataFrame([("a",), ("a",)], "header STRING")
     with pytest.raises(Exception, match="duplicate"):
         lists.checked_targets(twice).collect()
+
+
+@QUICK
+@given(st.text(alphabet="ab[]!?*-.x", min_size=1, max_size=7))
+def test_wildcards_match_whole_texts(spark, pattern):
+    import fnmatch
+
+    texts = ["a", "ab", "xab", "a-b", "[a]", "b.x", "", "ba!", "aab\n", "abab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t STRING")
+    got = {r[0] for r in df.where(headers.wildcard_match(F.col("t"), pattern)).collect()}
+    assert got == {t for t in texts if fnmatch.fnmatchcase(t, pattern)}
