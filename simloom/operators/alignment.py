@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from simloom.functions.positions import in_positions, label_major, label_minor
 from simloom.functions.residues import clean_aligned, symbols
 from simloom.operators.selection import SelectionExpressionError, boolean_column
+from simloom.plans.runtime import materialized
 
 
 def alignment_cells(aligned: DataFrame) -> DataFrame:
@@ -323,8 +324,9 @@ def subset_specific_residues(
     signed = signed.withColumn("signature", F.coalesce("signature", F.array().cast("array<string>")))
     if weights is not None:
         signed = signed.join(weights, "row_id")
-    sizes = signed.groupBy("signature").agg(F.sum(weight).alias("size"))
-    counts = (
+    # Both tables are small and used several times below; the cells are read once.
+    sizes = materialized(signed.groupBy("signature").agg(F.sum(weight).alias("size")))
+    counts = materialized(
         cells.join(signed, "row_id")
         .groupBy("signature", "col", F.upper("aa").alias("aa"))
         .agg(F.sum(weight).alias("n"))

@@ -67,8 +67,17 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
     ``sqrt(2 E)`` outgoing ones. Wedges are formed only over those, which finds every triangle
     once without ever pairing up the neighbours of a hub.
     """
-    plain = edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i <> j").distinct()
-    degree = degrees(plain)
+    plain = _plain(edges)
+    return _common_neighbours(plain, materialized(degrees(plain)))
+
+
+def _plain(edges: DataFrame) -> DataFrame:
+    """Distinct undirected pairs, written once as they are read several times."""
+    pairs = edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return materialized(pairs.where("i <> j").distinct())
+
+
+def _common_neighbours(plain: DataFrame, degree: DataFrame) -> DataFrame:
     ranked = plain.join(degree.withColumnRenamed("node_id", "i").withColumnRenamed("degree", "di"), "i").join(
         degree.withColumnRenamed("node_id", "j").withColumnRenamed("degree", "dj"), "j"
     )
@@ -87,10 +96,10 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
 
 def with_jaccard(edges: DataFrame) -> DataFrame:
     """Distinct edges with the Jaccard index of their endpoints' neighbour sets."""
-    plain = edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).where("i <> j").distinct()
-    degree = degrees(plain)
+    plain = _plain(edges)
+    degree = materialized(degrees(plain))
     counted = (
-        plain.join(common_neighbours(edges), ["i", "j"], "left")
+        plain.join(_common_neighbours(plain, degree), ["i", "j"], "left")
         .join(degree.withColumnsRenamed({"node_id": "i", "degree": "di"}), "i")
         .join(degree.withColumnsRenamed({"node_id": "j", "degree": "dj"}), "j")
     )

@@ -90,8 +90,11 @@ def unique_headers(sequences: DataFrame) -> DataFrame:
     heads = running_total(
         heads, "start", F.col("members"), [id_bucket("head_ord")], [F.col("head_ord")], inclusive=False
     )
-    placed = ranked.join(heads, "header").withColumns(
-        {"ord": F.col("start") + F.col("rank") - 1, "slot": F.col("used") + F.col("rank")}
+    heads = materialized(heads)
+    placed = materialized(
+        ranked.join(heads, "header").withColumns(
+            {"ord": F.col("start") + F.col("rank") - 1, "slot": F.col("used") + F.col("rank")}
+        )
     )
     single = placed.where(F.col("members") == 1).withColumn("new_header", F.col("header"))
     shared = placed.where(F.col("members") > 1)
@@ -162,8 +165,8 @@ def sanitize_counters(records: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("members") > 1, F.col("members"))), F.lit(0)).alias("headers_renamed"),
         F.coalesce(F.sum("members"), F.lit(0)).alias("final_records"),
     )
-    # Both sides are one-row aggregates.
-    return per_record.withColumn("one", F.lit(1)).join(per_sequence.withColumn("one", F.lit(1)), "one").drop("one")
+    both = per_record.unionByName(per_sequence, allowMissingColumns=True)
+    return both.agg(*[F.max(name).alias(name) for name in both.columns])
 
 
 def length_between(records: DataFrame, shortest: int | None, longest: int | None) -> DataFrame:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simloom.plans.runtime import materialized
+
 BLOCK_ROWS = 512
 
 
@@ -24,13 +26,13 @@ def block_pairs(rows: DataFrame, place: str, columns: list[str], block_rows: int
     ``place`` numbers the rows without gaps from 0, so a block never exceeds ``block_rows``.
     """
     entry = F.struct(place, *columns)
-    blocks = (
+    blocks = materialized(
         rows.groupBy(F.floor(F.col(place) / block_rows).cast("int").alias("block"))
         .agg(F.array_sort(F.collect_list(entry)).alias("rows"))
         .select("block", *[F.col(f"rows.{c}").alias(c) for c in columns])
     )
-    n_blocks = rows.agg(F.floor(F.max(place) / block_rows) + 1).scalar()
-    every = F.sequence(F.lit(0), (n_blocks - 1).cast("int"))
+    last = blocks.agg(F.max("block")).scalar()
+    every = F.sequence(F.lit(0), last)
     copies = blocks.withColumn("other", F.explode(every))
     left = copies.where("block <= other").select(
         F.col("block").alias("bi"), F.col("other").alias("bj"), *[F.col(c).alias(f"a_{c}") for c in columns]
