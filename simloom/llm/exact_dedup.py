@@ -121,7 +121,8 @@ def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     decision.
     """
     named = materialized(identities(docs, id_column, text, block_bytes))
-    groups = named.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # Written, so that the join below is a plain one whose hot groups adaptive execution can split.
+    groups = materialized(named.groupBy("level", "name").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
     return named.join(groups, ["level", "name"]).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
