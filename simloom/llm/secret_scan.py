@@ -22,8 +22,8 @@ MAX_FINDINGS = 20_000
 THRESHOLD = 0.5
 CONTEXT = 48
 KEY = r"[A-Za-z0-9+/_=\-]"
-# Lazy text, then a whole run of at least 16 key characters: linear in the text.
-CANDIDATE = rf"(?s)(.*?)(?<!{KEY})({KEY}{{16,}}+)"
+# Lazy text, then a whole run of at least 16 key characters or the end: every character is looked at once.
+CANDIDATE = rf"(?s)(.*?)(?:(?<!{KEY})({KEY}{{16,}}+)|\z)"
 # Words that make a value a placeholder, a name or a path, and words that announce a secret.
 DICTIONARY = (
     "about account access address admin also and any are auth author base been but can class client code color com config content copy count data date default demo "
