@@ -1,0 +1,70 @@
+import random
+import re
+
+from llm.helpers import awkward, rows_of
+from simloom.llm.secret_scan import KEY, candidates, features, reviewed_by_rule, scan, train
+
+HEX = "0123456789abcdef"
+
+
+def corpus(seed=3, n=240):
+    rnd = random.Random(seed)
+    rows, secrets = [], set()
+    for k in range(n):
+        key = "".join(rnd.choice(HEX) for _ in range(40))
+        kind = k % 4
+        value = [f'token = "{key}" then', f"see build_number_{rnd.randint(1000, 9999)}_of_the_page_index ok", f"card 4{rnd.randint(10**14, 10**15 - 1)}0 paid", f"mail some_long_user_name_{k}@example.com now"][kind]
+        rows.append((k, f"some words before {value} and some words after it"))
+        if kind == 0:
+            secrets.add(k)
+    return rows, secrets
+
+
+def test_candidates_are_whole_runs_with_places(spark):
+    texts = ["a 0123456789abcdef0123 b", "short_1", "é é 😀 x=AAAA1111BBBB2222 " + "y" * 16 + "1 end", "lettersonlylettersonly", None, "", "k" * 200_000 + "1"]
+    found = candidates(awkward(spark, list(enumerate(texts)))).collect()
+    wanted = [
+        (k, m.start(), m.group())
+        for k, t in enumerate(texts)
+        for m in re.finditer(rf"{KEY}{{16,}}", t or "")
+        if re.search(r"[0-9+/_=]", m.group())
+    ]
+    assert sorted((r.doc_id, r.start, r.candidate) for r in found) == sorted(wanted)
+    first = next(r for r in found if r.doc_id == 0)
+    assert (first.before, first.after) == ("a ", " b")
+
+
+def test_features_of_a_key_and_a_name(spark):
+    rows = [(1, 'secret: "9f86d081884c7d659a2feaa0c55ad015"'), (2, "use default_user_name_1 here")]
+    by_id = {r.doc_id: r for r in features(candidates(awkward(spark, rows))).collect()}
+    assert by_id[1].f_hex == 1 and by_id[1].f_announced == 1 and by_id[1].f_quoted == 1 and by_id[1].f_length == 32
+    assert by_id[2].f_dictionary == 1 and by_id[2].f_announced == 0 and by_id[1].f_dictionary < 0.2
+    assert by_id[1].f_letter_digit == sum(a.isalpha() and b.isdigit() for a, b in zip("9f86d081884c7d659a2feaa0c55ad015", "f86d081884c7d659a2feaa0c55ad015")) / 32
+
+
+def test_forest_on_documents_it_was_not_trained_on(spark):
+    rows, secrets = corpus()
+    described = features(candidates(awkward(spark, rows)))
+    trained = {r.doc_id for r in reviewed_by_rule(described).collect()}
+    found = scan(awkward(spark, rows)).collect()
+    fresh = [r for r in found if r.doc_id not in trained]
+    assert len(fresh) > 60 and len(found) >= len(rows)
+    right = [(r.doc_id in secrets) == r.kept for r in fresh]
+    assert sum(right) / len(right) > 0.97
+
+
+def test_reviewed_findings_and_one_label(spark):
+    rows, _ = corpus(n=80)
+    described = features(candidates(awkward(spark, rows)))
+    labelled = described.selectExpr("*", "CASE WHEN f_length = 17 THEN 1.0D ELSE 0.0D END AS label")
+    kept = {r.doc_id for r in scan(awkward(spark, rows), labelled).where("kept").collect()}
+    assert kept == {k for k, t in rows if "card" in t}
+    assert train(described.selectExpr("*", "0.0D AS label")) is None
+    assert train(described.selectExpr("*", "CAST(NULL AS DOUBLE) AS label")) is None
+
+
+def test_awkward_rows(spark):
+    rows = [(1, None), (2, ""), (None, "id 0123456789abcdef0123"), (3, "w " * 50_000 + "0123456789abcdef0123"), (3, "w " * 50_000 + "0123456789abcdef0123")]
+    found = rows_of(scan(awkward(spark, rows)), "doc_id", "start", "length", "kept")
+    assert found == [(None, 3, 20, True), (3, 100_000, 20, True), (3, 100_000, 20, True)]
+    assert scan(awkward(spark, [])).collect() == []
