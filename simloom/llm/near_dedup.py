@@ -6,8 +6,8 @@ and their order, which follows edit similarity rather than set overlap. Texts th
 
 Similarity is the number of labelled shingles that an alignment within a band matches in order, over the number in either text; a band of a ninth of
 both lengths cannot miss a similarity of 0.8. Texts of equal words are one node from the start. In a bucket all members meet one centre first; only members that end
-in different classes are compared further, and not where their set distances to the centre already differ too much (a metric). So copies
-never become all pairs, and no link between different classes is lost.
+in different classes are compared further, and not where their set distances to the centre (a metric) differ too much, or where either shares too few
+shingles with anyone. So copies never become all pairs, and no link between different classes is lost.
 """
 
 from __future__ import annotations
@@ -167,6 +167,30 @@ def _verified(pairs: DataFrame, sequences: DataFrame, threshold: float) -> DataF
     return map_rows(both, work, "u long, v long, similarity double, distance double")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The members of buckets whose members are of more than one class."""
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return placed.join(mixed.select("bucket"), "bucket", "left_semi")
+
+
+def _shared_counts(texts: DataFrame) -> DataFrame:
+    """``(node, own, shared)``: labelled shingles of each text, and those among them that another of these texts has too.
+
+    Two texts cannot have more in common than either shares with anyone, which bounds their similarity without a comparison.
+    """
+
+    def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
+        for rows in slices:
+            yield {"node": [row[0] for row in rows], "marks": [shingles_of(np.frombuffer(row[1], "<u4").astype(np.uint64)).view(np.int64) for row in rows]}
+
+    marks = materialized(map_rows(texts.select("node", "sequence"), work, "node long, marks array<long>"))
+    each = marks.select("node", F.explode("marks").alias("mark"))
+    # Written, so that the join is a plain one and a shingle of very many texts can be split.
+    common = materialized(each.groupBy("mark").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("mark"))
+    shared = each.join(common, "mark").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
+    return marks.select("node", F.size("marks").alias("own")).join(shared, "node")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per input row: ``doc_id, class_id, class_size, kept``.
 
@@ -197,24 +221,31 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     touched = materialized(shared.select(F.col("v").alias("node_id")).distinct())
     classes = materialized(connected_components(touched, links))
 
-    # Members of one bucket in different classes, unless their distances to the centre tell them apart.
+    # Members of one bucket in different classes, unless their distances to the centre or their counts of shared shingles tell them apart.
     placed = shared.join(first.select("u", "v", "distance"), ["u", "v"], "left").select(
         "bucket", F.col("v").alias("node"), F.coalesce("distance", F.lit(0.0)).alias("distance"), (F.col("u") == F.col("v")).alias("centre")
     )
     placed = placed.join(classes.withColumnRenamed("node_id", "node"), "node")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_ = materialized(placed.where("not centre").join(mixed.select("bucket"), "bucket"))
-    side = lambda name: open_.select("bucket", F.col("node").alias(name), F.col("distance").alias(f"d{name}"), F.col("component").alias(f"c{name}"))
+    open_ = materialized(_mixed(placed).where("not centre"))
+    counted = materialized(_shared_counts(open_.select("node").distinct().join(sequences, "node")))
+    # Some partner can be left only for a text that shares a share of ``threshold`` of its own shingles.
+    able = materialized(_mixed(open_.join(counted.where(F.col("shared") >= threshold * F.col("own")), "node")))
+    side = lambda name: able.select("bucket", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "distance", "component", "own", "shared")])
+    least = threshold / (1 + threshold) * (F.col("own_u") + F.col("own_v"))
     rest = (
         side("u").join(side("v"), "bucket")
-        .where((F.col("cu") < F.col("cv")) & (F.abs(F.col("du") - F.col("dv")) <= 1 - threshold + 1e-9))
-        .select("u", "v").distinct()
+        .where(
+            (F.col("component_u") < F.col("component_v"))
+            & (F.abs(F.col("distance_u") - F.col("distance_v")) <= 1 - threshold + 1e-9)
+            & (F.least("shared_u", "shared_v") >= least - 1e-9)
+        )
+        .select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
     )
     second = materialized(_verified(rest, sequences, threshold).where(F.col("similarity") >= threshold))
     if second.take(1):
         more = second.select(F.col("u").alias("i"), F.col("v").alias("j"))
         classes = materialized(connected_components(touched, links.unionByName(more)))
-    for scratch in (shared, pairs, sequences, open_):
+    for scratch in (shared, pairs, sequences, open_, able):
         discard(scratch)
 
     named = nodes.select("node", "k1", "k2").join(classes.withColumnRenamed("node_id", "node"), "node", "left")
