@@ -88,8 +88,11 @@ def stored_network(t: Tables):
 
 @query(
     "agg_27_record_fingerprint",
-    """SELECT count(*) AS records, bit_xor(CAST('0x' || substr(sha256(concat_ws(chr(31), CAST(doc_id AS VARCHAR), source || ' ' || lang, text)), 1, 15) AS BIGINT)) AS fingerprint
-       FROM documents""",
+    """WITH d AS (SELECT doc_id AS o, sha256(concat_ws(chr(31), source || ' ' || lang, text)) AS h FROM documents),
+       a AS (SELECT o >> 12 AS p, sha256(string_agg(h, '' ORDER BY o)) AS h, count(*) AS n FROM d GROUP BY p),
+       b AS (SELECT p >> 12 AS q, sha256(string_agg(h, '' ORDER BY p)) AS h, sum(n) AS n FROM a GROUP BY q),
+       c AS (SELECT q >> 12 AS r, sha256(string_agg(h, '' ORDER BY q)) AS h, sum(n) AS n FROM b GROUP BY r)
+       SELECT CAST(sum(n) AS BIGINT) AS records, sha256(string_agg(h, '' ORDER BY r)) AS fingerprint FROM c""",
 )
 def fingerprint(t: Tables):
     """Content fingerprint of all records and their order."""
@@ -197,27 +200,27 @@ def search_report(t: Tables):
 
 @query(
     "snk_9_report_lines",
-    _REPORT + """ SELECT rank, header || ':' || CAST(aln_len AS VARCHAR) AS tail FROM k""",
+    _REPORT + """ SELECT rank, printf(' %-6d | %9.4f | %9.2f | %8d | %8d | %s', rank, norm_score, CAST(raw_score AS DOUBLE), seq_len, aln_len, header) AS line FROM k""",
 )
 def report_lines(t: Tables):
-    """Text lines of the search report (here their last two fields)."""
-    lines = sheets.search_lines(_hits_report(t))
-    fields = F.split("line", r"\s+\|\s+")
-    return lines.select("rank", F.concat(F.get(fields, F.lit(5)), F.lit(":"), F.get(fields, F.lit(4))).alias("tail"))
+    """Text lines of the search report."""
+    return sheets.search_lines(_hits_report(t)).select("rank", "line")
 
 
 @query(
     "arr_15_unit_residues",
     """WITH r AS (SELECT vec_id, res, list_transform(embedding[res * 8 + 1 : res * 8 + 8], lambda x: CAST(x AS DOUBLE)) AS v
                  FROM (SELECT vec_id, embedding, unnest(range(8)) AS res FROM embeddings))
-       SELECT vec_id AS node_id, res, round(CAST(CAST(v[1] / sqrt(list_dot_product(v, v)) AS FLOAT) AS DOUBLE), 5) AS first_value FROM r""",
+       SELECT vec_id AS node_id, res, k - 1 AS feature, round(CAST(CAST(v[k] / sqrt(list_dot_product(v, v)) AS FLOAT) AS DOUBLE), 5) AS value
+       FROM r, unnest(range(1, 9)) AS f(k)""",
 )
 def unit_residues(t: Tables):
     """Residue vectors scaled to length one."""
     from simloom.catalog.pairs import _residue_embeddings
 
     flat = trees.unit_profiles(_residue_embeddings(t)).select(F.col("c").alias("node_id"), F.posexplode("profile").alias("res", "v"))
-    return flat.select("node_id", "res", F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first_value"))
+    values = flat.select("node_id", "res", F.posexplode("v").alias("feature", "value"))
+    return values.select("node_id", "res", "feature", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query(
@@ -241,17 +244,30 @@ def alignment_headers(t: Tables):
     return fasta.checked_alignment(t.aligned.select(F.col("row_id").alias("ord"), "header", "sequence"))
 
 
-@query("snk_12_stored_layout", sql("nodes", "SELECT node_id, header FROM nodes"))
+@query(
+    "snk_12_stored_layout",
+    sql(
+        "nodes",
+        """WITH grid AS (SELECT node_id, header, row_number() OVER (ORDER BY node_id) - 1 AS place, count(*) OVER () AS n FROM nodes),
+        box AS (SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS side, sqrt(n) * 2.5 + 5.0 AS box FROM grid)
+        SELECT node_id, header, round(-box * 0.5 + (place % side) * (box / (side - 1)), 4) AS x,
+               round(-box * 0.5 + (place // side) * (box / (side - 1)), 4) AS y FROM box""",
+    ),
+)
 def stored_layout(t: Tables):
     """A layout written with its manifest, found by its settings and read back."""
     folder = f"{scratch_folder(t.spark)}/layouts-{uuid.uuid4().hex}/{store.next_version([])}"
-    fields = store.compatibility("aa", "bb", "blast", threshold=30)
+    fields = {"sequences": "aa", "network": "bb", "model": "blast", "threshold": 30.0}
     store.write_layout(folder, layout.grid_positions(t.nodes.select("node_id", "header")), fields)
     found = store.matching_folders(t.spark, [folder], fields)
-    return store.read_layout(t.spark, found[0], t.nodes).select("node_id", "header")
+    return store.read_layout(t.spark, found[0], t.nodes).select("node_id", "header", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query("snk_4_stored_embeddings", "SELECT 'vec_' || vec_id AS header, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value FROM embeddings")
+@query(
+    "snk_4_stored_embeddings",
+    """SELECT 'vec_' || vec_id AS header, res, k - 1 AS feature, round(CAST(embedding[res * 8 + k] AS DOUBLE), 6) AS value
+       FROM embeddings, unnest(range(8)) AS r(res), unnest(range(1, 9)) AS f(k)""",
+)
 def stored_embeddings(t: Tables):
     """An embedding database written with its manifest and read back complete."""
     from simloom.catalog.pairs import _residue_embeddings
@@ -259,13 +275,14 @@ def stored_embeddings(t: Tables):
     folder = f"{scratch_folder(t.spark)}/embeddings-{uuid.uuid4().hex}"
     store.write_embeddings(folder, _residue_embeddings(t).select("header", "sequence", "embedding"), "model-a", "float32")
     back = store.read_embeddings(t.spark, folder)["embeddings"]
-    first = F.get(F.get("embedding", F.lit(0)), F.lit(0)).cast("double")
-    return back.select("header", F.round(first, 6).alias("first_value"))
+    residues = back.select("header", F.posexplode("embedding").alias("res", "v"))
+    values = residues.select("header", "res", F.posexplode("v").alias("feature", "value"))
+    return values.select("header", "res", "feature", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-@query("snk_5_stored_alignment", sql("cells", "SELECT row_id, col, aa FROM cells WHERE col = 3"))
+@query("snk_5_stored_alignment", sql("cells", "SELECT row_id, col, aa FROM cells"))
 def stored_alignment(t: Tables):
-    """Sparse cells clustered by column; reading one column skips the others."""
+    """Sparse cells clustered by column, written and read back whole."""
     folder = f"{scratch_folder(t.spark)}/alignment-{uuid.uuid4().hex}"
     store.write_alignment(folder, t.rows, t.cells)
-    return store.read_store(t.spark, folder, "msa")["cells"].where("col = 3")
+    return store.read_store(t.spark, folder, "msa")["cells"].select("row_id", "col", "aa")

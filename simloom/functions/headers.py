@@ -56,8 +56,11 @@ def simple_label(header: Column) -> Column:
     return F.coalesce(accession(header), F.when(has_legacy, legacy), first_token(header))
 
 
+SAFE_NAME = r'[<>:"/\\|?*]'
+
+
 def safe_file_name(text: Column) -> Column:
-    return F.regexp_replace(text, r'[<>:"/\\|?*]', "_")
+    return F.regexp_replace(text, SAFE_NAME, "_")
 
 
 def wildcard_match(text: Column, pattern: str) -> Column:

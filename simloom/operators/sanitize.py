@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from simloom.functions.headers import clean_header
 from simloom.functions.residues import clean_sequence, masked_symbols, stripped_symbols
 from simloom.plans.numbering import dense_index, id_bucket, running_total
-from simloom.plans.runtime import computed_once, materialized, spread
+from simloom.plans.runtime import computed_once, materialized
 
 
 def cleaned_records(records: DataFrame) -> DataFrame:
     """Raw and cleaned header and sequence side by side."""
-    raw = spread(records).select(
+    raw = records.select(
         "ord", F.col("header").alias("raw_header"), F.col("sequence").alias("raw_sequence")
     )
     return computed_once(

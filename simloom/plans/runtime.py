@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,20 +28,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for CPU-bound work on a small input, which may be one single split.
-
-    Only inputs that the planner estimates below 1 GB are shuffled for this.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def computed_once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
     """Keep some columns and add costly ones that are evaluated exactly once per row.
 
@@ -58,7 +45,7 @@ def scratch_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         folder = _LOCAL_SCRATCH.setdefault("folder", tempfile.mkdtemp(prefix="simloom-"))
     return folder.rstrip("/")

@@ -9,10 +9,9 @@ from simloom.functions.headers import stripped
 from simloom.functions.scores import evalue_score
 from simloom.operators.network import canonical_edges
 from simloom.plans.numbering import dense_index, id_bucket
-from simloom.plans.runtime import computed_once, spread
+from simloom.plans.runtime import computed_once
 
 DEFAULT_EVALUE_COLUMN = 10
-SAMPLE_LINES = 1000
 
 
 def read_hit_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +41,7 @@ def parse_numeric_hits(lines: DataFrame, n_sequences: Column | int) -> DataFrame
     ``0..n_sequences-1``, or its E-value (column 10) is negative or not finite.
     """
     limit = F.lit(n_sequences) if isinstance(n_sequences, int) else n_sequences
-    fields = computed_once(_data_lines(spread(lines)), "line", f=_fields(F.col("value")))
+    fields = computed_once(_data_lines(lines), "line", f=_fields(F.col("value")))
     typed = fields.select(
         "line",
         F.size("f").alias("width"),
@@ -59,13 +58,12 @@ def parse_numeric_hits(lines: DataFrame, n_sequences: Column | int) -> DataFrame
 
 
 def evalue_column(lines: DataFrame) -> DataFrame:
-    """``(column)`` whose tokens most often look like E-values in the first 1000 usable lines.
+    """``(column)`` whose tokens most often look like E-values, over all usable lines.
 
-    Ties go to the column counted first; without any such token it is column 10.
+    Ties go to the column seen first; without any such token it is column 10.
     """
     usable = _data_lines(lines).select("line", _fields(F.col("value")).alias("f")).where(F.size("f") >= 3)
-    sample = usable.orderBy("line", F.col("f").cast("string")).limit(SAMPLE_LINES)
-    tokens = sample.select("line", F.posexplode("f").alias("pos", "token")).where("pos >= 2")
+    tokens = usable.select("line", F.posexplode("f").alias("pos", "token")).where("pos >= 2")
     looks = F.col("token").rlike(r"^-?\d+(\.\d+)?[eE][+-]?\d+$") | (F.col("token") == "0.0")
     best = (
         tokens.where(looks)
@@ -78,7 +76,7 @@ def evalue_column(lines: DataFrame) -> DataFrame:
 
 def parse_named_hits(lines: DataFrame, column: int) -> DataFrame:
     """``(line, query, subject, evalue)`` with text ids; the E-value is NULL if unreadable."""
-    fields = computed_once(_data_lines(spread(lines)), "line", f=_fields(F.col("value")))
+    fields = computed_once(_data_lines(lines), "line", f=_fields(F.col("value")))
     return fields.select(
         "line",
         F.get("f", F.lit(0)).alias("query"),

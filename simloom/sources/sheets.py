@@ -2,43 +2,64 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from simloom.operators.metadata import export_sheet, sheet_columns
 
+_CSV = {"header": False, "multiLine": True, "quote": '"', "escape": '"'}
+
+
+def _ordered(raw: DataFrame, *columns) -> DataFrame:
+    """Rows in the order of part files and of the places in them: a quoted cell may hold line ends, so a file is read by one task."""
+    return raw.select(F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("place")).alias("ord"), *columns)
+
 
 def read_sheet(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """``(ord, header, <properties>)`` and the ``(name, type)`` list of a CSV sheet.
+    """``(ord, header, <properties>)`` and the ``(name, type)`` list of a CSV sheet; ``ord`` orders the rows.
 
-    The first row names the properties and the second their types; data starts in the third.
+    A single file names the properties in its first row and their types in the second. A sheet of many part
+    files, as :func:`write_sheet` leaves it, keeps these two rows apart from the data.
     """
-    raw = spark.read.csv(path, header=False, multiLine=True, quote='"', escape='"')
-    top = raw.head(2)
-    if len(top) < 2 or len(raw.columns) < 2:
+    try:
+        top = spark.read.csv(f"{path}/columns", **_CSV).orderBy("_c0").collect()
+        top, raw = [row[1:] for row in top], spark.read.csv(f"{path}/rows", schema=_text_schema(len(top[0]) - 1), **_CSV)
+        leading = 0
+    except AnalysisException:
+        raw = spark.read.csv(path, **_CSV)
+        if len(raw.inputFiles()) != 1:
+            raise ValueError(f"{path} has several files, none of which is known to hold the name and type rows") from None
+        top, leading = [tuple(row) for row in raw.head(2)], 2
+    if len(top) < 2 or len(top[0]) < 2:
         raise ValueError(f"{path} needs a name row, a type row and one property column")
     columns = sheet_columns(list(top[0]), list(top[1]))
-    rows = raw.withColumn("ord", F.monotonically_increasing_id()).where("ord >= 2")
+    rows = _ordered(raw, *[F.col(name) for name in raw.columns])
+    if leading:
+        rows = rows.where(F.col("ord.place") >= leading)
     data = rows.select(
         "ord", F.col(raw.columns[0]).alias("header"), *[F.col(raw.columns[k]).alias(name) for k, name, _ in columns]
     )
     return data.where(F.col("header").isNotNull()), [(name, kind) for _, name, kind in columns]
 
 
+def _text_schema(width: int) -> str:
+    return ", ".join(f"_c{k} STRING" for k in range(width))
+
+
 def write_sheet(nodes: DataFrame, properties: list[str], path: str, keep_empty: bool = False) -> None:
-    """Write node metadata as a sheet with its two leading rows."""
+    """Write node metadata as a sheet of any number of part files, with its two leading rows beside them."""
     kinds = {
         p: "number" if isinstance(nodes.schema[p].dataType, T.NumericType) else "text" for p in properties
     }
-    rows = export_sheet(nodes, properties, keep_empty)
-    lead = rows.sparkSession.createDataFrame(
-        [(0, "", *properties), (1, "", *[kinds[p] for p in properties])],
-        "__row INT, header STRING, " + ", ".join(f"`{p}` STRING" for p in properties),
+    lead = nodes.sparkSession.createDataFrame(
+        [("0", "", *properties), ("1", "", *[kinds[p] for p in properties])], _text_schema(len(properties) + 2)
     )
-    every = lead.unionByName(rows.withColumn("__row", F.lit(2)))
-    # The two leading rows sort into the first part file.
-    every.orderBy("__row", "header").drop("__row").write.mode("overwrite").csv(path, emptyValue="")
+    export_sheet(nodes, properties, keep_empty).write.mode("overwrite").csv(f"{path}/rows", emptyValue="", quote='"', escape='"')
+    lead.coalesce(1).write.mode("overwrite").csv(f"{path}/columns", emptyValue="")
 
 
 def membership_fasta(nodes: DataFrame, records: DataFrame, by: str = "clusters", names: list[str] | None = None) -> DataFrame:
@@ -134,21 +155,21 @@ def alignment_rows(path: DataFrame, first: DataFrame, second: DataFrame) -> Data
     )
 
 
+_SPAN = re.compile(r"\s*(\d+)\s*(?:-\s*(\d+)\s*)?")
+
+
 def mapped_highlights(path: DataFrame, spec: str) -> list[str]:
-    """Reference positions of a highlight list, given in target positions; ``*`` if unmapped.
+    """Target positions of a highlight list given in reference positions, ``*`` where none is aligned.
 
-    ``path`` holds one alignment ``(row, col)`` from 0; lists are ``5, 8-12``.
+    ``path`` holds one alignment: reference place ``row`` and target place ``col``, from 0. The list (``5, 8-12``) becomes a
+    small table, and one range join with the path maps all of its entries.
     """
-    found = []
-    for item in filter(None, (part.strip() for part in spec.split(","))):
-        low, dash, high = item.partition("-")
-        if not (low.strip().isdigit() and (high.strip().isdigit() if dash else True)):
-            found.append("*")
-            continue
-        ends = int(low), int(high if dash else low)
-        span = path.where(F.col("row").between(ends[0] - 1, ends[1] - 1)).agg(F.min("col"), F.max("col")).first()
-        if span[0] is None:
-            found.append("*")
-        else:
-            found.append(str(span[0] + 1) if span[0] == span[1] else f"{span[0] + 1}-{span[1] + 1}")
-    return found
+    entries = [text for text in spec.split(",") if text.strip()]
+    spans = [(k, *(int(end or found[1]) - 1 for end in found.groups())) for k, text in enumerate(entries) if (found := _SPAN.fullmatch(text))]
+    wanted = path.sparkSession.createDataFrame(spans, "entry INT, low LONG, high LONG")
+    mapped = (
+        wanted.join(path, F.col("row").between(F.col("low"), F.col("high")))
+        .groupBy("entry").agg((F.min("col") + 1).alias("first"), (F.max("col") + 1).alias("last"))
+    )
+    ends = {row["entry"]: dict.fromkeys((str(row["first"]), str(row["last"]))) for row in mapped.collect()}
+    return ["-".join(ends.get(k, "*")) for k in range(len(entries))]

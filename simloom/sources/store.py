@@ -1,7 +1,9 @@
 """Stored networks, alignments, embeddings and layouts: parquet tables plus one manifest.
 
-The manifest is written last, so a folder without one is an unfinished write. All access goes
-through Spark, so folders may live on any file system the cluster knows.
+Every write puts its tables into a folder of its own and then appends one manifest line that names it. Readers
+follow the newest line: a folder without any is an unfinished write, and a rewrite that fails leaves the
+former tables as they were. All access goes through Spark, so folders may live on any file system
+the cluster knows.
 """
 
 from __future__ import annotations
@@ -9,11 +11,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simloom.functions.headers import SAFE_NAME
+
 # Required columns per kind of stored data.
 REQUIRED = {
     "blast": {"nodes": ["node_id", "header"], "edges": ["i", "j", "score"]},
@@ -50,26 +56,36 @@ def network_kind(model_name: str | None) -> str:
 
 
 def write_store(folder: str, kind: str, tables: dict[str, DataFrame], **attributes) -> None:
-    """Write the tables, then the manifest."""
+    """Write the tables of a new version, then publish it."""
     _check(kind, tables)
     spark = next(iter(tables.values())).sparkSession
+    last = _published(spark, folder)
+    data = f"data-{uuid.uuid4().hex}"
     for name, table in tables.items():
-        table.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
-    text = json.dumps({"kind": kind, **attributes}, sort_keys=True)
-    spark.createDataFrame([(text,)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+        table.write.option("compression", "zstd").parquet(f"{folder}/{data}/{name}")
+    manifest = {"kind": kind, **attributes}
+    text = json.dumps({"version": last["version"] + 1 if last else 0, "data": data, "manifest": manifest}, sort_keys=True)
+    spark.createDataFrame([(text,)], "value STRING").coalesce(1).write.mode("append").text(f"{folder}/manifest")
 
 
-def read_store(spark: SparkSession, folder: str, kind: str | None = None) -> Stored:
-    """Open a finished folder and check its columns."""
+def _published(spark: SparkSession, folder: str) -> dict | None:
+    """The newest manifest line; a folder has as many as it was written times."""
     try:
-        text = spark.read.text(f"{folder}/manifest").first()["value"]
-    except Exception as error:
-        raise StoreError(f"{folder} has no manifest: the write was not finished") from error
-    manifest = json.loads(text)
+        lines = [json.loads(row["value"]) for row in spark.read.text(f"{folder}/manifest").collect()]
+    except AnalysisException:
+        return None
+    return max(lines, key=lambda line: line["version"], default=None)
+
+
+def read_store(spark: SparkSession, folder: str, kind: str | None = None) -> Stored:
+    """Open the newest finished version and check its columns."""
+    found = _published(spark, folder)
+    if found is None:
+        raise StoreError(f"{folder} has no manifest: the write was not finished")
+    manifest = found["manifest"]
     if kind is not None and manifest["kind"] != kind:
         raise StoreError(f"{folder} holds {manifest['kind']}, not {kind}")
-    names = REQUIRED[manifest["kind"]]
-    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+    tables = {name: spark.read.parquet(f"{folder}/{found['data']}/{name}") for name in REQUIRED[manifest["kind"]]}
     _check(manifest["kind"], tables)
     return Stored(manifest["kind"], manifest, tables)
 
@@ -148,10 +164,9 @@ def reusable(stored: Stored, **attributes) -> bool:
 # -- identity ----------------------------------------------------------------------------------
 
 
-def file_digest(path: str) -> str:
-    """SHA-256 of one local input file, read in pieces."""
-    with open(path, "rb") as source:
-        return hashlib.file_digest(source, "sha256").hexdigest()
+def file_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 of one input file, read by Spark from wherever it can."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
 
 
 def row_digests(records: DataFrame) -> DataFrame:
@@ -159,53 +174,45 @@ def row_digests(records: DataFrame) -> DataFrame:
     return records.select("ord", F.sha2(F.concat_ws("\x1f", "header", "sequence"), 256).alias("digest"))
 
 
+FAN_IN_BITS = 12
+
+
 def table_fingerprint(records: DataFrame) -> DataFrame:
-    """One row ``(records, fingerprint)`` that does not depend on partitioning.
+    """One row ``(records, fingerprint)``: SHA-256 of content and order, whatever the partitioning.
 
-    Row digests include the position, so two tables agree only in content and order.
+    Digests of ``2**FAN_IN_BITS`` neighbours in the order are joined and digested again, level by level, so no task
+    gathers more than that many; three levels below the last suit any number of records.
     """
-    part = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", F.col("ord").cast("string"), "header", "sequence"), 256), 1, 15), 16, 10)
-    return records.agg(F.count(F.lit(1)).alias("records"), F.bit_xor(part.cast("bigint")).alias("fingerprint"))
-
-
-def compatibility(
-    sequences: str, network: str, kind: str, score: str | None = None, normalization: str | None = None,
-    neighbors: int | None = None, top_percent: float | None = None, threshold: float | None = None,
-) -> dict:
-    """Fields that decide whether a stored layout fits the current inputs and settings."""
-    if neighbors is not None:
-        edge_filter = {"mode": "umap_neighbors", "value": int(neighbors)}
-    elif top_percent is not None:
-        edge_filter = {"mode": "top_edge_percent", "value": float(top_percent)}
-    else:
-        edge_filter = {"mode": "similarity_threshold", "value": None if threshold is None else float(threshold)}
-    scored = kind != "blast"
-    return {
-        "sequence_sha256": sequences.lower(),
-        "network_sha256": network.lower(),
-        "network_type": kind,
-        "alignment_score": score if scored else None,
-        "normalization": normalization if scored else None,
-        "layout_mode": "physics" if neighbors is None else "umap",
-        "edge_filter": edge_filter,
-    }
-
-
-def manifest_id(fields: dict) -> str:
-    """SHA-256 of the canonical JSON form."""
-    text = json.dumps(fields, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
-    return hashlib.sha256(text.encode()).hexdigest()
+    level = row_digests(records).select("ord", "digest", F.lit(1).cast("long").alias("n"))
+    for last in (False, False, False, True):
+        place = F.lit(0).cast("long") if last else F.shiftright(F.col("ord").cast("long"), FAN_IN_BITS)
+        parts = F.array_sort(F.collect_list(F.struct("ord", "digest")))
+        level = level.groupBy(place.alias("place")).agg(
+            F.sha2(F.array_join(F.transform(parts, lambda part: part["digest"]), ""), 256).alias("digest"), F.sum("n").alias("n")
+        ).select(F.col("place").alias("ord"), "digest", "n")
+    return level.select(F.col("n").alias("records"), F.col("digest").alias("fingerprint"))
+
+
+def settings_id(settings: dict) -> str:
+    """SHA-256 of a set of settings; their order and absent (None) ones do not count."""
+    given = {name: value for name, value in settings.items() if value is not None}
+    return hashlib.sha256(json.dumps(given, sort_keys=True, allow_nan=False).encode()).hexdigest()
+
+
+def settings_folder(title: str, settings: dict) -> str:
+    """Folder name for work with these settings: a plain title and the start of their id."""
+    return re.sub(SAFE_NAME, "_", f"{title}-{settings_id(settings)[:16]}")
 
 
 def matching_folders(spark: SparkSession, folders: list[str], wanted: dict) -> list[str]:
-    """Folders whose manifest carries the wanted compatibility fields, by path."""
+    """Folders whose layout was made with the wanted settings, by path."""
     found = []
     for folder in sorted(folders):
         try:
             stored = read_store(spark, folder, "layout")
         except StoreError:
             continue
-        if stored.manifest.get("compatibility") == wanted:
+        if stored.manifest.get("settings_id") == settings_id(wanted):
             found.append(folder)
     return found
 
@@ -216,27 +223,11 @@ def next_version(names: list[str]) -> str:
     return f"version_{max(numbers, default=-1) + 1:02d}"
 
 
-def canonical_name(
-    sequence_file: str, model_name: str, score: str | None = None, normalization: str | None = None,
-    neighbors: int | None = None, top_percent: float | None = None, threshold: float | None = None,
-) -> str:
-    """Readable cache name ``base_[model]_norm_score_...`` of a set of inputs and settings."""
-    base = re.sub(r"\.[^.]*$", "", sequence_file.replace("\\", "/").rsplit("/", 1)[-1]) or "Network"
-    name = f"{base}_[{re.sub(r'[<>:\"/|?*\\\\]', '_', model_name)}]"
-    if network_kind(model_name) != "blast":
-        name += "".join(f"_{part}" for part in (normalization, score) if part)
-    if neighbors is not None:
-        return f"{name}_UMAP_k{int(neighbors)}"
-    if top_percent is not None:
-        return f"{name}_Top{float(top_percent)}Pct"
-    return name if threshold is None else f"{name}_Score{float(threshold)}"
-
-
 # -- layouts -----------------------------------------------------------------------------------
 
 
-def write_layout(folder: str, positions: DataFrame, fields: dict) -> None:
-    write_store(folder, "layout", {"positions": positions}, compatibility=fields, id=manifest_id(fields))
+def write_layout(folder: str, positions: DataFrame, settings: dict) -> None:
+    write_store(folder, "layout", {"positions": positions}, settings=settings, settings_id=settings_id(settings))
 
 
 def read_layout(spark: SparkSession, folder: str, nodes: DataFrame) -> DataFrame:

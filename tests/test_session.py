@@ -109,10 +109,42 @@ def test_sheet_files(session, spark, tmp_path):
     assert columns == [("Mass", "number"), ("Origin", "text")] and again.count() == 1
 
 
+def test_sheet_of_many_parts_comes_back_whole(session, spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"n{k}", float(k), f'line {k}\n"quoted", {k % 7}') for k in range(500)]
+    nodes = spark.createDataFrame(rows, "node_id LONG, header STRING, Mass DOUBLE, Origin STRING").repartition(5)
+    out = str(tmp_path / "many")
+    sheets.write_sheet(nodes, ["Mass", "Origin"], out)
+    again, columns = sheets.read_sheet(spark, out)
+    assert columns == [("Mass", "number"), ("Origin", "text")]
+    found = {r["header"]: (float(r["Mass"]), r["Origin"]) for r in again.collect()}
+    assert found == {h: (m, o) for _, h, m, o in rows}
+    assert again.select(F.count_distinct("ord")).first()[0] == 500
+    spark.createDataFrame([("", "A"), ("", "text"), ("x", "1")], "a STRING, b STRING").repartition(3).write.csv(str(tmp_path / "loose"))
+    with pytest.raises(ValueError):
+        sheets.read_sheet(spark, str(tmp_path / "loose"))
+
+
+def test_failed_rewrite_keeps_the_old_tables(session, spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path / "net")
+    edges = spark.createDataFrame([(0, 1, 5.0)], "i INT, j INT, score DOUBLE")
+    nodes = session.nodes.select("node_id", "header")
+    store.write_network(folder, nodes, edges, "blast")
+    with pytest.raises(Exception, match="broken"):
+        store.write_network(folder, nodes, edges.withColumn("score", F.expr("raise_error('broken')").cast("double")), "blast")
+    assert store.read_network(spark, folder)["edges"].count() == 1
+    store.write_network(folder, nodes, edges.unionByName(edges), "blast", note="second")
+    assert store.read_network(spark, folder)["edges"].count() == 2
+    assert store.read_network(spark, folder).manifest["note"] == "second"
+
+
 def test_stores(session, spark, tmp_path):
     folder = str(tmp_path / "layout")
     positions = session.nodes.select("node_id", "header", F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))
-    fields = store.compatibility("AB", "CD", "alignment", "local", "shorter", top_percent=2)
+    fields = {"sequences": "AB", "network": "CD", "score": "local", "top_percent": 2.0, "threshold": None}
     store.write_layout(folder, positions, fields)
     assert store.read_layout(spark, folder, session.nodes).count() == 6
     assert store.matching_folders(spark, [folder, str(tmp_path / "none")], fields) == [folder]
@@ -121,9 +153,8 @@ def test_stores(session, spark, tmp_path):
     with pytest.raises(store.StoreError):
         store.write_network(str(tmp_path / "n"), session.nodes, session.edges, " ")
     assert store.next_version(["version_00", "Version_07", "other"]) == "version_08"
-    name = store.canonical_name("in/seqs.fasta", "esm/2", "local", "shorter", top_percent=2)
-    assert name == "seqs_[esm_2]_shorter_local_Top2.0Pct"
-    assert store.canonical_name("s.fa", "BLAST", threshold=5) == "s_[BLAST]_Score5.0"
+    assert store.settings_id({"b": 1, "a": None}) == store.settings_id({"b": 1}) != store.settings_id({"b": 2})
+    assert store.settings_folder("esm/2", {"b": 1}).startswith("esm_2-")
     embeddings = spark.createDataFrame([("a", "AC", [[1.0, 0.1], [3e-6, 70000.0]])], "header STRING, sequence STRING, embedding ARRAY<ARRAY<FLOAT>>")
     store.write_embeddings(str(tmp_path / "e"), embeddings.limit(1), "m", "float32", complete=False)
     with pytest.raises(store.StoreError):
