@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from simloom.llm.shared import map_rows
 
 MARK = "▁"
-KNOWN = 250_000
+KNOWN = 400_000
 LONG_WORD = 48
 # A run of blanks belongs to the word that follows; line ends are never part of a piece.
 SEGMENT = re.compile(r"▁*[^▁\n]+|▁+|\n")
@@ -43,7 +43,7 @@ class PrefixCounter:
             raise ValueError("a piece holds a blank after another character")
         self.longest = max(map(len, self.score))
         self.follows: dict[tuple[str, str], bool] = {}
-        self.states: dict[str, tuple[str, int]] = {}
+        self.states: dict[str, tuple[tuple[str, ...], bytes]] = {}
         self.known: dict[str, tuple[int, bytes]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -61,7 +61,7 @@ class PrefixCounter:
         key = (last, piece)
         found = self.follows.get(key)
         if found is None:
-            if len(self.follows) > 4 * KNOWN:
+            if len(self.follows) > 2 * KNOWN:
                 self.follows = {}
             found = self.follows[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return found
@@ -73,32 +73,32 @@ class PrefixCounter:
             return char, counts[end - 1] + len(char.encode())
         for size in range(min(self.longest, end), 1, -1):
             piece = text[end - size : end]
-            if piece in self.score:
-                if self._may_follow(last[end - size], piece):
-                    return piece, counts[end - size] + 1
+            if piece in self.score and self._may_follow(last[end - size], piece):
+                return piece, counts[end - size] + 1
         return char, counts[end - 1] + 1
 
     def segment(self, text: str) -> tuple[int, bytes]:
-        """Token count of an independent stretch, and the change of the count at each of its characters."""
-        found = self.known.get(text)
-        if found is not None:
-            return found
+        """Token count of an independent stretch, and the change of the count at each of its characters.
+
+        The states of the longest prefix met before are taken over, so words that begin alike share their work.
+        """
         short = len(text) <= LONG_WORD
-        last, counts, changes = [""], [0], []
-        states = self.states if short else {}
-        for end in range(1, len(text) + 1):
-            prefix = text[:end] if short else None
-            state = states.get(prefix) if short else None
-            if state is None:
-                state = self._next(last, counts, text, end)
-                if short:
-                    states[prefix] = state
-            last.append(state[0])
-            counts.append(state[1])
-            changes.append(counts[-1] - counts[-2])
-        out = counts[-1], np.array(changes, np.int8).tobytes()
+        last, counts = [""], [0]
+        if short:
+            for cut in range(len(text) - 1, 0, -1):
+                state = self.states.get(text[:cut])
+                if state is not None:
+                    last, counts = list(state[0]), list(state[1])
+                    break
+        for end in range(len(counts), len(text) + 1):
+            piece, count = self._next(last, counts, text, end)
+            last.append(piece)
+            counts.append(count)
+            if short:  # at most four tokens a character, so counts fit into bytes
+                self.states[text[:end]] = tuple(last), bytes(counts)
+        out = counts[-1], bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
         if short:
-            if len(self.states) > 2 * KNOWN:
+            if len(self.states) > KNOWN:
                 self.states.clear()
             if len(self.known) > KNOWN:
                 self.known.clear()
