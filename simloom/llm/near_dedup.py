@@ -16,7 +16,7 @@ from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simloom.llm.shared import discard, map_rows, materialized
@@ -27,6 +27,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ENTRIES = 12
 PICKS = 3
+BITMAP = 4096
 NULL_ID = -(1 << 63)
 SEEDS = mix(np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -174,21 +175,35 @@ def _mixed(placed: DataFrame) -> DataFrame:
 
 
 def _shared_counts(texts: DataFrame) -> DataFrame:
-    """``(node, own, shared)``: labelled shingles of each text, and those among them that another of these texts has too.
+    """``(node, own, shared, bits)``: labelled shingles of each text, those among them that another of these texts has too, and a bitmap.
 
-    Two texts cannot have more in common than either shares with anyone, which bounds their similarity without a comparison.
+    Two texts cannot have more in common than either shares with anyone, and a bit that one sets and the other does not is a
+    shingle they do not share. Both bound the similarity from above without a comparison.
     """
 
     def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
         for rows in slices:
-            yield {"node": [row[0] for row in rows], "marks": [shingles_of(np.frombuffer(row[1], "<u4").astype(np.uint64)).view(np.int64) for row in rows]}
+            own = [shingles_of(np.frombuffer(row[1], "<u4").astype(np.uint64)) for row in rows]
+            yield {"node": [row[0] for row in rows], "marks": [marks.view(np.int64) for marks in own], "bits": [_bitmap(marks) for marks in own]}
 
-    marks = materialized(map_rows(texts.select("node", "sequence"), work, "node long, marks array<long>"))
+    marks = materialized(map_rows(texts.select("node", "sequence"), work, "node long, marks array<long>, bits array<long>"))
     each = marks.select("node", F.explode("marks").alias("mark"))
     # Written, so that the join is a plain one and a shingle of very many texts can be split.
     common = materialized(each.groupBy("mark").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("mark"))
     shared = each.join(common, "mark").groupBy("node").agg(F.count(F.lit(1)).alias("shared"))
-    return marks.select("node", F.size("marks").alias("own")).join(shared, "node")
+    return marks.select("node", F.size("marks").alias("own"), "bits").join(shared, "node")
+
+
+def _bitmap(marks: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITMAP, bool)
+    bits[(marks % np.uint64(BITMAP)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+def _missing(one: str, other: str) -> Column:
+    """Bits that one bitmap sets and the other does not: no more than the shingles of the one text that the other lacks."""
+    lone = F.zip_with(one, other, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))))
+    return F.aggregate(lone, F.lit(0), lambda total, n: total + n)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -208,10 +223,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     )
     entries = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col(name)) for k, name in enumerate(names)]))
     members = nodes.where(" or ".join(f"{name} <> 0" for name in names)).select("node", entries.alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("order"), "node")).alias("head"), F.count(F.lit(1)).alias("n"))
-    shared = materialized(
-        members.join(heads.where("n > 1"), "bucket").select("bucket", F.col("head.node").alias("u"), F.col("node").alias("v"))
-    )
+    # The centre of a bucket is its member whose own buckets hold the most texts: one that others have been edited from, if there is any.
+    members = materialized(members.join(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket"))
+    typical = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    ranked = materialized(members.select("bucket", "node").join(typical, "node"))
+    heads = ranked.groupBy("bucket").agg(F.max(F.struct("weight", F.xxhash64("node").alias("order"), "node"))["node"].alias("u"))
+    shared = materialized(ranked.join(heads, "bucket").select("bucket", "u", F.col("node").alias("v")))
     spokes = shared.where("u <> v").select("u", "v").distinct()
     pairs = materialized(spokes)
     wanted = shared.select(F.col("v").alias("node")).distinct().join(nodes.select("node", "k1", "k2", "id"), "node")
@@ -230,7 +247,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     counted = materialized(_shared_counts(open_.select("node").distinct().join(sequences, "node")))
     # Some partner can be left only for a text that shares a share of ``threshold`` of its own shingles.
     able = materialized(_mixed(open_.join(counted.where(F.col("shared") >= threshold * F.col("own")), "node")))
-    side = lambda name: able.select("bucket", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "distance", "component", "own", "shared")])
+    side = lambda name: able.select("bucket", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "distance", "component", "own", "shared", "bits")])
+    common = F.least(F.col("own_u") - _missing("bits_u", "bits_v"), F.col("own_v") - _missing("bits_v", "bits_u"))
     least = threshold / (1 + threshold) * (F.col("own_u") + F.col("own_v"))
     rest = (
         side("u").join(side("v"), "bucket")
@@ -238,6 +256,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             (F.col("component_u") < F.col("component_v"))
             & (F.abs(F.col("distance_u") - F.col("distance_v")) <= 1 - threshold + 1e-9)
             & (F.least("shared_u", "shared_v") >= least - 1e-9)
+            & (common >= least - 1e-9)
         )
         .select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
     )
@@ -245,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     if second.take(1):
         more = second.select(F.col("u").alias("i"), F.col("v").alias("j"))
         classes = materialized(connected_components(touched, links.unionByName(more)))
-    for scratch in (shared, pairs, sequences, open_, able):
+    for scratch in (members, ranked, shared, pairs, sequences, open_, able):
         discard(scratch)
 
     named = nodes.select("node", "k1", "k2").join(classes.withColumnRenamed("node_id", "node"), "node", "left")
