@@ -1,17 +1,11 @@
-"""Network layout as Spark jobs: grid start, force steps and component placement.
-
-Positions are ``(node_id, x, y)``. Springs are edge joins; repulsion has a cutoff, so nodes are
-binned into square cells of that size and only neighbouring cells of one component are joined.
-"""
+"""Start positions ``(node_id, x, y)`` of a network: a grid, or eigenvectors of its Laplacian."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.functions.noise import hashed_normal, hashed_uniform
+from simloom.functions.noise import hashed_normal
 from simloom.plans.numbering import dense_index, dense_index_by_id, id_bucket
 from simloom.plans.runtime import materialized, materialized_with
 
@@ -36,73 +30,6 @@ def grid_positions(nodes: DataFrame, scale: float = 1.0) -> DataFrame:
     ).drop("__place", "__side", "__box")
 
 
-def force_step(
-    state: DataFrame,
-    edges: DataFrame,
-    box: float | Column,
-    cutoff: float,
-    dt: float = 0.1,
-    damping: float = 1.0,
-    spring: float = 1.0,
-    coulomb: float = 10.0,
-    max_pair_force: float = 0.0,
-    max_repulsion: float = 0.0,
-) -> DataFrame:
-    """One Euler step of ``(node_id, component, x, y, vx, vy)``.
-
-    Springs pull with ``-spring * distance``. Nodes of one component repel with
-    ``coulomb / max(distance, 0.5)**2``, capped per pair and per node, faded out from 80% of the
-    cutoff on. Walls reflect with half the speed.
-    """
-    push = _repulsion(state, cutoff, coulomb, max_pair_force)
-    return _moved(state, _springs(state, edges, spring), push, box, dt, damping, max_repulsion)
-
-
-def sampled_step(
-    state: DataFrame,
-    edges: DataFrame,
-    box: float | Column,
-    cutoff: float,
-    turn: int,
-    samples: int,
-    temperature: float = 0.0,
-    dt: float = 0.1,
-    damping: float = 0.5,
-    spring: float = 0.1,
-    coulomb: float = 50.0,
-    max_pair_force: float = 20.0,
-    max_repulsion: float = 0.0,
-    seed: int = 42,
-) -> DataFrame:
-    """Stochastic step: repulsion from sampled partners plus thermal noise.
-
-    ``state`` also has ``place`` (0.. within the component) and ``size``. Each node draws
-    ``samples`` other members of its component; their forces are scaled to the whole component.
-    The noise on the velocity is ``sqrt(2 * damping * temperature * dt)``.
-    """
-    drawn = state.where("size > 1").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    pick = F.floor(hashed_uniform(seed, F.lit(turn), "node_id", "k") * (F.col("size") - 1)).cast("long")
-    drawn = drawn.withColumn("partner", pick + F.when(pick >= F.col("place"), 1).otherwise(0))
-    other = state.select("component", F.col("place").alias("partner"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    force_x, force_y = _pair_force(cutoff, coulomb, max_pair_force)
-    scale = (F.col("size") - 1) / samples
-    push = (
-        drawn.join(other, ["component", "partner"])
-        .withColumn("d", F.sqrt((F.col("x") - F.col("ox")) ** 2 + (F.col("y") - F.col("oy")) ** 2))
-        .where((F.col("d") > 0) & (F.col("d") <= cutoff))
-        .groupBy("node_id")
-        .agg(F.sum(force_x * scale).alias("rx"), F.sum(force_y * scale).alias("ry"))
-    )
-    noise = math.sqrt(2.0 * damping * temperature * dt) if temperature > 0 else 0.0
-    return _moved(state, _springs(state, edges, spring), push, box, dt, damping, max_repulsion, noise, turn, seed)
-
-
-def annealed_temperature(turn: int, max_turns: int, start: float, noise_scale: float = 1.0) -> float:
-    """Temperature that falls linearly to zero over the first half of the steps."""
-    progress = turn / max(1.0, float(max_turns))
-    return max(0.0, start * (1.0 - progress / 0.5)) * noise_scale if progress < 0.5 else 0.0
-
-
 def with_places(state: DataFrame) -> DataFrame:
     """Add the place of every node within its component and the component size."""
     sizes = state.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -110,97 +37,13 @@ def with_places(state: DataFrame) -> DataFrame:
     return placed.join(sizes, "component")
 
 
-def _springs(state: DataFrame, edges: DataFrame, spring: float) -> DataFrame:
-    at = state.select("node_id", "x", "y")
-    ends = edges.join(at.withColumnsRenamed({"node_id": "i", "x": "xi", "y": "yi"}), "i").join(
-        at.withColumnsRenamed({"node_id": "j", "x": "xj", "y": "yj"}), "j"
-    )
-    pull_x, pull_y = spring * (F.col("xj") - F.col("xi")), spring * (F.col("yj") - F.col("yi"))
-    both = F.array(
-        F.struct(F.col("i").alias("node_id"), pull_x.alias("fx"), pull_y.alias("fy")),
-        F.struct(F.col("j").alias("node_id"), (-pull_x).alias("fx"), (-pull_y).alias("fy")),
-    )
-    return ends.select(F.inline(both)).groupBy("node_id").agg(F.sum("fx").alias("sx"), F.sum("fy").alias("sy"))
-
-
-def _moved(
-    state: DataFrame,
-    springs: DataFrame,
-    push: DataFrame,
-    box: float | Column,
-    dt: float,
-    damping: float,
-    max_repulsion: float,
-    noise: float = 0.0,
-    turn: int = 0,
-    seed: int = 42,
-) -> DataFrame:
-    """Apply summed forces: cap the repulsion, damp, step and reflect at the walls."""
-    norm = F.sqrt(F.col("rx") ** 2 + F.col("ry") ** 2)
-    shrink = F.lit(1.0)
-    if max_repulsion > 0:
-        shrink = F.when(norm > max_repulsion, max_repulsion / norm).otherwise(F.lit(1.0))
-    moved = state.join(springs, "node_id", "left").join(push, "node_id", "left")
-    limit = box if isinstance(box, Column) else F.lit(float(box))
-    zero = F.lit(0.0)
-    for axis in "xy":
-        force = F.coalesce(f"s{axis}", zero) + F.coalesce(F.col(f"r{axis}") * shrink, zero)
-        speed = F.col(f"v{axis}") + (force - damping * F.col(f"v{axis}")) * dt
-        if noise:
-            speed = speed + noise * hashed_normal(seed, F.lit(f"{axis}{turn}"), "node_id")
-        moved = moved.withColumn(f"__v{axis}", speed)
-    for axis in "xy":
-        target = F.col(axis) + F.col(f"__v{axis}") * dt
-        outside = F.abs(target) > limit
-        moved = moved.withColumns(
-            {
-                f"__{axis}": F.greatest(-limit, F.least(limit, target)),
-                f"__v{axis}": F.when(outside, F.col(f"__v{axis}") * -0.5).otherwise(F.col(f"__v{axis}")),
-            }
-        )
-    square = (F.col("__x") - F.col("x")) ** 2 + (F.col("__y") - F.col("y")) ** 2
-    kept = [c for c in state.columns if c not in {"x", "y", "vx", "vy"}]
-    return moved.select(
-        *kept, *[F.col(f"__{c}").alias(c) for c in ("x", "y", "vx", "vy")], square.alias("moved_sq")
-    )
-
-
-def _pair_force(cutoff: float, coulomb: float, max_pair_force: float) -> tuple[Column, Column]:
-    """Repulsion vector between ``(x, y)`` and ``(ox, oy)`` at distance ``d``."""
-    force = F.lit(coulomb) / F.pow(F.greatest("d", F.lit(0.5)), F.lit(2.0))
-    if max_pair_force > 0:
-        force = F.least(force, F.lit(max_pair_force))
-    fade = F.when(F.col("d") > cutoff * 0.8, (cutoff - F.col("d")) / max(cutoff * 0.2, 1e-9)).otherwise(F.lit(1.0))
-    force = force * fade / F.col("d")
-    return force * (F.col("x") - F.col("ox")), force * (F.col("y") - F.col("oy"))
-
-
-def _repulsion(state: DataFrame, cutoff: float, coulomb: float, max_pair_force: float) -> DataFrame:
-    """Summed repulsion per node. Pairs stay inside the join; only sums are shuffled."""
-    cell = state.select(
-        "node_id", "component", "x", "y", F.floor(F.col("x") / cutoff).alias("cx"), F.floor(F.col("y") / cutoff).alias("cy")
-    )
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    other = (
-        cell.select(
-            F.col("node_id").alias("other"), "component", F.col("x").alias("ox"), F.col("y").alias("oy"), "cx", "cy",
-            F.explode(around).alias("shift"),
-        )
-        .select("other", "component", "ox", "oy", (F.col("cx") + F.col("shift.dx")).alias("cx"), (F.col("cy") + F.col("shift.dy")).alias("cy"))
-    )
-    dx, dy = F.col("x") - F.col("ox"), F.col("y") - F.col("oy")
-    pairs = cell.join(other, ["component", "cx", "cy"]).withColumn("d", F.sqrt(dx**2 + dy**2))
-    pairs = pairs.where((F.col("d") > 0) & (F.col("d") <= cutoff))
-    force_x, force_y = _pair_force(cutoff, coulomb, max_pair_force)
-    return pairs.groupBy("node_id").agg(F.sum(force_x).alias("rx"), F.sum(force_y).alias("ry"))
-
-
-def spectral_positions(edges: DataFrame, components: DataFrame, rounds: int = 30, seed: int = 42) -> DataFrame:
+def spectral_positions(edges: DataFrame, components: DataFrame, tolerance: float = 1e-3, seed: int = 42) -> DataFrame:
     """Start positions ``(node_id, component, x, y)`` from eigenvectors of the network.
 
     The second and third eigenvector of the normalised Laplacian of every component come from
     subspace iteration on half of ``I + D^-1/2 W D^-1/2``: one edge join per round, with sums per
-    component. They are scaled to 80% of half the box; components below four nodes get a grid.
+    component, until no coordinate moves by more than ``tolerance`` in a round. They are scaled to 80% of half the
+    box; components below four nodes get a grid.
     """
     weight = F.col("score").cast("double")
     both = materialized(
@@ -220,19 +63,23 @@ def spectral_positions(edges: DataFrame, components: DataFrame, rounds: int = 30
         hashed_normal(seed, F.lit("u"), "node_id").alias("u"), hashed_normal(seed, F.lit("v"), "node_id").alias("v"),
     )
     state = materialized(_orthogonal(state))
-    for _ in range(rounds):
+    residual = float("inf")
+    while residual > tolerance:
         spread_out = both.join(
             state.select(F.col("node_id").alias("other"), *[(F.col(c) / F.nullif("root", F.lit(0.0))).alias(c) for c in "uv"]),
             "other",
         )
         sums = spread_out.groupBy("node_id").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in "uv"])
-        stepped = state.join(sums, "node_id", "left").withColumns(
+        before = [F.col(c).alias(f"old_{c}") for c in "uv"]
+        stepped = state.select("*", *before).join(sums, "node_id", "left").withColumns(
             {
                 c: 0.5 * (F.col(c) + F.coalesce(F.col(f"s{c}") / F.nullif("root", F.lit(0.0)), F.lit(0.0)))
                 for c in "uv"
             }
         )
-        state = materialized(_orthogonal(stepped.drop("su", "sv")))
+        moved = F.greatest(*[F.abs(F.col(c) - F.col(f"old_{c}")) for c in "uv"])
+        state, seen = materialized_with(_orthogonal(stepped.drop("su", "sv")), residual=F.max(moved))
+        residual, state = seen["residual"] or 0.0, state.drop("old_u", "old_v")
     box = box_limit(F.col("size"))
     ranges = state.groupBy("component").agg(*[f(c).alias(f"{n}{c}") for c in "uv" for n, f in (("lo", F.min), ("hi", F.max))])
     side = F.ceil(F.sqrt("size"))
@@ -266,68 +113,3 @@ def _orthogonal(state: DataFrame) -> DataFrame:
     return state.join(norms, "component").withColumns(
         {c: F.coalesce(F.col(c) / F.nullif(f"n{c}", F.lit(0.0)), F.lit(0.0)) for c in "uv"}
     ).drop("nu", "nv")
-
-
-def force_layout(
-    edges: DataFrame,
-    components: DataFrame,
-    steps: int,
-    start: DataFrame | None = None,
-    tolerance: float = 1e-3,
-    stochastic: bool = False,
-    start_temperature: float = 1.0,
-    samples: int = 10,
-    **forces,
-) -> DataFrame:
-    """Force-directed positions ``(node_id, component, x, y)`` until the moves are small.
-
-    Starts from given positions or from a grid. Each step is written to the shared folder; the
-    driver only sees one root-mean-square value per step.
-    """
-    if start is None:
-        start = grid_positions(components.select("node_id")).join(components, "node_id")
-    moving = start.select("node_id", "component", "x", "y", F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
-    state = materialized(with_places(moving).withColumn("box", box_limit(F.col("size"))))
-    for turn in range(steps):
-        if stochastic:
-            heat = annealed_temperature(turn, steps, start_temperature)
-            stepped = sampled_step(state, edges, F.col("box"), turn=turn, samples=samples, temperature=heat, **forces)
-        else:
-            stepped = force_step(state, edges, F.col("box"), **forces)
-        stepped, totals = materialized_with(stepped, moved=F.avg("moved_sq"))
-        rmsd = math.sqrt(totals["moved"] or 0.0)
-        state = stepped.drop("moved_sq")
-        if rmsd < tolerance:
-            break
-    return state.select("node_id", "component", "x", "y")
-
-
-def packed_components(positions: DataFrame, spacing: float = 5.0) -> DataFrame:
-    """Move components beside each other in rows, the widest area first.
-
-    Works on one bounding box per component; the boxes are ordered by area and node count and
-    placed on shelves whose start is a running total of widths.
-    """
-    from simloom.plans.numbering import running_total
-
-    boxes = positions.groupBy("component").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
-        F.count(F.lit(1)).alias("n"),
-    ).withColumns(
-        {"w": F.col("x1") - F.col("x0") + spacing, "h": F.col("y1") - F.col("y0") + spacing}
-    )
-    area = F.col("w") * F.col("h")
-    ranked = dense_index(boxes, "rank", [-F.floor(area), -F.col("n"), id_bucket("component")], [F.desc(area), F.col("component")])
-    shelf = boxes.agg(F.greatest(F.sqrt(F.sum(area)) * 1.1, F.max("w"))).scalar()
-    placed = running_total(ranked, "end", F.col("w"), [id_bucket("rank")], [F.col("rank")])
-    placed = placed.withColumn("row", F.floor((F.col("end") - F.col("w")) / shelf).cast("long"))
-    starts = placed.groupBy("row").agg(F.min(F.col("end") - F.col("w")).alias("left"), F.max("h").alias("height"))
-    starts = running_total(starts, "top", F.col("height"), [id_bucket("row")], [F.col("row")], inclusive=False)
-    moved = placed.join(starts, "row").select(
-        "component",
-        (F.col("end") - F.col("w") - F.col("left") - F.col("x0")).alias("dx"),
-        (F.col("top") - F.col("y0")).alias("dy"),
-    )
-    return positions.join(moved, "component").select(
-        "node_id", "component", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y")
-    )

@@ -144,23 +144,21 @@ def _chunks(len_a: np.ndarray, len_b: np.ndarray, dim: int):
 
 
 def align_block(
-    a: list[np.ndarray], b: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, gap_global: float, gap_local: float
+    a: list[np.ndarray], b: list[np.ndarray], rows: np.ndarray, cols: np.ndarray, gap_global: float, gap_local: float,
+    modes: tuple[str, ...] = ("global", "local"),
 ) -> dict[str, np.ndarray]:
-    """Scores and path lengths of the pairs ``(a[rows], b[cols])``."""
+    """Scores and path lengths of the pairs ``(a[rows], b[cols])``, in the modes asked for."""
     size_a, size_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    out = {
-        "l_score": np.zeros(len(rows), np.float32),
-        "l_len": np.zeros(len(rows), np.int32),
-        "g_score": np.zeros(len(rows), np.float32),
-        "g_len": np.zeros(len(rows), np.int32),
-    }
+    out = {}
+    for short in sorted((mode[0] for mode in modes), reverse=True):
+        out |= {f"{short}_score": np.zeros(len(rows), np.float32), f"{short}_len": np.zeros(len(rows), np.int32)}
     if not len(rows):
         return out
     for part in _chunks(size_a[rows], size_b[cols], a[0].shape[1]):
         left, len_a = _padded([a[k] for k in rows[part]], int(size_a[rows[part]].max()))
         right, len_b = _padded([b[k] for k in cols[part]], int(size_b[cols[part]].max()))
         matrices = kernels.score_matrices(left, right, len_a, len_b)
-        for name, values in kernels.align_pairs(matrices, len_a, len_b, gap_global, gap_local).items():
+        for name, values in kernels.align_pairs(matrices, len_a, len_b, gap_global, gap_local, modes).items():
             out[name][part] = values
     return out
 
@@ -171,20 +169,17 @@ EDGE_SCHEMA = "i BIGINT, j BIGINT, l_score FLOAT, l_len INT, g_score FLOAT, g_le
 BLOCK_BYTES = 32 << 20
 
 
-def rows_per_block(embeddings: DataFrame, most: int = 128) -> int:
-    """Rows whose embeddings fill a block of bounded bytes on average."""
-    values = F.size("embedding") * F.size(F.get("embedding", F.lit(0)))
-    average = embeddings.agg(F.avg(values * 4)).first()[0] or 1.0
-    return int(max(1, min(most, BLOCK_BYTES // max(1.0, average))))
-
-
 def align_all_pairs(
-    embeddings: DataFrame, gap_global: float = 0.0, gap_local: float = -2.0, block_rows: int | None = None
+    embeddings: DataFrame, gap_global: float = 0.0, gap_local: float = -2.0, block_rows: int = 128
 ) -> DataFrame:
-    """Alignment network of ``(node_id, embedding ARRAY<ARRAY<FLOAT>>)``: every pair ``i < j``."""
-    block_rows = block_rows or rows_per_block(embeddings)
-    placed = place_column(embeddings.select("node_id", "embedding"), "node_id")
-    pairs = block_pairs(placed, "place", ["node_id", "embedding"], block_rows)
+    """Alignment network of ``(node_id, embedding ARRAY<ARRAY<FLOAT>>)``: every pair ``i < j``.
+
+    Blocks hold at most ``block_rows`` rows and, but for their last row, ``BLOCK_BYTES`` of residues.
+    """
+    share = F.lit(BLOCK_BYTES // block_rows)
+    bytes_ = F.size("embedding").cast("long") * F.coalesce(F.size(F.get("embedding", F.lit(0))), F.lit(0)) * 4
+    placed = place_column(embeddings.select("node_id", "embedding"), "node_id", F.greatest(bytes_, share))
+    pairs = block_pairs(placed, "place", ["node_id", "embedding"], int(BLOCK_BYTES // block_rows) * block_rows)
 
     def score(given: dict) -> dict:
         rows, cols = upper_triangle(given["bi"], given["bj"], len(given["a_node_id"]), len(given["b_node_id"]))
@@ -235,7 +230,7 @@ def search_all(
                 continue
             targets = [_numpy(x) for x in batch.column("embedding")]
             cols = np.arange(len(targets))
-            scores = align_block([wanted], targets, np.zeros(len(targets), np.int64), cols, gap, gap)
+            scores = align_block([wanted], targets, np.zeros(len(targets), np.int64), cols, gap, gap, (mode,))
             short = mode[0]
             yield pa.RecordBatch.from_pydict(
                 {

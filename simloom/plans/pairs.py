@@ -12,18 +12,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from simloom.plans.numbering import id_bucket, running_total
 from simloom.plans.runtime import materialized
 
 BLOCK_ROWS = 512
 
 
-def block_pairs(rows: DataFrame, place: str, columns: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_pairs(rows: DataFrame, place: str, columns: list[str], block_rows: float = BLOCK_ROWS) -> DataFrame:
     """One row per pair of blocks: ``a_<column>`` and ``b_<column>`` arrays in ``place`` order.
 
-    ``place`` numbers the rows without gaps from 0, so a block never exceeds ``block_rows``.
+    ``place`` numbers the rows without gaps from 0, or is a running total of their sizes in units of
+    which ``block_rows`` make a block; so no block exceeds that by more than its last row.
     """
     entry = F.struct(place, *columns)
     blocks = materialized(
@@ -81,10 +83,12 @@ def upper_triangle(bi: int, bj: int, n_a: int, n_b: int) -> tuple[np.ndarray, np
     return grid[0], grid[1]
 
 
-def place_column(ordered: DataFrame, id_column: str) -> DataFrame:
-    """Rows with a gap-free ``place`` by id."""
-    from simloom.plans.numbering import dense_index_by_id
-
-    return dense_index_by_id(ordered, "place", id_column)
-
+def place_column(rows: DataFrame, id_column: str, size: Column | None = None) -> DataFrame:
+    """Rows with a ``place``: their gap-free number by id, or the ``size`` of all rows before.
 
+    Only ids and sizes are ordered; the rows themselves join their place and never meet in one task.
+    """
+    weight = F.lit(1).cast("long") if size is None else size
+    light = rows.select(F.col(id_column), weight.alias("__size"))
+    numbered = running_total(light, "place", F.col("__size"), [id_bucket(id_column)], [F.col(id_column)], inclusive=False)
+    return rows.join(numbered.select(id_column, "place"), id_column)

@@ -7,6 +7,7 @@ is compiled before anything changes, so a failing command changes nothing.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,12 @@ HISTORY = 50
 DEFAULTS = {"color": "gray", "size": 1.0, "shape": "disc"}
 
 
+# A word of a command line may hold quoted blanks; a comment begins outside of quotes.
+_WORDS = re.compile(r'(?:"[^"]*"|[^\s"])+')
+_COMMENT = re.compile(r'("[^"]*")|//.*')
+MODES = {"change", "add", "plus", "include", "subtract", "minus", "remove", "filter", "keep", "intersect"}
+
+
 @dataclass(frozen=True)
 class State:
     nodes: DataFrame
@@ -44,6 +51,7 @@ class Session:
         rows: DataFrame | None = None,
         cells: DataFrame | None = None,
         n_cols: int | None = None,
+        file_dir: str | None = None,
     ):
         start = {
             "visible": F.lit(True),
@@ -55,6 +63,7 @@ class Session:
         self.edges = edges
         self.properties = list(properties or [])
         self.rows, self.cells, self.n_cols = rows, cells, n_cols
+        self.file_dir = file_dir  # folder of the header lists that ``@name@`` reads
         self.labels: DataFrame | None = None
         self.reference: str | None = None
         self.offset = 0
@@ -101,11 +110,11 @@ class Session:
             rows = mapped.where("row_id >= 0")
         chosen = nodes.join(self.selected, "node_id", "left_semi").select("header")
         return SelectionContext(
-            nodes, self.properties, rows, self.cells, self.labels, {"_sele.txt": chosen}
+            nodes, self.properties, rows, self.cells, self.labels, {"_sele.txt": chosen}, self.file_dir
         )
 
     def _expression(self, text: str) -> str:
-        return text.replace("$sele$", "@_sele.txt@")
+        return re.sub(r"\"?\$sele\$\"?", "@_sele.txt@", text, flags=re.IGNORECASE)
 
     def matched(self, text: str, nodes: DataFrame | None = None) -> DataFrame:
         return select_nodes(self.context(nodes), self._expression(text)).select("node_id")
@@ -150,8 +159,7 @@ class Session:
                 self._flagged(self.nodes, text, f"__hit{k}").select("node_id", f"__hit{k}"), "node_id"
             )
         for k, (_, values) in enumerate(assignments):
-            hit = F.col(f"__hit{k}") & F.col("visible")
-            hit = F.col(f"__hit{k}") if "visible" not in columns else hit | F.col(f"__hit{k}")
+            hit = F.col(f"__hit{k}")
             touched = touched | hit
             for name, value in values.items():
                 nodes = nodes.withColumn(name, F.when(hit, F.lit(value)).otherwise(F.col(name)))
@@ -302,24 +310,35 @@ class Session:
     def run(self, lines: list[str]) -> int:
         """Run a command script: blank lines and ``//`` comments skipped, one command per line.
 
-        Commands are the text forms of ``select``, ``hide``, ``cluster``, ``group``, ``undo``,
-        ``redo`` and ``reset``.
+        Commands are the text forms of the methods: ``select [mode] <expression>``, ``hide``, ``cluster``, ``group <expression> <name> ...``,
+        ``reference [row]``, ``offset``, ``spectrum <expression> <property>``, ``reset``, ``undo`` and ``redo``. Blanks and ``//`` inside quotes belong
+        to the quoted text.
         """
         done = 0
         for line in lines:
-            words = line.split("//", 1)[0].split()
+            words = _WORDS.findall(_COMMENT.sub(lambda found: found[1] or "", line))
             if not words:
                 continue
             name, args = words[0].lower(), words[1:]
             if name == "select":
-                mode = args[0] if len(args) > 1 else "change"
-                self.invert() if args == ["invert"] else self.select(args[-1], mode)
+                if args == ["invert"]:
+                    self.invert()
+                elif len(args) > 1 and args[0].lower() in MODES:
+                    self.select(" ".join(args[1:]), args[0].lower())
+                else:
+                    self.select(" ".join(args))
             elif name == "hide":
-                self.hide(args[0])
+                self.hide(" ".join(args))
             elif name == "cluster":
                 self.cluster(args[0], *[float(a) for a in args[1:2]], *[int(a) for a in args[2:3]])
             elif name == "group":
-                self.group(*zip(args[::2], args[1::2]))
+                self.group(*zip(args[::2], (a.strip('"') for a in args[1::2])))
+            elif name == "reference":
+                self.set_reference(" ".join(args).strip('"') or None)
+            elif name == "offset":
+                self.set_offset(int(args[0]))
+            elif name == "spectrum":
+                self.spectrum(" ".join(args[:-1]), args[-1].strip('"'))
             elif name in {"undo", "redo"}:
                 getattr(self, name)()
             elif name == "reset":

@@ -77,6 +77,21 @@ def test_scripts(session):
         session.run(["launch rockets"])
 
 
+def test_script_lines_with_quotes_and_lists(session, spark, tmp_path):
+    (tmp_path / "mine.txt").write_text("n0 rod\nn1 ring\n")
+    session.file_dir = str(tmp_path)
+    assert session.run(['select "n0 rod"', 'select add "n1 ring" // and "more"']) == 2
+    assert ids(session.selected) == {0, 1}
+    session.run(['select "n0 rod" | "n1 ring"', "select filter $SELE$"])
+    assert ids(session.selected) == {0, 1}
+    session.run(["select @mine.txt@"])
+    assert ids(session.selected) == {0, 1}
+    session.run(['select "a // b"'])
+    assert ids(session.selected) == set()
+    session.run(['group "n0 rod" firsts'])
+    assert session.nodes.where("array_contains(groups, 'firsts')").count() == 1
+
+
 def test_metadata_commands(session, spark):
     sheet = spark.createDataFrame(
         [(0, "n0 rod", "5", "x"), (1, "n0 rod", "", "y"), (2, " n1 ring ", "bad", " "), (3, "nobody", "1", "z")],
