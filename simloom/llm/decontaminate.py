@@ -5,8 +5,8 @@ with the same functions over two similar sequences soon run together again after
 and samples ``SAMPLED`` outputs; a window and an item whose sampled outputs agree in any repeat are a candidate, and the number of repeats follows from the
 recall wanted. The smallest edit distance of the item to any stretch of words around the window then decides.
 
-Windows begin at every word at which an item can begin: with similarity s, at most (1 - s) of an item's n words are edits, so some run of ``anchor_words``
-words is unchanged. Only windows around such runs are walked; this loses nothing and leaves nearly all text untouched.
+Windows begin at every word at which an item can begin: with similarity s, at most (1 - s) of an item's n words are edits, so a known number of its runs
+of ``anchor_words`` words stand unchanged. Only windows on which that many runs agree are walked; this loses nothing and leaves nearly all text untouched.
 """
 
 from __future__ import annotations
@@ -112,44 +112,82 @@ class Items:
             out = mix(out + column)
         return out
 
-    def begins(self, words: np.ndarray) -> dict[int, np.ndarray]:
-        """For every item, the places of ``words`` where a window that shares an unchanged run may begin."""
-        found: dict[int, list] = {}
+    def anchored(self, words: np.ndarray, cuts: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+        """For texts ``words[cuts[k]:cuts[k + 1]]`` and items, the places (in its text) where a window may begin that is similar enough.
+
+        Of an item's runs of ``size`` words, an edit changes ``size`` at most. So enough of them stand unchanged in the text, and each says where
+        the item begins to within its number of edits: only places on which that many runs agree are kept.
+        """
+        texts, items, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        needed, edits = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
         for size, (seen, grams, item, offset) in self.anchors.items():
             own = shingle_hashes(words, size)
             at = np.flatnonzero(seen[(own >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             low, high = np.searchsorted(grams, own[at], "left"), np.searchsorted(grams, own[at], "right")
-            for place, a, b in zip(at[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
-                for k in range(a, b):
-                    found.setdefault(int(item[k]), []).append(place - int(offset[k]))
-        out = {}
-        for k, places in found.items():
-            spread = np.arange(-(e := edits_allowed(len(self.words[k]), self.similarity)), e + 1)
-            places = np.unique(np.add.outer(np.unique(places), spread))
-            out[k] = places[(places >= 0) & (places < len(words))]
+            count = high - low
+            first = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            place = np.repeat(at, count)
+            text = np.searchsorted(cuts, place, "right") - 1
+            whole = place + size <= cuts[text + 1]
+            texts.append(text[whole])
+            items.append(item[first][whole])
+            starts.append((place - offset[first] - cuts[text])[whole])
+            for k in np.unique(item).tolist():
+                n = len(self.words[k])
+                edits[k] = edits_allowed(n, self.similarity)
+                needed[k] = max(1, n - size + 1 - size * edits[k])
+        text, item, start = (np.concatenate(x) for x in (texts, items, starts))
+        order = np.lexsort((start, item, text))
+        text, item, start = text[order], item[order], start[order]
+        here = np.arange(len(text))
+        last = here + needed[item] - 1
+        end = np.minimum(last, len(text) - 1)
+        agree = (last < len(text)) & (text[end] == text) & (item[end] == item) & (start[end] - start <= 2 * edits[item])
+        marks = np.zeros(len(text) + 1, np.int64)
+        np.add.at(marks, here[agree], 1)
+        np.add.at(marks, last[agree] + 1, -1)
+        kept = np.cumsum(marks[:-1]) > 0
+        out: dict[tuple[int, int], list[int]] = {}
+        for key in zip(text[kept].tolist(), item[kept].tolist(), start[kept].tolist()):
+            out.setdefault(key[:2], []).append(key[2])
+        found = {}
+        for (k, i), places in out.items():
+            spread = np.arange(-edits[i], edits[i] + 1)
+            around = np.unique(np.add.outer(np.unique(places), spread))
+            found[k, i] = around[(around >= 0) & (around < cuts[k + 1] - cuts[k])]
+        return found
+
+    def begins(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        return {i: places for (_, i), places in self.anchored(words, np.array([0, len(words)])).items()}
+
+    def search_all(self, words: np.ndarray, cuts: np.ndarray) -> dict[int, list[tuple[int, float, int, int]]]:
+        """For every text with a hit ``(item, similarity, first word, words)`` of each item's best occurrence."""
+        out: dict[int, list] = {}
+        for (k, i), starts in sorted(self.anchored(words, cuts).items()):
+            hit = self._occurrence(words[cuts[k] : cuts[k + 1]], i, starts)
+            if hit:
+                out.setdefault(k, []).append(hit)
         return out
 
     def search(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """``(item, similarity, first word, words)`` of each item's best occurrence in one text."""
-        hits = []
-        for k, starts in sorted(self.begins(words).items()):
-            item, limits = self.words[k], np.full(len(starts), len(words))
-            agree = np.zeros(len(starts), bool)
-            for r in range(self.repeats):
-                agree |= self.signature(words, starts, limits, len(item), r) == self.signatures[k][r]
-                if agree.all():
-                    break
-            best, e, done = None, edits_allowed(len(item), self.similarity), -1
-            for start in starts[agree].tolist():
-                if start <= done:
-                    continue
-                low, done = max(0, start - e), start + e  # one look covers the windows that begin up to here
-                edits, a, b = best_match(item, words[low : done + len(item) + e])
-                if edits <= e and (best is None or edits < best[0]):
-                    best = edits, low + a, b - a
-            if best:
-                hits.append((k, 1 - best[0] / len(item), best[1], best[2]))
-        return hits
+        return self.search_all(words, np.array([0, len(words)])).get(0, [])
+
+    def _occurrence(self, words: np.ndarray, k: int, starts: np.ndarray) -> tuple[int, float, int, int] | None:
+        item, limits = self.words[k], np.full(len(starts), len(words))
+        agree = np.zeros(len(starts), bool)
+        for r in range(self.repeats):
+            agree |= self.signature(words, starts, limits, len(item), r) == self.signatures[k][r]
+            if agree.all():
+                break
+        best, e, done = None, edits_allowed(len(item), self.similarity), -1
+        for start in starts[agree].tolist():
+            if start <= done:
+                continue
+            low, done = max(0, start - e), start + e  # one look covers the windows that begin up to here
+            edits, a, b = best_match(item, words[low : done + len(item) + e])
+            if edits <= e and (best is None or edits < best[0]):
+                best = edits, low + a, b - a
+        return (k, 1 - best[0] / len(item), best[1], best[2]) if best else None
 
 
 def item_blocks(benchmark: DataFrame, similarity: float, recall: float) -> Iterator[Items]:
@@ -179,9 +217,10 @@ def _search(docs: DataFrame, items: Items, id_column: str, text: str) -> DataFra
             out = {name.split()[0]: [] for name in FOUND.split(", ")}
             words, counts = hash_words([row[1] for row in rows])
             cuts = np.concatenate([[0], np.cumsum(counts)])
-            for row, a, b in zip(rows, cuts, cuts[1:]):
-                hits = own.search(words[a:b]) if b > a else []
-                columns = [[own.ids[k] for k, *_ in hits], *[[hit[c] for hit in hits] for c in (1, 2, 3)]]
+            found = own.search_all(words, cuts)
+            for k, row in enumerate(rows):
+                hits = found.get(k, [])
+                columns = [[own.ids[hit[0]] for hit in hits], *[[hit[c] for hit in hits] for c in (1, 2, 3)]]
                 for column, value in zip(out.values(), (row[0], bool(hits), *columns)):
                     column.append(value)
             yield out
@@ -221,7 +260,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
                     part = batch.slice(k, 256)
                     words, counts = hash_words(part.column(column).to_pylist())
                     cuts = np.concatenate([[0], np.cumsum(counts)])
-                    yield part.filter(pa.array([not own.search(words[a:b]) for a, b in zip(cuts, cuts[1:])]))
+                    found = own.search_all(words, cuts)
+                    yield part.filter(pa.array([k not in found for k in range(part.num_rows)], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out
