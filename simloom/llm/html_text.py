@@ -38,10 +38,12 @@ RAW_TAGS = frozenset("script style noscript template textarea iframe object svg
 OUTSIDE_TAGS = frozenset("head title nav footer aside form button menu dialog fieldset legend".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert form toolbar".split())
 OUTSIDE_NAMES = frozenset(
-    """ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr
-    header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies respond share sharing
+    """ad ads advert advertisement alert adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr
+    header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related replies respond share sharing
     sidebar sidebars signup social sponsor sponsored subscribe topbar widget widgets""".split()
 )
+# An article is outside only if one of these is its class as a whole: classes of real articles mention comments, too.
+OUTSIDE_ARTICLES = frozenset("ad advert comment promo related reply sponsored teaser".split())
 IMPLIED_END = {"p": BLOCK_TAGS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)", re.S)
@@ -67,6 +69,7 @@ class _Open:
     part: int
     article: bool
     link: bool = False
+    block_outside: bool = False
 
 
 @dataclass
@@ -78,7 +81,7 @@ class _Page:
     linked: int = 0
 
     def _text(self, raw: str, top: _Open) -> None:
-        if raw:
+        if raw and (top.block_outside or not top.outside):  # an inline advert leaves its block
             text = html.unescape(raw) if "&" in raw else raw
             self.pieces.append(text)
             if top.link:
@@ -131,15 +134,29 @@ class _Page:
             if tag in ("article", "main", "section", "aside", "nav", "header", "footer", "form"):
                 parts += 1
                 own.part = parts
-            if not own.outside and (tag in OUTSIDE_TAGS or (tag == "header" and not top.article) or (attributes and tag not in ("html", "body", "article", "main") and _named_outside(attributes))):
+            if not own.outside and _outside(tag, attributes, top.article):
                 own.outside = True
-                parts += 1
-                own.part = parts
+                if tag in BLOCK_TAGS:
+                    parts += 1
+                    own.part = parts
+            own.block_outside = own.outside if tag in BLOCK_TAGS else top.block_outside
             stack.append(own)
         self._end_block(stack[-1])
         return self.blocks
 
 
+def _outside(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element begins a part of the page that is not the article."""
+    if tag in OUTSIDE_TAGS or (tag == "header" and not in_article):
+        return True
+    if not attributes or tag in ("html", "body", "main"):
+        return False
+    if tag == "article":
+        classes = [name for key, *values in ATTRIBUTE.findall(attributes) if key.lower() == "class" for name in "".join(values).lower().split()]
+        return not OUTSIDE_ARTICLES.isdisjoint(classes)
+    return _named_outside(attributes)
+
+
 def _named_outside(attributes: str) -> bool:
     """Whether id, class or role say that an element is no part of the article."""
     for name, *values in ATTRIBUTE.findall(attributes):

@@ -14,6 +14,12 @@ def test_article_without_its_surroundings():
     assert main_text(page) == "\n\n".join(["A story", "First & linked line.", LONG.strip(), "Short."])
 
 
+def test_inline_and_nested_parts_outside():
+    page = f"""<article class="post has-comments"><p>{LONG} <span class="ad">Buy now!</span> and <span style="display: none">hidden</span>more</p>
+    <div class="alert">{LONG}</div><article class="comment"><p>{LONG}</p></article></article><article class="teaser"><p>{LONG}</p></article>"""
+    assert main_text(page) == " ".join(f"{LONG} and more".split())
+
+
 def test_density_decides_without_an_article():
     menu = "".join(f'<li><a href="/{k}">Section number {k} of many</a></li>' for k in range(8))
     page = f"<body><ul>{menu}</ul><div><p>Small start.</p><p>{LONG}</p><p>Small end.</p></div><div>zzz qqq xxx {'kkk ' * 60}</div></body>"
