@@ -170,8 +170,9 @@ def mcl_labels(
     """``(node_id, label)`` by Markov clustering of the weighted network.
 
     The transition matrix stays in long form ``(i, j, p)`` with columns ``j`` summing to one.
-    Squaring joins entries ``(i, k)`` with ``(k, j)`` and sums map-side; pruning leaves at most
-    ``1 / pruning`` entries per column, which bounds every later join.
+    Squaring joins entries ``(i, k)`` with ``(k, j)`` and sums map-side; pruning, a part of the algorithm, drops entries below
+    ``pruning`` but for the largest of a column and so leaves at most ``1 / pruning`` of them, which bounds every
+    later join; 0 switches it off. A matrix that still changes after ``max_rounds`` raises.
     """
     loops = nodes.select(F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(1.0).alias("p"))
     matrix = _normalized(_symmetric(edges).groupBy("i", "j").agg(F.sum("w").alias("p")).unionByName(loops))
@@ -189,14 +190,16 @@ def mcl_labels(
         kept = inflated.join(highest, "j").where((F.col("p") >= pruning) | (F.col("p") == F.col("top")))
         following = materialized(kept.select("i", "j", "p"))
         gap = F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)))
-        changed = (
+        settled = (
             following.join(matrix.withColumnRenamed("p", "before"), ["i", "j"], "full")
             .where(gap > 1e-8 + 1e-5 * F.abs(F.coalesce("before", F.lit(0.0))))
             .isEmpty()
         )
         matrix = following
-        if changed:
+        if settled:
             break
+    else:
+        raise RuntimeError(f"the matrix still changes after {max_rounds} rounds")
     # Rows with a positive diagonal attract; rows with the same members are one cluster.
     attractors = matrix.where("i = j AND p > 0").select("i")
     rows = matrix.where("p > 0").join(attractors, "i", "left_semi")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from simloom.functions.headers import stripped
+
 NUMBER_WORDS = {"number", "num", "numerical"}
 PROTECTED = {"node id"}
 
@@ -44,13 +46,13 @@ def merged_metadata(nodes: DataFrame, sheet: DataFrame, columns: list[tuple[str,
     The last row of a header wins as a whole. Blank and ``nan`` cells, and unreadable numbers,
     keep the old value. A property that changes its type is cast as far as possible.
     """
-    sheet = sheet.withColumn("header", F.trim("header"))
+    sheet = sheet.withColumn("header", stripped(F.col("header")))
     latest = latest_rows(sheet, "header", "ord")
     fresh = {name: f"__new{k}" for k, (name, _) in enumerate(columns)}
     joined = nodes.join(latest.select("header", *[F.col(n).alias(a) for n, a in fresh.items()]), "header", "left")
     for name, kind in columns:
         cell = F.col(fresh[name]).cast("string")
-        blank = F.trim(cell).isin("") | (F.lower(F.trim(cell)) == "nan")
+        blank = stripped(cell).isin("") | (F.lower(stripped(cell)) == "nan")
         value = F.when(~blank, cell)
         target = "double" if kind == "number" else "string"
         old = F.col(name).try_cast(target) if name in nodes.columns else F.lit(None).cast(target)
@@ -61,7 +63,7 @@ def merged_metadata(nodes: DataFrame, sheet: DataFrame, columns: list[tuple[str,
 
 def upload_counters(nodes: DataFrame, sheet: DataFrame) -> DataFrame:
     """Matched nodes and ignored rows of an upload."""
-    keyed = sheet.select(F.trim("header").alias("header"))
+    keyed = sheet.select(stripped(F.col("header")).alias("header"))
     known = nodes.select("header", F.lit(True).alias("known"))
     # Sheets repeat headers, so they are counted per header before the join.
     return (
@@ -144,7 +146,7 @@ def export_sheet(nodes: DataFrame, properties: list[str], keep_empty: bool = Fal
     rows = nodes.select("header", *[F.col(p).cast("string").alias(p) for p in properties])
     if keep_empty:
         return rows
-    return rows.where(F.coalesce(*[F.nullif(F.trim(p), F.lit("")) for p in properties]).isNotNull())
+    return rows.where(F.coalesce(*[F.nullif(stripped(F.col(p)), F.lit("")) for p in properties]).isNotNull())
 
 
 # -- groups ------------------------------------------------------------------------------------

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 def ranked_hits(
     hits: DataFrame,
     query: str,
-    top_k: int | None = 2500,
+    top_k: int | None,
     threshold: float | None = None,
     manual_query: bool = False,
 ) -> DataFrame:
     """Hits ``(header, norm_score, ...)`` by falling score with their ``rank``.
 
-    The threshold applies first, then a stored query loses its own hit and one of its ``top_k``
+    ``top_k`` is the number of hits wanted, None for all. The threshold applies first, then a stored query loses its own hit and one of its ``top_k``
     places; a manual query keeps both. Equal scores go by header. The top-k is taken per
     partition before it is merged, so ranking only ever sees ``top_k`` rows.
     """
