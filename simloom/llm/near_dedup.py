@@ -270,7 +270,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     named = nodes.select("node", "k1", "k2").join(classes.withColumnRenamed("node_id", "node"), "node", "left")
     keyed = rows.select("id", "k1", "k2").join(named.select("k1", "k2", F.coalesce("component", "node").alias("part")), ["k1", "k2"])
     keyed = materialized(keyed.select("id", "part"))
-    sizes = keyed.groupBy("part").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # Written, so that the join is a plain one and a class of very many texts can be split.
+    sizes = materialized(keyed.groupBy("part").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
     return keyed.join(sizes, "part").select(
         F.col("id").alias("doc_id"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
     )
