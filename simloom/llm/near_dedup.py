@@ -70,6 +70,11 @@ def _text_key(text: str | None, words: np.ndarray) -> tuple[int, int]:
     return (both >> 64) - (1 << 63), (both & ((1 << 64) - 1)) - (1 << 63)
 
 
+def _row_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text as it is; together with the id they tell rows apart that repeat an id or have none."""
+    return [F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+
+
 def _each(rows: list[tuple]) -> Iterator[tuple[tuple, np.ndarray, tuple[int, int]]]:
     words, counts = hash_words([row[1] for row in rows])
     cuts = np.concatenate([[0], np.cumsum(counts)])
@@ -111,17 +116,17 @@ def _sketches(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 
     def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
         for rows in slices:
-            out = {name: [] for name in ("id", "k1", "k2")}
+            out = {name: [] for name in ("id", "t1", "t2", "k1", "k2")}
             entries = np.zeros((len(rows), ENTRIES), np.int64)
             for k, (row, words, key) in enumerate(_each(rows)):
-                for name, value in zip(out, (row[0], *key)):
+                for name, value in zip(out, (row[0], *row[2:], *key)):
                     out[name].append(value)
                 if len(words):
                     entries[k] = sketch(shingles_of(words)).view(np.int64)
             yield out | {name: entries[:, k] for k, name in enumerate(columns)}
 
-    schema = "id long, k1 long, k2 long, " + ", ".join(f"{name} long" for name in columns)
-    return map_rows(docs.select(F.col(id_column).cast("long"), F.col(text)), work, schema)
+    schema = "id long, t1 long, t2 long, k1 long, k2 long, " + ", ".join(f"{name} long" for name in columns)
+    return map_rows(docs.select(F.col(id_column).cast("long"), F.col(text), *_row_key(F.col(text))), work, schema)
 
 
 def _sequences(docs: DataFrame, wanted: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -209,9 +214,14 @@ def _missing(one: str, other: str) -> Column:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per input row: ``doc_id, class_id, class_size, kept``.
 
-    ``class_id`` is the smallest id of the class, null only if all are; ``kept`` marks the row with that id. Texts without words are in a class with
-    identical texts only; rows that repeat an id with the same text share a decision. Classes are the connected parts of the links of at least ``threshold``.
+    ``class_id`` is the smallest id of the class, null only if all are; ``kept`` marks the row with that id, and one text of it if the class has several under that id. Texts
+    without words are in a class with identical texts only; rows that repeat an id with the same text share a decision. Classes are the connected parts of the links of at least ``threshold``.
     """
+    return _decisions(docs, id_column, text, threshold).select("doc_id", "class_id", "class_size", "kept")
+
+
+def _decisions(docs: DataFrame, id_column: str, text: str, threshold: float = SIMILARITY) -> DataFrame:
+    """The rows of :func:`near_duplicates` with the key ``t1, t2`` of their text."""
     if threshold < SIMILARITY:
         raise ValueError("the sketch finds links of a similarity of 0.8 and more")
     names = [f"e{k}" for k in range(ENTRIES)]
@@ -268,16 +278,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         discard(scratch)
 
     named = nodes.select("node", "k1", "k2").join(classes.withColumnRenamed("node_id", "node"), "node", "left")
-    keyed = rows.select("id", "k1", "k2").join(named.select("k1", "k2", F.coalesce("component", "node").alias("part")), ["k1", "k2"])
-    keyed = materialized(keyed.select("id", "part"))
+    keyed = rows.select("id", "t1", "t2", "k1", "k2").join(named.select("k1", "k2", F.coalesce("component", "node").alias("part")), ["k1", "k2"])
+    keyed = materialized(keyed.select("id", "t1", "t2", "part"))
     # Written, so that the join is a plain one and a class of very many texts can be split.
-    sizes = materialized(keyed.groupBy("part").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
-    return keyed.join(sizes, "part").select(
-        F.col("id").alias("doc_id"), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
-    )
+    sizes = keyed.groupBy("part").agg(F.min(F.struct(F.col("id").isNull(), "id", "t1", "t2")).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    sizes = materialized(sizes.select("part", "class_size", F.col("first.id").alias("class_id"), F.col("first.t1").alias("c1"), F.col("first.t2").alias("c2")))
+    kept = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("t1") == F.col("c1")) & (F.col("t2") == F.col("c2"))
+    return keyed.join(sizes, "part").select(F.col("id").alias("doc_id"), "t1", "t2", "class_id", "class_size", kept.alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: one of every class, with all columns. Expects unique ids, as exact deduplication leaves them."""
-    gone = near_duplicates(docs, id_column, text).where("not kept").select(F.col("doc_id").alias("__id"))
-    return docs.join(gone, docs[id_column].eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of ``docs`` that stay: one of every class, with all columns. Ids may be null or repeated."""
+    decided = materialized(_decisions(docs, id_column, text).select(F.col("doc_id").alias("__id"), F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), "kept"))
+    t1, t2 = _row_key(docs[text])
+    same = docs[id_column].cast("long").eqNullSafe(F.col("__id")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2"))
+    stay = docs.join(decided.where("not kept").drop("kept"), same, "left_anti")
+    if decided.where("kept").groupBy("__id", "__t1", "__t2").count().where("count > 1").isEmpty():
+        return stay
+    # Rows that repeat an id with the same text share a decision: one of them stays. Exact deduplication leaves none.
+    t1, t2 = _row_key(F.col(text))
+    keyed = stay.withColumns({"__id": F.col(id_column).cast("long"), "__t1": t1, "__t2": t2})
+    return keyed.dropDuplicates(["__id", "__t1", "__t2"]).drop("__id", "__t1", "__t2")

@@ -130,6 +130,25 @@ def test_one_of_each_class_stays(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 7]
 
 
+def test_null_and_repeated_ids_of_different_texts(spark):
+    """A decision is one of a row, not of all rows that have its id."""
+    rnd = random.Random(12)
+    base, twin, clean, other, third = (words(rnd, 80) for _ in range(5))
+    text = " ".join
+    rows = [
+        (1, text(base)), (None, text([*base, "tail"])), (None, text(clean)), (None, None),  # a null id that goes, two that stay
+        (2, text(other)), (2, text([*base, "end"])),  # a repeated id: one text goes, one stays
+        (3, text(twin)), (3, text([*twin, "more"])), (3, text(twin).replace(" ", ", ")),  # one class under one id: one text stays
+        (None, text(third)), (None, text([*third, "last"])),  # a class of null ids only
+        (9, text(clean[:40] + other[:40])), (9, text(clean[:40] + other[:40])),  # the same row twice
+    ]
+    found = near_duplicates(awkward(spark, rows)).collect()
+    assert sorted((r.class_id or 0, r.class_size) for r in found if r.kept) == [(0, 1), (0, 1), (0, 2), (1, 3), (2, 1), (3, 3), (9, 2), (9, 2)]
+    kept = [(r.doc_id, r.text) for r in without_near_copies(awkward(spark, rows)).collect()]
+    assert {(1, text(base)), (None, text(clean)), (None, None), (2, text(other)), (9, text(clean[:40] + other[:40]))} <= set(kept)
+    assert sorted(i or 0 for i, _ in kept) == [0, 0, 0, 1, 2, 3, 9]
+
+
 def test_lower_thresholds_are_refused(spark):
     with pytest.raises(ValueError):
         near_duplicates(awkward(spark, []), threshold=0.5)
