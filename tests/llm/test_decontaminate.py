@@ -79,6 +79,23 @@ def test_single_repeats_and_target_recall():
     assert found >= 0.99 * changed and changed > 140
 
 
+def test_clustered_edits_in_items_of_any_length():
+    """The most edits allowed, of one kind, in the first part, the last part or all of the item: nothing is lost."""
+    rnd = random.Random(11)
+    for n in (16, 30, 59, 150, 400, 1000):
+        item, e = ["a%d" % k for k in range(n)], edits_allowed(n, 0.8)
+        own = Items([7], hashed([item]), 0.8, repeats_for(0.99))
+        for kind in ("substitution", "deletion", "insertion"):
+            for low, high in ((0, n // 2), (n // 2, n), (0, n)):
+                for _ in range(3):
+                    text = list(item)
+                    for k in sorted(rnd.sample(range(low, high), e), reverse=True):
+                        text[k : k + (kind != "insertion")] = [] if kind == "deletion" else ["x%d" % rnd.randrange(10**6)]
+                    text = words(rnd, 20) + text + words(rnd, 20)
+                    hits = own.search(hash_words([" ".join(text)])[0])
+                    assert hits and hits[0][1] >= 0.8 - 1e-9, (n, kind, low, high)
+
+
 def test_hits_are_real(spark):
     rnd = random.Random(6)
     items = [words(rnd, rnd.randint(3, 40)) for _ in range(30)]
