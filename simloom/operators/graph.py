@@ -7,6 +7,8 @@ combined before the shuffle, and joins against a hub's edges are split by adapti
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,15 +226,16 @@ def leiden_labels(
     edges: DataFrame,
     resolution: float = 1.0,
     seed: int = 42,
-    max_levels: int = 10,
     max_rounds: int = 8,
+    max_settling: int = 1000,
 ) -> DataFrame:
     """``(node_id, label)`` by modularity optimisation; nodes without edges are noise.
 
     Nodes move in parallel to the neighbouring community with the best gain; a seeded part of
-    them waits in each round, which keeps neighbours from swapping forever. Communities then
-    become the nodes of the next, smaller level. As a last step every community is split into
-    its connected parts, so all results are connected.
+    them waits in each round, which keeps neighbours from swapping forever. After ``max_rounds`` such
+    rounds, moves that share no community follow until no node gains. Communities then become the nodes
+    of the next, smaller level, until a level merges none. A level that does not settle in ``max_settling`` rounds
+    raises. As a last step every community is split into its connected parts, so all results are connected.
     """
     links = materialized(
         edges.where("i <> j")
@@ -242,9 +245,9 @@ def leiden_labels(
     level = links
     members = endpoints(links).select("node_id").distinct().withColumn("label", F.col("node_id"))
     members = materialized(members)
-    for depth in range(max_levels):
-        moved = _local_moves(level, resolution, seed + depth, max_rounds)
-        if moved is None:
+    for depth in count():
+        moved = _local_moves(level, resolution, seed + depth, max_rounds, max_settling)
+        if moved is None:  # every other level has fewer nodes than the one before
             break
         members = materialized(
             members.join(
@@ -271,11 +274,11 @@ def leiden_labels(
     )
 
 
-def _local_moves(level: DataFrame, resolution: float, seed: int, max_rounds: int) -> DataFrame | None:
-    """Communities ``(node_id, label)`` of one level, or None if no node wants to move.
+def _local_moves(level: DataFrame, resolution: float, seed: int, max_rounds: int, max_settling: int = 1000) -> DataFrame | None:
+    """Communities ``(node_id, label)`` of one level once no node gains by a move, or None if they merge no nodes.
 
-    A level ends once fewer than one node in twenty wants to move; what is left is settled
-    at the next level, where a node is a whole community.
+    After ``max_rounds`` rounds a node moves only if no other move touches the community it leaves or the one it enters. The
+    gains of such moves add up, so modularity rises in every round and the level settles.
     """
     both = level.select(
         F.inline(
@@ -286,14 +289,13 @@ def _local_moves(level: DataFrame, resolution: float, seed: int, max_rounds: int
         )
     )
     strength = materialized(both.groupBy("node_id").agg(F.sum("w").alias("k")))
-    count, total = strength.agg(F.count(F.lit(1)), F.sum("k")).first()
+    nodes, total = strength.agg(F.count(F.lit(1)), F.sum("k")).first()
     if not total:
         return None
     # The strength travels with every edge, so no round has to look it up again.
     outer = materialized(both.where("node_id <> other").join(strength, "node_id"))
     state = strength.withColumn("label", F.col("node_id"))
-    any_moved = False
-    for turn in range(max_rounds):
+    for turn in range(max_rounds + max_settling):
         sizes = state.groupBy("label").agg(F.sum("k").alias("mass"), F.count(F.lit(1)).alias("n"))
         near = outer.join(state.select(F.col("node_id").alias("other"), "label"), "other")
         near = near.select("node_id", "label", "k", "w", F.lit(False).alias("stays"))
@@ -313,24 +315,40 @@ def _local_moves(level: DataFrame, resolution: float, seed: int, max_rounds: int
         single = (F.col("best.n") == 1) & (F.col("home.n") == 1)
         wait = F.pmod(F.xxhash64("node_id", F.lit(seed * 1000 + turn)), F.lit(4)) == 0
         may_move = F.when(single, -F.col("best.minus") < F.col("home.label")).otherwise(~wait)
-        better = F.col("best.gain") > F.col("home.gain") + 1e-9
+        # Above the rounding of sums that are at most ``k``, so that no node moves to and fro between equals.
+        better = F.col("best.gain") > F.col("home.gain") + 1e-9 * F.greatest(F.lit(1.0), F.col("k"))
+        choice = best.select(
+            "node_id",
+            "k",
+            F.col("home.label").alias("home"),
+            (-F.col("best.minus")).alias("target"),
+            better.alias("wants"),
+            (better & may_move).alias("moves"),
+            F.struct((F.col("best.gain") - F.col("home.gain")).alias("gain"), "node_id").alias("rank"),
+        )
+        if turn >= max_rounds:
+            choice = _disjoint_moves(materialized(choice))
         decided, totals = materialized_with(
-            best.select(
-                "node_id",
-                "k",
-                F.when(better & may_move, -F.col("best.minus")).otherwise(F.col("home.label")).alias("label"),
-                better.alias("wants"),
-                (better & may_move).alias("moved"),
-            ),
+            choice.select("node_id", "k", F.when(F.col("moves"), F.col("target")).otherwise(F.col("home")).alias("label"), "wants"),
             wants=F.count_if("wants"),
-            moved=F.count_if("moved"),
         )
-        wants, moved = totals["wants"], totals["moved"]
-        any_moved = any_moved or moved > 0
         state = decided.select("node_id", "k", "label")
-        if wants <= count // 20 and (moved or not wants or turn > 2):
+        if not totals["wants"]:
             break
-    return state.select("node_id", "label") if any_moved else None
+    else:
+        raise RuntimeError(f"nodes still gain by moves after {max_rounds} and {max_settling} rounds")
+    labels = state.select("node_id", "label")
+    return labels if labels.select("label").distinct().count() < nodes else None
+
+
+def _disjoint_moves(choice: DataFrame) -> DataFrame:
+    """Let those moves happen that rank first in the community they leave and in the one they enter."""
+    wanted = choice.where("wants")
+    touched = wanted.select("node_id", "rank", F.explode(F.array("home", "target")).alias("label"))
+    first = touched.groupBy("label").agg(F.max("rank")["node_id"].alias("node_id"))
+    both = first.groupBy("node_id").agg((F.count(F.lit(1)) == 2).alias("__first"))
+    joined = choice.drop("moves").join(both, "node_id", "left")
+    return joined.withColumn("moves", F.coalesce("__first", F.lit(False)))
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:

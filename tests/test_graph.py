@@ -105,6 +105,19 @@ def test_leiden_invariants(spark):
     assert {r["cluster"] for r in graph.numbered_clusters(labels, 6).collect()} == {1, 2, -1}
 
 
+def test_leiden_level_ends_when_no_node_gains(spark):
+    pairs = random_pairs(8, 40, 0.2)
+    level = spark.createDataFrame([(i, j, 1.0) for i, j in pairs], "i BIGINT, j BIGINT, w DOUBLE")
+    label = {r.node_id: r.label for r in graph._local_moves(level, 1.0, 42, 2).collect()}
+    near = {v: [b if a == v else a for a, b in pairs if v in (a, b)] for v in label}
+    total = 2 * len(pairs)
+    for v, others in near.items():
+        mass = lambda c: sum(len(near[u]) for u in label if u != v and label[u] == c)  # noqa: E731, B023
+        gain = {c: sum(label[u] == c for u in others) - len(others) * mass(c) / total for c in {label[v], *(label[u] for u in others)}}
+        assert max(gain.values()) <= gain[label[v]] + 1e-6
+    assert len(set(label.values())) < len(label)
+
+
 def test_subclusters_replace_older_groups(spark):
     pairs = list(itertools.combinations(range(4), 2)) + list(itertools.combinations(range(4, 9), 2)) + [(3, 4)]
     nodes, edges = frames(spark, 10, pairs)
