@@ -42,6 +42,10 @@ OUTSIDE_NAMES = frozenset(
     header masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related replies respond share sharing
     sidebar sidebars signup social sponsor sponsored subscribe topbar widget widgets""".split()
 )
+# Parts with one of these names hold articles of their own that are not the page's; below any other name an article is the page's.
+ARTICLE_LISTS = frozenset(
+    """ad ads advert advertisement adverts comment comments commentlist disqus popup promo promoted promotion related replies respond sponsor sponsored widget widgets""".split()
+)
 # An article is outside only if one of these is its class as a whole: classes of real articles mention comments, too.
 OUTSIDE_ARTICLES = frozenset("ad advert comment promo related reply sponsored teaser".split())
 IMPLIED_END = {"p": BLOCK_TAGS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -70,6 +74,8 @@ class _Open:
     article: bool
     link: bool = False
     block_outside: bool = False
+    named: bool = False  # outside by a class or id only, which an article or main below takes back
+    suspect: bool = False
 
 
 @dataclass
@@ -90,7 +96,7 @@ class _Page:
     def _end_block(self, top: _Open) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.blocks.append(Block(text, self.linked, top.outside, top.part, top.article))
+            self.blocks.append(Block(text, self.linked, top.outside, top.part, top.article and not top.suspect))
         self.pieces, self.linked = [], 0
 
     def feed(self, page: str) -> list[Block]:
@@ -129,14 +135,20 @@ class _Page:
                 if k and stack[k].tag == "p":
                     del stack[k:]
             top, own = stack[-1], _Open(tag, stack[-1].outside, stack[-1].part, stack[-1].article, stack[-1].link or tag == "a")
+            own.named, own.suspect = top.named, top.suspect
             if tag in ("article", "main"):
-                own.article = True
+                own.article, own.suspect = True, False
+                if own.named:
+                    own.outside = own.named = False
             if tag in ("article", "main", "section", "aside", "nav", "header", "footer", "form"):
                 parts += 1
                 own.part = parts
-            if not own.outside and _outside(tag, attributes, top.article):
-                own.outside = True
-                if tag in BLOCK_TAGS:
+            if not own.outside or own.named:
+                kind = _outside(tag, attributes, top.article)
+                if kind in ("firm", "name") and not (own.named and kind == "name"):
+                    own.outside, own.named = True, kind == "name"
+                own.suspect = own.suspect or kind == "suspect"
+                if kind and tag in BLOCK_TAGS:
                     parts += 1
                     own.part = parts
             own.block_outside = own.outside if tag in BLOCK_TAGS else top.block_outside
@@ -145,29 +157,42 @@ class _Page:
         return self.blocks
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element begins a part of the page that is not the article."""
+def _outside(tag: str, attributes: str, in_article: bool) -> str:
+    """How an element begins a part of the page that is not the article: ``firm``, by a ``name`` only, ``suspect`` of it, or not at all (empty)."""
     if tag in OUTSIDE_TAGS or (tag == "header" and not in_article):
-        return True
+        return "firm"
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return ""
     if tag == "article":
         classes = [name for key, *values in ATTRIBUTE.findall(attributes) if key.lower() == "class" for name in "".join(values).lower().split()]
-        return not OUTSIDE_ARTICLES.isdisjoint(classes)
-    return _named_outside(attributes)
+        return "" if OUTSIDE_ARTICLES.isdisjoint(classes) else "firm"
+    return _named_outside(attributes, in_article)
 
 
-def _named_outside(attributes: str) -> bool:
-    """Whether id, class or role say that an element is no part of the article."""
+def _named_outside(attributes: str, in_article: bool) -> str:
+    """What id, class and role say. A name counts in full if all its parts are names of outside parts (``cookie-notice``).
+
+    With other parts (``has-sidebar``, ``site-footer``) it may be a layout as well, and is evidence only: the element's blocks are judged by themselves, without the benefit of an article.
+    """
+    found = ""
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
         if name == "role" and value.strip() in OUTSIDE_ROLES or name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name in ("class", "id") and OUTSIDE_NAMES.intersection(NAME.findall(value)):
-            return True
+            return "firm"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return "firm"
+        for token in value.split() if name in ("class", "id") else ():
+            parts = set(NAME.findall(token))
+            known = parts & OUTSIDE_NAMES
+            if not known or (known == {"header"} and (in_article or known < parts)):
+                continue
+            if known < parts:
+                found = found or "suspect"
+            elif parts & ARTICLE_LISTS:
+                return "firm"
+            else:
+                found = "name"
+    return found
 
 
 def _decide(block: Block) -> bool | None:

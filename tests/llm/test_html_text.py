@@ -20,6 +20,18 @@ def test_inline_and_nested_parts_outside():
     assert main_text(page) == " ".join(f"{LONG} and more".split())
 
 
+def test_layout_names_are_no_veto():
+    story = f"<h1>A story</h1><p>{LONG}</p><p>Short.</p>"
+    wanted = "\n\n".join(["A story", LONG.strip(), "Short."])
+    for wrapper in ("class='page no-sidebar'", "id='content' class='has-sidebar'", "class='with-footer'", "class='sidebar'", "class='menu'"):
+        assert main_text(f"<div {wrapper}><article>{story}</article></div>") == wanted
+        assert main_text(f"<div {wrapper}><main>{story}</main></div>") == wanted
+    assert main_text(f"<div id='content' class='has-sidebar'>{story}</div>") == wanted
+    assert main_text(f"<article><div class='entry-header'><h1>A story</h1></div><div class='with-footer'><p>{LONG}</p></div></article>") == "\n\n".join(["A story", LONG.strip()])
+    rest = "<div class='site-footer'>All rights reserved</div><div class='share-buttons'>Tell friends</div><div class='menu'><nav><article>Home</article></nav></div>"
+    assert main_text(f"<article>{story}{rest}</article>{rest}<div class='comments'><article><p>{LONG}</p></article></div>") == wanted
+
+
 def test_density_decides_without_an_article():
     menu = "".join(f'<li><a href="/{k}">Section number {k} of many</a></li>' for k in range(8))
     page = f"<body><ul>{menu}</ul><div><p>Small start.</p><p>{LONG}</p><p>Small end.</p></div><div>zzz qqq xxx {'kkk ' * 60}</div></body>"
