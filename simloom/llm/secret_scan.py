@@ -1,14 +1,16 @@
 """Secret scan: patterns propose candidates, a random forest trained on labelled findings removes false positives.
 
-A candidate is a maximal run of key characters. It is described by its length, its alphabet and the transitions between kinds of characters, the share that dictionary
+A candidate is a maximal run of key characters, or the value of an announced assignment, whatever its length and characters. It is described by its length, its alphabet and the transitions between kinds of characters, the share that dictionary
 words cover, the path of its text and the words around it. Everything on the way from text to finding is DataFrame functions and MLlib's forest.
 
 Training takes at most ``MAX_FINDINGS`` labelled findings, those with the smallest hashes. Where no reviewed labels exist, ``reviewed_by_rule`` labels
-the candidates of half of all documents by rules that see more than the features do (an assigned value of a documented key format).
+the candidates of half of all documents that rules can judge: documented key formats, and values known to be none. All others are left unlabelled.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -34,11 +36,52 @@ DICTIONARY = (
     "which with word work world www you your"
 ).split()
 ANNOUNCING = r"(?i)(pass(word|wd)?|secret|token|api[_-]?key|access[_-]?key|credential|private[_-]?key|auth)"
-FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{20,}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})$"
+# The value of an assignment behind an announcing word: lazy text, the words before the value with its opening quote, the value; or the end.
+ANNOUNCED = rf"{ANNOUNCING}(?!or)[\w-]{{0,32}}+[\"']?\s*(?:=>?|:)\s*[\"']?"
+VALUE = r"((?<=\")[^\"\n]++|(?<=')[^'\n]++|(?<![\"'])[^\s\"'<>,;]++)"
+VALUE_GROUP = 3 + re.compile(ANNOUNCING).groups
+ASSIGNMENT = rf"(?s)(.*?)(?:({ANNOUNCED}){VALUE}|\z)"
+# Formats that show by themselves what they are, and formats that other values share.
+OWN_FORMATS = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[A-Za-z0-9-]{20,}|AIza[0-9A-Za-z_-]{35}|[sr]k_live_[0-9A-Za-z]{16,})$"
+SHARED_FORMATS = r"^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]{40})$"
+# Placeholders; and digits only, UUIDs, paths, and names of plain words and numbers.
+PLACEHOLDER = r"(?i)(example|placeholder|changeme|dummy|xxxx|your[_-])"
+NO_SECRET = r"^([0-9]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|/?[a-z]+(/[a-z]+){2,}/?|[A-Za-z]+([_-]+([A-Za-z]+|[0-9]+))+|[-_=+/]+)$"
 
 
 def candidates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", path: str = "source") -> DataFrame:
-    """``doc_id, path, nth, start, candidate, before, after``: every run of key characters with a digit or mark, its place and the text around it."""
+    """``doc_id, path, nth, start, candidate, before, after``: every run of key characters with a digit or mark, its place and the text around it.
+
+    Announced and assigned values that are no such run follow them; ``nth`` counts them from the end (-1, -2, ...).
+    """
+    return _runs(docs, id_column, text, path).unionByName(_assigned(docs, id_column, text, path))
+
+
+def _assigned(docs: DataFrame, id_column: str, text: str, path: str) -> DataFrame:
+    body = text_of(text)
+    read = docs.where(body.rlike(ANNOUNCED)).select(F.col(id_column).cast("long").alias("doc_id"), F.col(path).cast("string").alias("path"), body.alias("body"))
+    parts = {name: F.regexp_extract_all("body", F.lit(ASSIGNMENT), k) for name, k in (("gaps", 1), ("leads", 2), ("candidates", VALUE_GROUP))}
+    found = computed_once(read, "doc_id", "path", "body", **parts)
+    ends = F.expr("""
+        aggregate(sequence(1, size(candidates)), array(0L), (places, k) -> concat(places, array(element_at(places, -1)
+                  + length(element_at(gaps, k)) + length(element_at(leads, k)) + length(element_at(candidates, k)))))""")
+    placed = computed_once(found.where(F.size("candidates") > 0), "doc_id", "path", "body", "leads", "candidates", ends=ends)
+    each = placed.select("doc_id", "path", "body", "ends", "leads", F.posexplode("candidates").alias("k", "candidate")).where("candidate <> ''")
+    start = F.element_at("ends", F.col("k") + 2) - F.length("candidate")
+    # A run of its own is a candidate already.
+    run = F.col("candidate").rlike(rf"^{KEY}{{16,}}$") & F.col("candidate").rlike("[0-9+/_=]") & ~F.element_at("leads", F.col("k") + 1).rlike(rf"{KEY}$")
+    return each.where(~run).select(
+        "doc_id",
+        "path",
+        (-1 - F.col("k")).alias("nth"),
+        start.alias("start"),
+        "candidate",
+        F.substring(F.col("body"), F.greatest(start - CONTEXT + 1, F.lit(1)).cast("int"), F.least(start, F.lit(CONTEXT)).cast("int")).alias("before"),
+        F.substring(F.col("body"), (start + F.length("candidate") + 1).cast("int"), F.lit(CONTEXT)).alias("after"),
+    )
+
+
+def _runs(docs: DataFrame, id_column: str, text: str, path: str) -> DataFrame:
     body = text_of(text)
     # Most texts have no such run; the test also spares them the copies below.
     read = docs.where(body.rlike(rf"{KEY}{{16}}")).select(F.col(id_column).cast("long").alias("doc_id"), F.col(path).cast("string").alias("path"), body.alias("body"))
@@ -108,9 +151,13 @@ FEATURES = [
 
 
 def reviewed_by_rule(described: DataFrame) -> DataFrame:
-    """Labelled findings: in documents of even id hash, a candidate is a secret if it has a documented key format and is an announced, assigned value."""
-    secret = F.col("candidate").rlike(FORMATS) & F.col("before").rlike(ANNOUNCING) & (F.col("before").rlike("(=>?|:)\\s*[\"']?$"))
-    return described.where(F.xxhash64("doc_id") % 2 == 0).withColumn("label", secret.cast("double"))
+    """Findings of documents of even id hash, labelled where the rule can judge them: secrets have a format of their own, or a shared one as an announced, assigned value; no
+    secrets are placeholders, and numbers, UUIDs, paths and names that are not announced and assigned. The label of any other is null.
+    """
+    value = F.col("candidate")
+    given = F.col("before").rlike(ANNOUNCING) & F.col("before").rlike("(=>?|:)\\s*[\"']?$")
+    label = F.when(value.rlike(PLACEHOLDER), 0.0).when(value.rlike(OWN_FORMATS) | (value.rlike(SHARED_FORMATS) & given), 1.0).when(value.rlike(NO_SECRET) & ~given, 0.0)
+    return described.where(F.xxhash64("doc_id") % 2 == 0).withColumn("label", label)
 
 
 def _assembled(described: DataFrame) -> DataFrame:
