@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import decontaminate, exact_dedup, html_text, near_dedup, packing, prefix_counts, quality_rules, secret_scan, token_files, toxicity, warc
+from simloom.llm import decontaminate, exact_dedup, html_text, near_dedup, packing, prefix_counts, quality_rules, secret_scan, spelling, token_files, toxicity, warc
 from simloom.llm.shared import table
 
 TOKEN_LIMIT = 4096
@@ -61,6 +61,10 @@ def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("file", "offset")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -85,6 +89,33 @@ def _crc32(column: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE {NIBBLES}, runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') AS name,
+                   translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+            FROM documents),
+        counted AS (SELECT name || ':' || run AS label, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+        bytes AS (SELECT run, n, {_bytes("label")} AS bytes FROM counted),
+        hashed AS (SELECT run, n, {_crc32("bytes")} AS h FROM bytes, nibbles),
+        damaged AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        holes AS (SELECT word, n, i, substr(word, 1, (i - 1)::INT) || substr(word, (i + 1)::INT) AS rest FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+        pairs AS (
+            SELECT DISTINCT a.word AS word, b.word AS near FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+            UNION SELECT a.word, b.word FROM holes a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word FROM holes a JOIN words b ON a.rest = b.word),
+        near AS (
+            SELECT p.word, count(*) AS n_near, arg_min(struct_pack(w := p.near, n := o.n), (-o.n, p.near)) AS best
+            FROM pairs p JOIN words o ON p.near = o.word GROUP BY p.word),
+        formed AS (
+            SELECT w.word, CASE WHEN best.n >= 10 * w.n THEN best.w END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 10 * w.n THEN best.n END AS form_n
+            FROM words w LEFT JOIN near USING (word)),
+        steps AS (
+            SELECT word, word AS at FROM formed
+            UNION ALL SELECT s.word, f.form FROM steps s JOIN formed f ON s.at = f.word WHERE f.form IS NOT NULL),
+        roots AS (SELECT s.word, s.at AS root FROM steps s JOIN formed f ON s.at = f.word WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)""",
     "op12_quality_rules": f"""
         WITH {NIBBLES}, docs AS (
             SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS body,
