@@ -47,9 +47,12 @@ def _worded(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     return computed_once(computed_once(split, *keep, "body", words=words), *keep, "body", "words", codes=codes)
 
 
-def _grams() -> Column:
-    """Buckets of all words and neighbouring words."""
-    return F.concat("codes", _neighbours("codes", lambda a, b: ((a.cast("long") * PAIR + b) % (1 << BITS)).cast("int")))
+def _grams(read: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and the buckets of every word and of it with the next word, null behind the last word."""
+    following = F.slice("codes", F.lit(2), F.size("codes"))
+    each = read.select(*keep, F.explode(F.arrays_zip(F.col("codes").alias("word"), following.alias("next"))).alias("w"))
+    pair = ((F.col("w.word").cast("long") * PAIR + F.col("w.next")) % (1 << BITS)).cast("int")
+    return each.select(*keep, F.col("w.word").alias("word"), pair.alias("pair"))
 
 
 def _counted(worded: DataFrame, *keep: str) -> DataFrame:
@@ -67,7 +70,7 @@ def _counted(worded: DataFrame, *keep: str) -> DataFrame:
     first = computed_once(
         worded, *keep, "codes",
         n_words=n.cast("long"),
-        word_chars=(F.length("body") - F.regexp_count("body", F.lit(BLANK))).cast("long"),
+        word_chars=F.length(F.concat_ws("", "words")).cast("long"),
         n_symbols=F.regexp_count("body", F.lit(SYMBOL)).cast("long"),
         lines=lines,
         windows=windows,
@@ -109,8 +112,9 @@ def trusted_ids(labels: DataFrame, aside: bool) -> DataFrame:
 def log_ratios(read: DataFrame, labels: DataFrame) -> DataFrame:
     """``(bucket, ratio)`` of every bucket that occurs: ``log(trusted / raw)`` in whole units, both smoothed; 0 where no document is trusted."""
     known = read.select("doc_id", "codes").join(trusted_ids(labels, aside=False), "doc_id", "left")
-    grams = known.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), F.explode(_grams()).alias("bucket"))
-    counted = materialized(grams.groupBy("bucket").agg(F.sum("trusted").alias("t"), F.count(F.lit(1)).alias("r")))
+    grams = _grams(known.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), "codes"), "trusted")
+    buckets = grams.select("trusted", F.explode(F.array("word", "pair")).alias("bucket")).where("bucket IS NOT NULL")
+    counted = materialized(buckets.groupBy("bucket").agg(F.sum("trusted").alias("t"), F.count(F.lit(1)).alias("r")))
     trusted, raw = (counted.agg(F.coalesce(F.sum(name), F.lit(0)).alias("n")).scalar() for name in ("t", "r"))
     share = lambda n, total: (F.col(n) + SMOOTHING) / (total + SMOOTHING * (1 << BITS))
     ratio = F.when(trusted > 0, F.round(F.log(share("t", trusted) / share("r", raw)) * UNIT)).otherwise(0)
@@ -118,9 +122,14 @@ def log_ratios(read: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def scores(read: DataFrame, ratios: DataFrame) -> DataFrame:
-    """``(row, score)`` of every row with a word: its mean log ratio in units, rounded down."""
-    grams = read.select("row", F.explode(_grams()).alias("bucket"))
-    return grams.join(ratios, "bucket").groupBy("row").agg(F.floor(F.sum("ratio") / F.count(F.lit(1))).alias("score"))
+    """``(row, score)`` of every row with a word: its mean log ratio in units, rounded down.
+
+    The ratios are broadcast: they are ``2**BITS`` rows at most.
+    """
+    by = {kind: F.broadcast(ratios.select(F.col("bucket").alias(kind), F.col("ratio").alias(f"{kind}_ratio"))) for kind in ("word", "pair")}
+    grams = _grams(read, "row").join(by["word"], "word", "left").join(by["pair"], "pair", "left")
+    mean = (F.sum("word_ratio") + F.coalesce(F.sum("pair_ratio"), F.lit(0))) / (F.count(F.lit(1)) + F.count("pair"))
+    return grams.groupBy("row").agg(F.floor(mean).alias("score"))
 
 
 def threshold(judged: DataFrame, labels: DataFrame, lost: float = LOST) -> DataFrame:
