@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.llm import decontaminate, exact_dedup, html_text, near_dedup, packing, prefix_counts, quality_rules, secret_scan, spelling, token_files, toxicity, warc
+from simloom.llm import alignment, decontaminate, exact_dedup, html_text, near_dedup, packing, prefix_counts, quality_rules, secret_scan, spelling, token_files, toxicity, warc
 from simloom.llm.shared import table
 
 TOKEN_LIMIT = 4096
@@ -69,6 +69,13 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, files = table(spark, sf_dir, "documents"), (tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    aligned = alignment.align(docs, *files, alignment.count_pairs(docs, *files))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
