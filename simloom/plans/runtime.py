@@ -17,6 +17,8 @@ ADAPTIVE_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Small inputs of costly Python stages still use all cores; large ones are not affected.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
+    # Batches for Python tasks end after some megabytes, not only after ten thousand rows of any length.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
     "spark.sql.session.timeZone": "UTC",
 }
 
