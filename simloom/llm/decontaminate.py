@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.shared import map_rows
+from simloom.llm.shared import map_rows, slices_of
 from simloom.llm.words import hash_words, mix, shingle_hashes
 
 SIMILARITY = 0.8
@@ -255,8 +255,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
             own = shipped.value
             for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    part = batch.slice(k, 256)
+                for part in slices_of(batch):
                     words, counts = hash_words(part.column(column).to_pylist())
                     cuts = np.concatenate([[0], np.cumsum(counts)])
                     found = own.search_all(words, cuts)

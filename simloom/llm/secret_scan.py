@@ -11,9 +11,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,26 +163,27 @@ def _assembled(described: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(described)
 
 
-def train(findings: DataFrame, max_findings: int = MAX_FINDINGS, trees: int = 20, depth: int = 8) -> RandomForestClassificationModel | None:
+def train(findings: DataFrame, max_findings: int = MAX_FINDINGS, trees: int = 20, depth: int = 8) -> RandomForestRegressionModel | None:
     """Forest over at most ``max_findings`` findings with a ``label`` (0 or 1); none if they do not hold both labels.
 
-    Half of the bound is kept for each label, so rare secrets are not crowded out.
+    Half of the bound is kept for each label, so rare secrets are not crowded out. The trees average the labels of their leaves, which is the probability of a secret; a model of this
+    kind keeps no training summary and with it no session, so it travels to the tasks whatever else the session has run.
     """
     known = findings.where("label IS NOT NULL").select("label", *FEATURES, F.xxhash64("candidate", "doc_id", "nth").alias("turn"))
     halves = [known.where(F.col("label") == label).orderBy("turn").limit(max_findings // 2) for label in (0.0, 1.0)]
     chosen = materialized(halves[0].unionByName(halves[1]))
     if chosen.select("label").distinct().count() < 2:
         return None
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="sqrt")
+    forest = RandomForestRegressor(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=7, featureSubsetStrategy="sqrt")
     return forest.fit(_assembled(chosen))
 
 
-def scored(described: DataFrame, model: RandomForestClassificationModel | None, threshold: float = THRESHOLD) -> DataFrame:
+def scored(described: DataFrame, model: RandomForestRegressionModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """Described candidates with ``probability`` and ``kept``; without a model every candidate stays, at the threshold."""
     if model is None:
         return described.withColumn("probability", F.lit(threshold)).withColumn("kept", F.lit(True))
-    voted = model.transform(_assembled(described)).withColumn("p", vector_to_array("probability")[1])
-    return voted.drop("features", "rawPrediction", "prediction", "probability").withColumnRenamed("p", "probability").withColumn("kept", F.col("probability") >= threshold)
+    voted = model.transform(_assembled(described)).withColumnRenamed("prediction", "probability")
+    return voted.drop("features").withColumn("kept", F.col("probability") >= threshold)
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_column: str = "doc_id", text: str = "text", path: str = "source", threshold: float = THRESHOLD) -> DataFrame:

@@ -16,12 +16,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.shared import map_rows, materialized
+from simloom.llm.shared import map_rows, materialized, slices_of
 from simloom.llm.words import hash_words, mix
 
 BITS = 20
 MAX_ROWS = 20_000
 EPOCHS = 5
+STRETCH = 1 << 18
 THRESHOLD = 0.7
 FEATURES = "toxic int, turn long, places binary"
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -54,18 +55,32 @@ def held_out(id_column: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _places(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Distinct ``text number << BITS | place`` of every gram of a stretch of words."""
+    shift = np.uint64(64 - BITS)
+    found = [owner << BITS | (mix(words) >> shift).astype(np.int64)]
+    for gap, salt in ((1, 0xD6E8FEB86659FD93), (2, 0xA0761D6478BD642F)):
+        if len(words) > gap:
+            same = owner[gap:] == owner[:-gap]
+            pairs = mix(words[:-gap][same] * np.uint64(salt) + words[gap:][same])
+            found.append(owner[gap:][same] << BITS | (pairs >> shift).astype(np.int64))
+    return np.unique(np.concatenate(found))
+
+
 def gram_places(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """``(text number, place)`` of every gram of every text, with repeats."""
+    """``(text number, place)`` of every gram of every text, each once, sorted.
+
+    Words are taken ``STRETCH`` at a time, and a stretch begins with the last two words of the one before, so a very long text needs
+    memory for its words and its places only.
+    """
     words, counts = hash_words(texts)
     owner = np.repeat(np.arange(len(texts)), counts)
-    shift = np.uint64(64 - BITS)
-    places, owners = [mix(words) >> shift], [owner]
-    for gap, salt in ((1, 0xD6E8FEB86659FD93), (2, 0xA0761D6478BD642F)):
-        same = owner[gap:] == owner[:-gap] if len(words) > gap else np.zeros(0, bool)
-        pairs = mix(words[:-gap] * np.uint64(salt) + words[gap:]) if len(words) > gap else np.zeros(0, np.uint64)
-        places.append((pairs >> shift)[same])
-        owners.append(owner[gap:][same] if len(words) > gap else np.zeros(0, np.int64))
-    return np.concatenate(owners), np.concatenate(places).astype(np.int64)
+    out = np.zeros(0, np.int64)
+    for k in range(0, len(words), STRETCH):
+        part = slice(max(k - 2, 0), k + STRETCH)
+        found = _places(words[part], owner[part])
+        out = np.union1d(out, found) if len(out) else found
+    return out >> BITS, out & ((1 << BITS) - 1)
 
 
 class Ftrl:
@@ -102,7 +117,8 @@ def sigmoid(x):
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs: int = EPOCHS, settings: Settings = Settings()) -> Weights:
     """Weights from at most ``max_rows`` labelled rows outside the held-out part, those with the smallest id hashes.
 
-    Rows without a label or text are left out; an id with several labels has the largest. Without any row all weights are zero.
+    Rows without a label or text are left out; an id with several labels has the largest. Of rows that repeat an id and its grams one teaches, and the bound
+    holds for rows, however often an id is repeated with other texts. Without any row all weights are zero.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = (
@@ -116,19 +132,21 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
     def features(slices: Iterator[list[tuple]]) -> Iterable[dict]:
         for rows in slices:
             owner, place = gram_places([row[1] for row in rows])
-            both = np.unique(owner << BITS | place)
-            cuts = np.searchsorted(both >> BITS, np.arange(len(rows) + 1))
-            place = (both & ((1 << BITS) - 1)).astype("<i4")
+            cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+            place = place.astype("<i4")
             yield {
                 "toxic": [row[2] for row in rows],
                 "turn": [row[0] for row in rows],
                 "places": [place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])],
             }
 
-    sample = materialized(map_rows(texts.select("doc_id", "text", "toxic").where("text IS NOT NULL"), features, FEATURES))
-    turns = sample.select("toxic", F.col("turn"), "places", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
+    found = map_rows(texts.select("doc_id", "text", "toxic").where("text IS NOT NULL"), features, FEATURES)
+    sample = materialized(found.withColumn("content", F.xxhash64("places")))
+    rows = sample.select("turn", "content").distinct().orderBy(F.xxhash64("turn"), "turn", "content").limit(max_rows)
+    bounded = sample.join(F.broadcast(rows), ["turn", "content"]).dropDuplicates(["turn", "content"])
+    turns = bounded.select("toxic", "turn", "content", "places", F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
     # One task learns row by row; it holds two sums per place and reads the bounded sample ``epochs`` times.
-    ordered = turns.repartition(1).sortWithinPartitions("epoch", F.xxhash64("turn", "epoch"), "turn").select("toxic", "places")
+    ordered = turns.repartition(1).sortWithinPartitions("epoch", F.xxhash64("turn", "epoch"), "turn", "content").select("toxic", "places")
 
     def learn(slices: Iterator[list[tuple]]) -> Iterable[dict]:
         state = Ftrl(settings)
@@ -148,14 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
 def scores(texts: list[str | None], dense: np.ndarray, bias: float) -> np.ndarray:
     """Probability of each text; every gram counts once however often it occurs."""
     owner, place = gram_places(texts)
-    used = dense[place] != 0
-    both = np.unique(owner[used] << BITS | place[used])
-    total = np.bincount(both >> BITS, dense[both & ((1 << BITS) - 1)], len(texts))
+    total = np.bincount(owner, dense[place], len(texts))
     return sigmoid(total + bias)
 
 
 def score(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row. An empty or null text has the score of the bias alone."""
+    """``doc_id, held_out, score, predicted`` of every row. An empty or null text has the score of the bias alone; null and repeated ids are scored each by their text."""
     shipped = docs.sparkSession.sparkContext.broadcast(weights)
 
     def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
@@ -183,8 +199,7 @@ def without_toxic(docs: DataFrame, weights: Weights, threshold: float = THRESHOL
         model = shipped.value
         dense = model.dense()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in slices_of(batch):
                 yield part.filter(pa.array(scores(part.column(column).to_pylist(), dense, model.bias) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -86,3 +86,13 @@ def test_awkward_rows(spark):
     found = rows_of(scan(awkward(spark, rows)), "doc_id", "start", "length", "kept")
     assert found == [(None, 3, 20, True), (3, 100_000, 20, True), (3, 100_000, 20, True)]
     assert scan(awkward(spark, [])).collect() == []
+
+
+def test_scan_in_a_session_that_has_observed_a_write(spark):
+    from simloom.plans.runtime import materialized_with
+    from pyspark.sql import functions as F
+
+    _, seen = materialized_with(spark.range(5), n=F.count("id"))
+    rows, secrets = corpus()
+    kept = {r.doc_id for r in scan(awkward(spark, rows)).where("kept").collect()}
+    assert seen["n"] == 5 and kept >= secrets

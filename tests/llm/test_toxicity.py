@@ -5,6 +5,7 @@ import numpy as np
 
 from llm.helpers import awkward, rows_of
 from simloom.llm import toxicity
+from simloom.llm.shared import map_rows
 from simloom.llm.toxicity import BITS, Ftrl, Settings, Weights, gram_places, score, scores, train, without_toxic
 
 PLAIN, BAD = ["apple", "river", "stone", "cloud", "paper", "green"], ["vile", "rotten"]
@@ -93,3 +94,20 @@ def test_a_gram_counts_once():
     weights = Weights(place.astype(np.int32), np.ones(1, np.float32), -1.0)
     once, often = scores(["vile", "vile vile vile"], weights.dense(), weights.bias)
     assert once == often
+
+
+def test_bound_holds_for_rows_that_repeat_an_id(spark, monkeypatch):
+    rows, labels = corpus(40)
+    rows += [(1, f"apple river number{k % 60}") for k in range(240)]
+    learned = []
+    original = Ftrl.learn
+    monkeypatch.setattr(toxicity, "map_rows", lambda df, work, schema, **more: learned.append(df) or map_rows(df, work, schema, **more))
+    train(awkward(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), max_rows=50, epochs=2)
+    assert original is Ftrl.learn and learned[-1].count() == 2 * 50
+
+
+def test_long_texts_by_stretches(monkeypatch):
+    text = " ".join(random.Random(1).choice(PLAIN + BAD) for _ in range(1000))
+    whole = [x.tolist() for x in gram_places([text, "vile cloud", text[:50]])]
+    monkeypatch.setattr(toxicity, "STRETCH", 64)
+    assert [x.tolist() for x in gram_places([text, "vile cloud", text[:50]])] == whole
