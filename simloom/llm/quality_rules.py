@@ -18,6 +18,7 @@ from simloom.llm.shared import text_of
 from simloom.plans.runtime import computed_once, materialized
 
 BITS = 16
+HALF = 1 << (BITS - 1)  # codes are stored as signed 16-bit numbers
 PAIR = 1_000_003
 UNIT = 4096
 SMOOTHING = 0.5
@@ -43,7 +44,7 @@ def _worded(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     """``keep``, the body, its words and a hash of each word."""
     split = docs.select(*keep, text_of(text).alias("body"))
     words = F.filter(F.split("body", f"{BLANK}+"), lambda w: w != "")
-    codes = F.transform("words", lambda w: (F.crc32(w.cast("binary")) % (1 << BITS)).cast("int"))
+    codes = F.transform("words", lambda w: (F.crc32(w.cast("binary")) % (1 << BITS) - HALF).cast("short"))
     return computed_once(computed_once(split, *keep, "body", words=words), *keep, "body", "words", codes=codes)
 
 
@@ -51,8 +52,8 @@ def _grams(read: DataFrame, *keep: str) -> DataFrame:
     """``keep`` and the buckets of every word and of it with the next word, null behind the last word."""
     following = F.slice("codes", F.lit(2), F.size("codes"))
     each = read.select(*keep, F.explode(F.arrays_zip(F.col("codes").alias("word"), following.alias("next"))).alias("w"))
-    pair = ((F.col("w.word").cast("long") * PAIR + F.col("w.next")) % (1 << BITS)).cast("int")
-    return each.select(*keep, F.col("w.word").alias("word"), pair.alias("pair"))
+    word, following = (F.col(f"w.{name}").cast("long") + HALF for name in ("word", "next"))
+    return each.select(*keep, word.cast("int").alias("word"), ((word * PAIR + following) % (1 << BITS)).cast("int").alias("pair"))
 
 
 def _counted(worded: DataFrame, *keep: str) -> DataFrame:
@@ -111,7 +112,8 @@ def trusted_ids(labels: DataFrame, aside: bool) -> DataFrame:
 
 def log_ratios(read: DataFrame, labels: DataFrame) -> DataFrame:
     """``(bucket, ratio)`` of every bucket that occurs: ``log(trusted / raw)`` in whole units, both smoothed; 0 where no document is trusted."""
-    known = read.select("doc_id", "codes").join(trusted_ids(labels, aside=False), "doc_id", "left")
+    # Always by a sort: the ids grow with the corpus, codes are a third of the text, and adaptive execution splits a hot id.
+    known = read.select("doc_id", "codes").join(trusted_ids(labels, aside=False).hint("merge"), "doc_id", "left")
     grams = _grams(known.select(F.coalesce("trusted", F.lit(0)).alias("trusted"), "codes"), "trusted")
     buckets = grams.select("trusted", F.explode(F.array("word", "pair")).alias("bucket")).where("bucket IS NOT NULL")
     counted = materialized(buckets.groupBy("bucket").agg(F.sum("trusted").alias("t"), F.count(F.lit(1)).alias("r")))
