@@ -3,7 +3,7 @@
 The pieces that encode a prefix are those that encode a shorter prefix, then one last piece; a piece may follow another exactly if both,
 written together, are encoded as these two. So the count at a prefix is the count where its last piece begins, plus one, and the last
 piece is the only one that may follow there. No vocabulary piece holds a blank after another character, hence text between
-blanks is independent and the states of a word's prefixes are shared by all words that begin alike.
+blanks is independent and a word that was met before keeps its counts.
 
 The counts are stored as one signed byte per character, the change against the prefix before, so that a query about any cut or budget
 needs a running sum and no tokenizer.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from simloom.llm.shared import map_rows
 
 MARK = "▁"
-KNOWN = 400_000
+KNOWN = 200_000
 LONG_WORD = 48
 # A run of blanks belongs to the word that follows; line ends are never part of a piece.
 SEGMENT = re.compile(r"▁*[^▁\n]+|▁+|\n")
@@ -33,6 +34,7 @@ class PrefixCounter:
     """Prefix counts for a piece model whose characters without a piece become one token per byte."""
 
     def __init__(self, path: str):
+        import ahocorasick
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -41,10 +43,14 @@ class PrefixCounter:
         self.score = {model.id_to_piece(k): model.get_score(k) for k in range(model.get_piece_size()) if not special(k)}
         if any(MARK in piece.strip(MARK) or (MARK in piece and not piece.startswith(MARK)) or "\n" in piece for piece in self.score):
             raise ValueError("a piece holds a blank after another character")
-        self.longest = max(map(len, self.score))
         self.follows: dict[tuple[str, str], bool] = {}
-        self.states: dict[str, tuple[tuple[str, ...], bytes]] = {}
+        self.pieces = ahocorasick.Automaton()
+        for piece in self.score:
+            if len(piece) > 1:
+                self.pieces.add_word(piece, piece)
+        self.pieces.make_automaton()
         self.known: dict[str, tuple[int, bytes]] = {}
+        self.ends: dict[str, int] = {"": 0}
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging, the best-scored neighbours first, leftmost of equals."""
@@ -66,42 +72,37 @@ class PrefixCounter:
             found = self.follows[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return found
 
-    def _next(self, last: list[str], counts: list[int], text: str, end: int) -> tuple[str, int]:
-        """Last piece and count of the prefix of ``end`` characters, from those of all shorter prefixes."""
-        char = text[end - 1]
-        if char not in self.score:
-            return char, counts[end - 1] + len(char.encode())
-        for size in range(min(self.longest, end), 1, -1):
-            piece = text[end - size : end]
-            if piece in self.score and self._may_follow(last[end - size], piece):
-                return piece, counts[end - size] + 1
-        return char, counts[end - 1] + 1
+    def counts(self, text: str) -> list[int]:
+        """Token counts of all prefixes of an independent stretch, from the empty one to the whole.
 
-    def segment(self, text: str) -> tuple[int, bytes]:
-        """Token count of an independent stretch, and the change of the count at each of its characters.
-
-        The states of the longest prefix met before are taken over, so words that begin alike share their work.
+        The automaton names the pieces of two characters or more that end at each character, longest first. The first that may follow the last piece of its own
+        beginning is the last piece there; if none may, the character by itself is.
         """
-        short = len(text) <= LONG_WORD
-        last, counts = [""], [0]
-        if short:
-            for cut in range(len(text) - 1, 0, -1):
-                state = self.states.get(text[:cut])
-                if state is not None:
-                    last, counts = list(state[0]), list(state[1])
-                    break
-        for end in range(len(counts), len(text) + 1):
-            piece, count = self._next(last, counts, text, end)
-            last.append(piece)
-            counts.append(count)
-            if short:  # at most four tokens a character, so counts fit into bytes
-                self.states[text[:end]] = tuple(last), bytes(counts)
+        last, counts, done = [""] * (len(text) + 1), [0] * (len(text) + 1), 0
+        follows, single = self.follows, self.score
+        for at, piece in self.pieces.iter(text):
+            if at < done:
+                continue
+            while done < at:
+                char = last[done + 1] = text[done]
+                counts[done + 1] = counts[done] + (1 if char in single else len(char.encode()))
+                done += 1
+            before = at + 1 - len(piece)
+            fits = follows.get((last[before], piece))
+            if fits is None:
+                fits = self._may_follow(last[before], piece)
+            if fits:
+                done = at + 1
+                last[done], counts[done] = piece, counts[before] + 1
+        for k in range(done, len(text)):
+            counts[k + 1] = counts[k] + (1 if text[k] in single else len(text[k].encode()))
+        return counts
+
+    def segment(self, text: str) -> tuple[int, bytes]:
+        """Token count of an independent stretch, and the change of the count at each of its characters."""
+        counts = self.counts(text)
         out = counts[-1], bytes([(b - a) & 255 for a, b in zip(counts, counts[1:])])
-        if short:
-            if len(self.states) > KNOWN:
-                self.states.clear()
-            if len(self.known) > KNOWN:
-                self.known.clear()
+        if len(text) <= LONG_WORD:
             self.known[text] = out
         return out
 
@@ -112,6 +113,8 @@ class PrefixCounter:
         """
         if not text:
             return 0, b""
+        if len(self.known) > KNOWN:
+            self.known = {}
         known, total, parts = self.known, 0, []
         for segment in SEGMENT.findall(MARK + text.replace(" ", MARK)):
             found = known.get(segment) or self.segment(segment)
@@ -121,29 +124,54 @@ class PrefixCounter:
         first = np.frombuffer(changes[:2], np.int8).sum(dtype=np.int8)
         return total, first.tobytes() + changes[2:]
 
+    def totals(self, texts: list[str]) -> list[int]:
+        """Tokens of whole texts: the counts at the ends of their segments, each different segment of the texts gone through once.
+
+        Words between single blanks are all but the first of a line; texts with other blanks are split by the pattern.
+        """
+        split = []
+        for text in texts:
+            if not text:
+                split.append([])
+            elif "  " in text or text[0] == " " or text[-1] == " " or MARK in text or "\n " in text or " \n" in text:
+                split.append(SEGMENT.findall(MARK + text.replace(" ", MARK)))
+            else:
+                split.append((MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" "))
+        if len(self.ends) > KNOWN:
+            self.ends = {"": 0}
+        missing = set(chain.from_iterable(split)).difference(self.ends)
+        self.ends.update((segment, self.counts(segment)[-1]) for segment in missing)
+        look = self.ends.__getitem__
+        out = [sum(map(look, segments)) for segments in split]
+        for segment in missing:
+            if len(segment) > LONG_WORD:
+                del self.ends[segment]
+        return out
+
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def prefix_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_chars, n_tokens, changes``: ``changes`` holds a signed byte per character.
+def prefix_counts(docs: DataFrame, model: str, id_column: str = "doc_id", text: str = "text", changes: bool = True) -> DataFrame:
+    """``doc_id, n_bytes, n_chars, n_tokens, changes``: ``changes`` holds a signed byte per character, or is null where only totals are asked for.
 
-    The sum of the first k changes is the token count of the first k characters. A null or empty text has no change and no token.
+    The sum of the first k changes is the token count of the first k characters. A null or empty text has no change and no token. Rows that repeat an id are counted each; an
+    empty table gives no row. Very long texts are counted whole, a slice of their own.
     """
 
     def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
         own = counter(model)
         for rows in slices:
             texts = [row[1] or "" for row in rows]
-            counted = [own.count(value) for value in texts]
+            counted = [own.count(value) for value in texts] if changes else [(total, None) for total in own.totals(texts)]
             yield {
                 "doc_id": [row[0] for row in rows],
                 "n_bytes": [len(value.encode()) for value in texts],
                 "n_chars": [len(value) for value in texts],
                 "n_tokens": [total for total, _ in counted],
-                "changes": [changes for _, changes in counted],
+                "changes": [change for _, change in counted],
             }
 
     return map_rows(docs.select(F.col(id_column).cast("long"), F.col(text)), work, COUNTS)
