@@ -195,8 +195,17 @@ def _named_outside(attributes: str, in_article: bool) -> str:
     return found
 
 
-def _decide(block: Block) -> bool | None:
-    """First pass: True is text, False is not, None is open."""
+def _stop_words(block: Block) -> tuple[int, int]:
+    words = WORD.findall(block.text.lower())
+    return sum(word in STOP_WORDS for word in words), len(words)
+
+
+def _decide(block: Block, known_language: bool) -> bool | None:
+    """First pass: True is text, False is not, None is open.
+
+    Few stop words never rule a block out by themselves: a list of numbers in an article has none, and running text of other languages has none that are known. On a page
+    without any known stop word the length decides.
+    """
     if block.outside:
         return False
     size = len("".join(block.text.split()))
@@ -206,11 +215,10 @@ def _decide(block: Block) -> bool | None:
         return None
     if block.article:
         return True
-    words = WORD.findall(block.text.lower())
-    stops = sum(word in STOP_WORDS for word in words) / max(len(words), 1)
-    if size >= LONG:
-        return stops >= STOP_LOW
-    return True if stops >= STOP_HIGH else None if stops >= STOP_LOW else False
+    if not known_language:
+        return True if size >= LONG else None
+    stops, words = _stop_words(block)
+    return True if stops >= (STOP_LOW if size >= LONG else STOP_HIGH) * max(words, 1) else None
 
 
 def _nearest(blocks: list[Block], decided: list[bool | None], order: range) -> list[tuple[int, bool] | None]:
@@ -225,9 +233,10 @@ def _nearest(blocks: list[Block], decided: list[bool | None], order: range) -> l
 
 
 def main_blocks(page: str | None) -> list[Block]:
-    """All blocks of a page in order, labelled. Of two neighbours equally near, text wins."""
+    """All blocks of a page in order, labelled. Of two neighbours equally near, text wins. A page on which nothing is text by then has its open blocks for text."""
     blocks = _Page().feed(page or "")
-    decided = [_decide(block) for block in blocks]
+    known_language = any(_stop_words(block)[0] for block in blocks if not block.outside)
+    decided = [_decide(block, known_language) for block in blocks]
     before = _nearest(blocks, decided, range(len(blocks)))
     after = _nearest(blocks, decided, range(len(blocks) - 1, -1, -1))
     for k, block in enumerate(blocks):
@@ -239,6 +248,9 @@ def main_blocks(page: str | None) -> list[Block]:
             block.label = any(label for distance, label in sides if distance == closest)
         else:
             block.label = block.article
+    if not any(block.label for block in blocks):
+        for k, block in enumerate(blocks):
+            block.label = decided[k] is None
     return blocks
 
 
@@ -247,7 +259,10 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars, n_blocks, n_kept`` of every row; null and empty pages have an empty text."""
+    """``page_id, url, text, n_chars, n_blocks, n_kept`` of every row; null and empty pages have an empty text.
+
+    Rows that repeat a page are extracted each; a very long page is a slice of its own and read whole.
+    """
 
     def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
         for rows in slices:

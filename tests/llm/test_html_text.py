@@ -1,3 +1,5 @@
+import random
+
 from llm.helpers import rows_of
 from simloom.llm.html_text import extract, main_blocks, main_text
 
@@ -59,3 +61,40 @@ def test_table(spark):
     wanted = [(None, "u", LONG.strip(), n), (1, "u", "", 0), (2, None, "", 0), (3, "v", LONG.strip(), n), (3, "v", LONG.strip(), n)]
     assert rows_of(extract(pages), "page_id", "url", "text", "n_chars") == wanted
     assert extract(pages.where("false")).collect() == []
+
+
+def test_no_text_is_lost_for_its_language_or_its_numbers():
+    assert main_text("<div id=content><h1>A title</h1><p>Short text here.</p></div>") == "A title\n\nShort text here."
+    russian = "Это первое предложение текста. Это второе предложение, немного длиннее. Третье предложение идёт следом. Четвёртое предложение кончает этот абзац."
+    assert main_text(f"<div>{russian}</div>") == russian
+    weights = ", ".join(f"{k}.{k % 10} kg" for k in range(10, 60))
+    assert main_text(f"<div><p>{LONG}</p><p>{weights}</p><p>{LONG}</p></div>") == f"{LONG.strip()}\n\n{weights}\n\n{LONG.strip()}"
+    assert main_text("<p>日本語の短い文</p>") == "日本語の短い文" and main_text("<nav>Home</nav><footer>(c)</footer>") == ""
+
+
+def test_planted_articles_come_back_whole():
+    """Pages put together at random from article blocks and parts outside; only the article's blocks, in order, may come back."""
+    rnd = random.Random(12)
+    words = "the of and in house river stone walked green with for cloud from paper is".split()
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n)).capitalize() + "."
+    outside = [
+        lambda: f"<nav><ul>{''.join(f'<li><a href=/{k}>{prose(2)}</a></li>' for k in range(4))}</ul></nav>",
+        lambda: f"<aside><p>{prose(40)}</p></aside>",
+        lambda: f"<div class='cookie-notice'>{prose(60)}</div>",
+        lambda: f"<form><label>{prose(3)}</label><input name=q><p>{prose(30)}</p></form>",
+        lambda: f"<script>var x = '<p>{prose(40)}</p>';</script><style>p {{ color: red }}</style>",
+        lambda: f"<section class=comments><article class=comment><p>{prose(50)}</p></article></section>",
+        lambda: f"<!-- <p>{prose(40)}</p> --><div hidden>{prose(50)}</div>",
+    ]
+    for _ in range(150):
+        blocks, parts = [], []
+        for _ in range(rnd.randint(1, 8)):
+            text = prose(rnd.choice([1, 3, 30, 80, 300]))
+            tag = rnd.choice(["p", "h2", "blockquote", "li", "td"])
+            spaced = text.replace(" ", rnd.choice([" ", "\n  ", "&#32;"]), 3)
+            parts.append({"li": f"<ul><li>{spaced}</ul>", "td": f"<table><tr><td>{spaced}</table>"}.get(tag, f"<{tag}>{spaced}</{tag}>"))
+            blocks.append(text)
+            if rnd.random() < 0.3:
+                parts.append(rnd.choice(outside)())
+        page = "".join(rnd.choice(outside)() for _ in range(2)) + f"<{(kind := rnd.choice(['article', 'main']))}>{''.join(parts)}</{kind}>" + "".join(rnd.choice(outside)() for _ in range(2))
+        assert main_text(f"<html><body>{page}<footer>{prose(40)}</footer></body></html>") == "\n\n".join(blocks)
