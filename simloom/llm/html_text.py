@@ -54,6 +54,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORD = re.compile(r"[^\W\d_]+")
 NAME = re.compile(r"[a-z]+")
+LETTER = re.compile(r"[A-Za-zÀ-ÿ]")
 
 
 @dataclass
@@ -203,7 +204,7 @@ def _stop_words(block: Block) -> tuple[int, int]:
 def _decide(block: Block, known_language: bool) -> bool | None:
     """First pass: True is text, False is not, None is open.
 
-    Few stop words never rule a block out by themselves: a list of numbers in an article has none, and running text of other languages has none that are known. On a page
+    Stop words judge blocks that consist mostly of the letters of the known languages. A list of numbers or text in another script has none whatever it is and stays open, and on a page
     without any known stop word the length decides.
     """
     if block.outside:
@@ -218,7 +219,11 @@ def _decide(block: Block, known_language: bool) -> bool | None:
     if not known_language:
         return True if size >= LONG else None
     stops, words = _stop_words(block)
-    return True if stops >= (STOP_LOW if size >= LONG else STOP_HIGH) * max(words, 1) else None
+    share = stops / max(words, 1)
+    if share >= (STOP_LOW if size >= LONG else STOP_HIGH):
+        return True
+    unjudged = 2 * len(LETTER.findall(block.text)) < size
+    return None if unjudged or (size < LONG and share >= STOP_LOW) else False
 
 
 def _nearest(blocks: list[Block], decided: list[bool | None], order: range) -> list[tuple[int, bool] | None]:
