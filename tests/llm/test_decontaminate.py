@@ -131,3 +131,38 @@ def test_awkward_rows_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 5)
     split = rows_of(leaks(awkward(spark, rows), bench).where("contaminated"), *schema)
     assert split == [(None, True, [None]), (4, True, [5]), (4, True, [5])]
+
+
+def test_recall_of_walks_against_all_windows():
+    """With the most edits allowed, of one kind and in one part of the item, the walks find nearly all that looking at every window finds, whatever the item's length."""
+    rnd = random.Random(21)
+    for n, trials in ((16, 12), (40, 12), (120, 8), (300, 4), (800, 2)):
+        e, wanted, found = edits_allowed(n, 0.8), 0, 0
+        for kind in ("substitution", "deletion", "insertion"):
+            for low, high in ((0, n // 2), (n // 2, n), (0, n)):
+                for _ in range(trials):
+                    item = words(rnd, n, 10**5)
+                    text = list(item)
+                    for k in sorted(rnd.sample(range(low, high), e), reverse=True):
+                        text[k : k + (kind != "insertion")] = [] if kind == "deletion" else ["x%d" % rnd.randrange(10**6)]
+                    own, text = Items([7], hashed([item]), 0.8, repeats_for(0.99)), hashed([words(rnd, 20) + text + words(rnd, 20)])[0]
+                    exact, walked = own.search_exactly(text), own.search(text)
+                    wanted += len(exact)
+                    found += walked == exact
+        assert wanted >= 9 * trials and found >= 0.95 * wanted, (n, found, wanted)
+
+
+def test_items_that_share_an_opening_are_taken_in_parts(monkeypatch):
+    rnd = random.Random(22)
+    opening = ["o%d" % k for k in range(6)]
+    items = hashed([opening + words(rnd, 20, 10**6) for _ in range(300)])
+    texts = hashed([opening + words(rnd, 30, 10**6) for _ in range(40)]) + [items[7], np.concatenate([items[250], items[3]])]
+    cuts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    own = Items(list(range(300)), items, 0.8, repeats_for(0.99))
+    whole = own.search_all(np.concatenate(texts), cuts)
+    assert {k: [hit[0] for hit in hits] for k, hits in whole.items()} == {40: [7], 41: [3, 250]}
+    largest = []
+    original = Items._anchored
+    monkeypatch.setattr(Items, "_anchored", lambda self, words, cuts, low, high: largest.append((len(cuts) - 1) * (high - low)) or original(self, words, cuts, low, high))
+    monkeypatch.setattr(decontaminate, "CHUNK_PAIRS", 500)
+    assert own.search_all(np.concatenate(texts), cuts) == whole and max(largest) <= 300
