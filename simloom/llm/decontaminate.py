@@ -26,9 +26,9 @@ from simloom.llm.words import hash_words, mix, shingle_hashes
 SIMILARITY = 0.8
 TARGET_RECALL = 0.99
 # Share of single repeats that find an item of up to so many words with the most edits allowed: lower than measured for deletions, insertions or
-# replacements only, in the first half, the second half or all of the item (0.53 to 30 words, 0.31 to 150, 0.29 to 400, 0.08 at 1000).
+# replacements only, in the first half, the second half or all of the item (0.53 to 30 words, 0.31 to 150, 0.29 to 400, 0.03 at 800 and 1000).
 REPEAT_RECALL = 0.2
-WALK_RECALL = ((40, 0.35), (200, 0.2), (500, 0.15), (math.inf, 0.05))
+WALK_RECALL = ((40, 0.35), (200, 0.2), (500, 0.15), (math.inf, 0.025))
 SAMPLED = 1
 WALK_STEPS = 1.9  # steps a word: two steps read a word on average
 CHUNK_PAIRS = 1_000_000
