@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simloom.functions import alignment_scores as kernels
-from simloom.plans.pairs import block_pairs, map_block_pairs, place_column, upper_triangle
+from simloom.plans.pairs import BlockPairs, bipartite_pairs, block_pairs, map_block_pairs, map_tiles, place_column, upper_triangle
 from simloom.plans.runtime import materialized
 
 HISTOGRAM_BINS = 1 << 16
@@ -35,44 +35,58 @@ def _similarities(given: dict, power: float) -> tuple[np.ndarray, np.ndarray, np
     return rows, cols, cosine[rows, cols]
 
 
-def _pooled_pairs(pooled: DataFrame) -> DataFrame:
-    placed = place_column(pooled.select("node_id", "pooled", "seq_len"), "node_id")
-    return block_pairs(placed, "place", ["node_id", "pooled", "seq_len"])
+POOLED = ["node_id", "pooled", "seq_len"]
+SIMILAR = "i BIGINT, j BIGINT, similarity DOUBLE"
 
 
-def similar_pairs(pooled: DataFrame, at_least: float, power: float = 0.0) -> DataFrame:
-    """Pairs ``(i, j, similarity)``, ``i < j``, of ``(node_id, pooled, seq_len)`` from a value on."""
+def _pooled_pairs(pooled: DataFrame) -> BlockPairs:
+    placed = place_column(pooled.select(*POOLED), "node_id")
+    return block_pairs(placed, "place", POOLED)
+
 
+def _at_least(limit: float, power: float):
     def score(given: dict) -> dict:
         rows, cols, values = _similarities(given, power)
-        keep = values >= at_least
-        return {
-            "i": given["a_node_id"][rows[keep]],
-            "j": given["b_node_id"][cols[keep]],
-            "similarity": values[keep],
-        }
+        keep = values >= limit
+        i, j = given["a_node_id"][rows[keep]], given["b_node_id"][cols[keep]]
+        return {"i": np.minimum(i, j), "j": np.maximum(i, j), "similarity": values[keep]}
+
+    return score
+
+
+def similar_pairs(pooled: DataFrame, at_least: float, power: float = 0.0) -> DataFrame:
+    """Pairs ``(i, j, similarity)``, ``i < j``, of ``(node_id, pooled, seq_len)`` from a value on."""
+    return map_block_pairs(_pooled_pairs(pooled), _at_least(at_least, power), SIMILAR)
 
-    return map_block_pairs(_pooled_pairs(pooled), score, "i BIGINT, j BIGINT, similarity DOUBLE")
+
+def similar_new_pairs(new: DataFrame, old: DataFrame, at_least: float, power: float = 0.0) -> DataFrame:
+    """:func:`similar_pairs` that have a row of ``new`` in them: new with old, and new with new. No two old rows are compared."""
+    placed = [place_column(rows.select(*POOLED), "node_id") for rows in (new, old)]
+    across = bipartite_pairs(*placed, "place", POOLED)
+    score = _at_least(at_least, power)
+    return map_block_pairs(across, score, SIMILAR).unionByName(map_block_pairs(_pooled_pairs(new), score, SIMILAR))
 
 
 def similarity_percentile(pooled: DataFrame, percent: float, power: float = 0.0) -> float:
     """Exact percentile (linear interpolation) over all pairs, without keeping the pairs.
 
-    The first pass only emits a histogram per block pair. The second emits the few values of the
-    bins that hold the two neighbouring ranks.
+    The first pass only emits a histogram per tile. The second emits the few values of the
+    bins that hold the two neighbouring ranks. Both read the stored blocks; pairs of them are stored nowhere.
     """
-    pairs = materialized(_pooled_pairs(pooled))
+    pairs = _pooled_pairs(pooled)
     edges = np.linspace(-1.0, 1.0, HISTOGRAM_BINS + 1)
 
     def bin_of(values: np.ndarray) -> np.ndarray:
         return np.clip(np.searchsorted(edges, values, side="right") - 1, 0, HISTOGRAM_BINS - 1)
 
-    def histogram(given: dict) -> dict:
-        _, _, values = _similarities(given, power)
-        bins, counts = np.unique(bin_of(values), return_counts=True)
-        return {"bin": bins.astype(np.int32), "n": counts.astype(np.int64)}
+    def histogram(tile):
+        counts = np.zeros(HISTOGRAM_BINS, np.int64)
+        for given in tile:
+            counts += np.bincount(bin_of(_similarities(given, power)[2]), minlength=HISTOGRAM_BINS)
+        bins = np.flatnonzero(counts)
+        yield {"bin": bins.astype(np.int32), "n": counts[bins]}
 
-    counted = map_block_pairs(pairs, histogram, "bin INT, n BIGINT").groupBy("bin").agg(F.sum("n").alias("n"))
+    counted = map_tiles(pairs, histogram, "bin INT, n BIGINT").groupBy("bin").agg(F.sum("n").alias("n"))
     bins = counted.orderBy("bin").collect()  # at most HISTOGRAM_BINS rows
     if not bins:
         raise ValueError("a percentile needs at least one pair")

@@ -1,14 +1,17 @@
-"""All pairs of a table in blocks.
+"""All pairs of a table on a grid of tiles.
 
-Scoring every pair is the definition of some operators. The rows are packed into blocks of
-bounded size, each task gets two blocks and scores all their pairs vectorised, and only wanted
-results leave the task. No pair is ever shuffled, and no task depends on how the values of the
-rows are distributed.
+Scoring every pair is the definition of some operators. Rows are packed into blocks of bounded size and the blocks
+dealt to ``p`` stripes. A tile is a pair of stripes: a task gets the blocks of both once, holds one stripe and lets the other
+pass by, so a block travels to ``p`` tiles however many blocks there are, and no pair of blocks is ever stored. There are
+about as many tiles as tasks, or more where a stripe would not fit into a task. Only wanted results leave a tile, and no
+tile depends on how the values of the rows are distributed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,47 +22,129 @@ from simloom.plans.numbering import id_bucket, running_total
 from simloom.plans.runtime import materialized
 
 BLOCK_ROWS = 512
+# Blocks of a stripe that a task holds at once.
+STRIPE_BLOCKS = 64
 
 
-def block_pairs(rows: DataFrame, place: str, columns: list[str], block_rows: float = BLOCK_ROWS) -> DataFrame:
-    """One row per pair of blocks: ``a_<column>`` and ``b_<column>`` arrays in ``place`` order.
+@dataclass
+class BlockPairs:
+    """Every pair of blocks of one table, or of a block of one table with a block of another.
 
-    ``place`` numbers the rows without gaps from 0, or is a running total of their sizes in units of
-    which ``block_rows`` make a block; so no block exceeds that by more than its last row.
+    ``blocks`` has a row per block: ``block``, an array per column and, if two tables are paired, ``side`` (0 or 1).
     """
+
+    blocks: DataFrame
+    columns: list[str]
+    two_tables: bool
+    sizes: tuple[int, int]
+
+    def grid(self, tasks: int) -> tuple[int, int]:
+        """Stripes of the rows and of the columns of the grid, for about ``tasks`` tiles."""
+        a, b = self.sizes
+        if not self.two_tables:
+            p = max(math.isqrt(2 * tasks), -(-a // STRIPE_BLOCKS), 1)
+            return min(p, max(a, 1)), min(p, max(a, 1))
+        # Tiles of about equal height and width move the fewest blocks.
+        p = max(1, round(math.sqrt(tasks * a / max(b, 1))), -(-a // STRIPE_BLOCKS))
+        p = min(p, max(a, 1))
+        return p, min(max(1, -(-tasks // p)), max(b, 1))
+
+    def tiled(self, tasks: int) -> tuple[DataFrame, int]:
+        """Blocks with the tile they are sent to and their part in it (0: held, 1: passing by), and the number of tiles."""
+        p, q = self.grid(tasks)
+        block = F.col("block")
+        if self.two_tables:
+            held = self.blocks.where("side = 0").withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(q - 1)), lambda c: block % p * q + c)))
+            passing = self.blocks.where("side = 1").withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(p - 1)), lambda r: r * q + block % q)))
+            return held.unionByName(passing).withColumnRenamed("side", "part"), p * q
+        # Above the diagonal: tile (r, c) with r <= c is number r * p - r * (r - 1) / 2 + c - r.
+        own = block % p
+        number = lambda r, c: (r * p - F.floor(r * (r - 1) / 2) + c - r).cast("int")
+        tiles = F.transform(
+            F.sequence(F.lit(0), F.lit(p - 1)),
+            lambda other: F.struct(number(F.least(own, other), F.greatest(own, other)).alias("tile"), (other < own).cast("int").alias("part")),
+        )
+        every = self.blocks.select("*", F.inline(tiles))
+        return every, p * (p + 1) // 2
+
+
+def _packed(rows: DataFrame, place: str, columns: list[str], block_rows: float) -> DataFrame:
     entry = F.struct(place, *columns)
-    blocks = materialized(
+    return (
         rows.groupBy(F.floor(F.col(place) / block_rows).cast("int").alias("block"))
         .agg(F.array_sort(F.collect_list(entry)).alias("rows"))
         .select("block", *[F.col(f"rows.{c}").alias(c) for c in columns])
     )
-    last = blocks.agg(F.max("block")).scalar()
-    every = F.sequence(F.lit(0), last)
-    copies = blocks.withColumn("other", F.explode(every))
-    left = copies.where("block <= other").select(
-        F.col("block").alias("bi"), F.col("other").alias("bj"), *[F.col(c).alias(f"a_{c}") for c in columns]
-    )
-    right = copies.where("block >= other").select(
-        F.col("other").alias("bi"), F.col("block").alias("bj"), *[F.col(c).alias(f"b_{c}") for c in columns]
-    )
-    return left.join(right, ["bi", "bj"])
 
 
-def map_block_pairs(
-    pairs: DataFrame, score: Callable[[dict], dict[str, np.ndarray]], schema: str
-) -> DataFrame:
-    """Run ``score`` on every block pair; it maps a dict of numpy inputs to output columns.
+def block_pairs(rows: DataFrame, place: str, columns: list[str], block_rows: float = BLOCK_ROWS) -> BlockPairs:
+    """All pairs of blocks of ``rows``; arrays are in ``place`` order.
 
-    Blocks are spread over as many tasks as there are shuffle partitions.
+    ``place`` numbers the rows without gaps from 0, or is a running total of their sizes in units of
+    which ``block_rows`` make a block; so no block exceeds that by more than its last row.
     """
+    blocks = materialized(_packed(rows, place, columns, block_rows))
+    count = blocks.agg(F.max("block")).first()[0]
+    return BlockPairs(blocks, columns, False, ((count + 1 if count is not None else 0),) * 2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def bipartite_pairs(left: DataFrame, right: DataFrame, place: str, columns: list[str], block_rows: float = BLOCK_ROWS) -> BlockPairs:
+    """All pairs of a block of ``left`` (``a_`` columns) and a block of ``right`` (``b_`` columns)."""
+    sides = [_packed(rows, place, columns, block_rows).withColumn("side", F.lit(k)) for k, rows in enumerate((left, right))]
+    blocks = materialized(sides[0].unionByName(sides[1]))
+    found = {row[0]: row[1] + 1 for row in blocks.groupBy("side").agg(F.max("block")).collect()}
+    return BlockPairs(blocks, columns, True, (found.get(0, 0), found.get(1, 0)))
+
+
+def map_tiles(pairs: BlockPairs, work: Callable[[Iterator[dict]], Iterable[dict]], schema: str, tasks: int | None = None) -> DataFrame:
+    """Run ``work`` once per tile over its pairs of blocks: dicts of numpy inputs ``a_...``, ``b_...``, ``bi`` and ``bj``.
+
+    ``bi`` and ``bj`` are equal only where a block is paired with itself, and the first has the smaller rows within one table.
+    """
+    session = pairs.blocks.sparkSession
+    tiled, count = pairs.tiled(tasks or int(session.conf.get("spark.sql.shuffle.partitions")))
+    columns, two_tables = pairs.columns, pairs.two_tables
+    # A tile is a task of its own: partition numbers are tiles.
+    dealt = tiled.select("tile", "part", "block", *columns).repartitionById(count, F.col("tile")).sortWithinPartitions("part", "block")
+
+    def block_pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: list[dict] = []
+        passed = two_tables
         for batch in batches:
             for k in range(batch.num_rows):
-                given = {name: _numpy(batch.column(name)[k]) for name in batch.schema.names}
-                yield pa.RecordBatch.from_pydict(score(given))
+                own = {name: _numpy(batch.column(name)[k]) for name in columns}
+                own["block"] = batch.column("block")[k].as_py()
+                part = batch.column("part")[k].as_py()
+                if part == 0:
+                    held.append(own)
+                    continue
+                passed = True
+                for other in held:
+                    yield _paired(other, own, columns, two_tables)
+        if not passed:  # a tile on the diagonal has one stripe only
+            for k, own in enumerate(held):
+                for other in held[: k + 1]:
+                    yield _paired(other, own, columns, False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in work(block_pairs_of(batches)):
+            yield pa.RecordBatch.from_pydict(found)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _paired(one: dict, other: dict, columns: list[str], two_tables: bool) -> dict:
+    if not two_tables and one["block"] > other["block"]:
+        one, other = other, one
+    given = {"bi": one["block"], "bj": -1 - other["block"] if two_tables else other["block"]}
+    for name in columns:
+        given[f"a_{name}"], given[f"b_{name}"] = one[name], other[name]
+    return given
+
 
-    return pairs.mapInArrow(run, schema)
+def map_block_pairs(pairs: BlockPairs, score: Callable[[dict], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """Run ``score`` on every block pair; it maps a dict of numpy inputs to output columns."""
+    return map_tiles(pairs, lambda given: map(score, given), schema)
 
 
 def _numpy(value: pa.Scalar):
