@@ -83,6 +83,7 @@ class TokenFile:
 
 
 NULL_ID = -(1 << 63)
+READERS = 10_000  # most tasks that read files back
 
 
 def write_tokens(
@@ -94,7 +95,9 @@ def write_tokens(
     end token alone); a null id sorts first and reads back as null. Rows that repeat an id follow each other.
     """
     columns = [F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).alias("body")]
-    ordered = docs.select(*columns).repartitionByRange("id").sortWithinPartitions("id", "body")
+    # Ranges over id and text: the rows of an id that very many texts share spread over parts.
+    keyed = docs.select(*columns).withColumn("turn", F.xxhash64("body"))
+    ordered = keyed.repartitionByRange("id", "turn").sortWithinPartitions("id", "turn", "body").select("id", "body")
 
     def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
         import xxhash
@@ -141,7 +144,8 @@ def read_entries(manifest: DataFrame, folder: str) -> DataFrame:
     ``start`` counts the ids of all documents before it. Rows of one repeated id are told apart by their end token.
     """
     based = running_total(manifest, "base", F.col("n_ids"), [F.col("part")], [F.col("seq")], inclusive=False)
-    spread = based.select("file", "base", "n_docs").repartition(F.col("file"))
+    # By a given number, which adaptive execution leaves alone: the manifest is small, what its files hold is not.
+    spread = based.select("file", "base", "n_docs").repartition(min(manifest.count(), READERS) or 1, "file")
 
     def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
         store, root = open_store(folder)

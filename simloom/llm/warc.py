@@ -25,6 +25,8 @@ from simloom.plans.runtime import computed_once
 LEAST_BYTES = 100
 FILE_BYTES = 128 << 20
 FILE_RECORDS = 50_000
+RANGE_CAPTURES = 200_000
+READERS = 10_000
 CAPTURE = "url_key string, captured string, page_id long, file string, place long, offset long, size long"
 RECORDS = (
     "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, captured string, "
@@ -216,10 +218,13 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
 def merged_index(runs: DataFrame) -> DataFrame:
     """All captures in the order of URL key, time and page id, with ``part`` and ``position``: parts follow each other and positions count within a part.
 
-    Captures of one URL, however many, spread over parts by their time. A merging task holds its range of the index only.
+    Captures of one URL, however many, spread over parts by their time. A merging task holds its range of the index only, and there are so many ranges that one
+    has about ``RANGE_CAPTURES`` captures, however long the index is.
     """
     keys = ["url_key", "captured", "page_id"]
-    ranges = runs.repartitionByRange(*keys).sortWithinPartitions("file", "place")
+    shuffles = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = max(shuffles, -(-runs.count() // RANGE_CAPTURES))
+    ranges = runs.repartitionByRange(count, *keys).sortWithinPartitions("file", "place")
 
     def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
         slices_of_runs: dict[str, list[tuple]] = {}
@@ -241,9 +246,14 @@ def merged_index(runs: DataFrame) -> DataFrame:
     return materialized(map_rows(ranges, work, CAPTURE + ", part int, position long"))
 
 
+def _readers(index: DataFrame) -> int:
+    """Tasks that read archives: about one per file, at most ``READERS``."""
+    return min(max(index.select("file").distinct().count(), 1), READERS)
+
+
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """Every record that the index names, read from its file at its place."""
-    spread = index.select("file", "offset", "size", "url_key", "captured", "part", "position").repartition(F.col("file")).sortWithinPartitions("file", "offset")
+    spread = index.select("file", "offset", "size", "url_key", "captured", "part", "position").repartition(_readers(index), "file").sortWithinPartitions("file", "offset")
 
     def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
         store, root = open_store(folder)
