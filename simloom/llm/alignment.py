@@ -8,16 +8,16 @@ The first pass aligns all documents; each task keeps its own pair counts. A mini
 tasks' counts become dense vectors, which are summed as a tree, ``FAN`` at a time and in slices. The second pass aligns again and looks the counts up; the pairs
 themselves are stored by place too, so a pair that was never counted is told apart and not mistaken for another.
 
-Both tokenizers work on a word and the blanks before it by itself, which is why aligned words are remembered. Texts with other white space are aligned whole.
+Both tokenizers work on a word and the blanks before it by itself, which is why a word is aligned once, many at a time. Texts with other white space are aligned whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,12 +30,14 @@ SHIFT = 16
 FAN = 16
 SLICE = 8192
 KNOWN = 200_000
-LONG_WORD = 64
-CHUNK = 1 << 20
+KNOWN_CHARACTERS = 1 << 23
+LONG_WORD = 1000
+RUN = 1 << 16
 WORD = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-CUT = re.compile(r"(?<=[^ \n])(?=[ \n])")
 # White space that the byte tokenizer joins with its neighbours, and the character that stands for a blank in pieces.
 OTHER = re.compile(r"[^\S \n]|[᠎▁]")
+# Fixed value: how the byte-level tokenizer splits a text before it merges bytes.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
@@ -46,31 +48,25 @@ def _byte_characters() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(other)}}
 
 
-@dataclass
-class Word:
-    """What is remembered of an aligned stretch: token numbers, groups as text, and its linked pairs."""
-
-    n_a: int
-    n_b: int
-    groups: str
-    pairs: np.ndarray
-
-
 class Aligner:
     """Aligns a byte-level tokenizer (A, reads a blank and the text) with a piece model (B, puts the blank there itself)."""
 
     def __init__(self, byte_file: str, piece_file: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_file)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_file)
         back = _byte_characters()
-        vocabulary = self.a.get_vocab()
+        vocabulary, added = self.a.get_vocab(), self.a.get_added_tokens_decoder()
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for entry, k in vocabulary.items():
-            self.bytes_a[k] = bytes(back[c] for c in entry) if all(c in back for c in entry) else entry.encode()
+            self.bytes_a[k] = entry.encode() if k in added else bytes(back[c] for c in entry)
+        # The same vocabulary for the encoder that is quicker on many short words: merges are numbered in their order.
+        ranks = {entry: k for k, entry in enumerate(self.bytes_a) if k not in added}
+        self.quick = tiktoken.Encoding("words", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode() for k, piece in enumerate(pieces)
@@ -78,99 +74,130 @@ class Aligner:
         if any("▁" in piece.strip("▁") or (piece[:1] != "▁" and "▁" in piece) or "\n" in piece for piece in pieces):
             raise ValueError("a piece holds a blank after another character")
         self.size_a, self.size_b = (np.array([len(x) for x in table], np.int64) for table in (self.bytes_a, self.bytes_b))
-        self.text_a, self.text_b = ([str(k) for k in range(len(table))] for table in (self.bytes_a, self.bytes_b))
+        names = lambda table, mark: np.array([f"{k}{mark}" for k in range(len(table))], object)
+        self.names_a = names(self.bytes_a, ","), names(self.bytes_a, "|")
+        self.names_b = names(self.bytes_b, ","), names(self.bytes_b, ";")
         self.blank = self.b.piece_to_id("▁")
-        self.known: dict[str, Word | None] = {}
 
     def most_pairs(self) -> int:
         return int(self.size_a.sum() + self.size_b.sum())
 
-    def _tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a stretch that begins with a blank or line end, as they are within a text."""
-        a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
-        if text == " ":
-            return a, np.array([self.blank], np.int64)
-        found = self.b.encode(text[1:] if text[0] == " " else text)
-        return a, np.array(found if text[0] == " " else found[1:], np.int64)
-
-    def _cover(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
+    def align(self, words: list[str]) -> "Aligned | None":
+        """Alignment of words that follow each other, of which the first begins with a blank or line end; none if either tokenizer does not give their bytes."""
+        text = "".join(words)
         body = text.encode()
-        return b"".join(map(self.bytes_a.__getitem__, a.tolist())) == body == b"".join(map(self.bytes_b.__getitem__, b.tolist()))
-
-    def align(self, text: str, ends: np.ndarray | None = None) -> list[Word] | None:
-        """Alignment of a stretch cut at the byte offsets ``ends``, where both have a token's end (default: its own end); none if either does not give its bytes."""
-        a, b = self._tokens(text)
-        if not self._cover(text, a, b):
+        if max(map(len, words)) > LONG_WORD:
+            a = np.array(self.a.encode(text, add_special_tokens=False).ids, np.int64)
+        else:
+            a = np.array(self.quick.encode_ordinary(text), np.int64)
+        if text == " ":
+            b = np.array([self.blank], np.int64)
+        else:
+            found = self.b.encode(text[1:] if text[0] == " " else text)
+            b = np.array(found if text[0] == " " else found[1:], np.int64)
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != body or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != body:
             return None
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         common = np.intersect1d(end_a, end_b, assume_unique=True)
-        last_a, last_b = np.searchsorted(end_a, common), np.searchsorted(end_b, common)
-        pairs = a[last_a] << SHIFT | b[last_b]
-        names_a = list(map(self.text_a.__getitem__, a.tolist()))
-        names_b = list(map(self.text_b.__getitem__, b.tolist()))
-        stops_a, stops_b = (last_a + 1).tolist(), (last_b + 1).tolist()
-        groups = [
-            f"{','.join(names_a[p:q])}|{','.join(names_b[r:s])}" for p, q, r, s in zip([0, *stops_a], stops_a, [0, *stops_b], stops_b)
-        ]
-        cuts = [len(common)] if ends is None else (np.searchsorted(common, ends) + 1).tolist()
-        if ends is not None and not np.array_equal(common[np.minimum(np.array(cuts) - 1, len(common) - 1)], ends):
+        stops = np.cumsum([len(word.encode()) for word in words])
+        if not np.isin(stops, common, assume_unique=True).all():
             return None
-        out, at = [], 0
-        for cut in cuts:
-            n_a = stops_a[cut - 1] - (stops_a[at - 1] if at else 0)
-            n_b = stops_b[cut - 1] - (stops_b[at - 1] if at else 0)
-            out.append(Word(n_a, n_b, ";".join(groups[at:cut]), pairs[at:cut].copy()))
-            at = cut
-        return out
-
-    def _learn(self, words: list[str]) -> dict[str, Word | None]:
-        """Alignments of words, many as one text: a word begins with its blanks, so none reaches into the next."""
-        out: dict[str, Word | None] = {}
-        joined, size = [], 0
-        for word in [*words, None]:
-            if word is None or size + len(word) > CHUNK // 16:
-                if joined:
-                    sizes = np.cumsum([len(w.encode()) for w in joined])
-                    found = self.align("".join(joined), sizes)
-                    out.update(zip(joined, found) if found else ((w, (self.align(w) or [None])[0]) for w in joined))
-                joined, size = [], 0
-            if word is not None and not word.strip(" \n"):
-                out[word] = (self.align(word) or [None])[0]
-            elif word is not None:
-                joined.append(word)
-                size += len(word)
-        return out
+        last_a, last_b = np.searchsorted(end_a, common), np.searchsorted(end_b, common)
+        return Aligned(a, b, last_a, last_b, np.searchsorted(common, stops) + 1)
 
-    def words(self, texts: list[str]) -> tuple[list[list[str]], dict[str, Word | None]]:
-        """The words of each text, and the alignment of each different word. A text that has to be seen whole is one word.
 
-        Words, in order, give the text with a blank before it. A word without an alignment is none in any text.
-        """
+@dataclass
+class Aligned:
+    """Tokens of a run of words, the last tokens of each group, and the number of groups up to the end of each word."""
+
+    a: np.ndarray
+    b: np.ndarray
+    last_a: np.ndarray
+    last_b: np.ndarray
+    ends: np.ndarray
+
+    def pairs(self) -> np.ndarray:
+        return self.a[self.last_a] << SHIFT | self.b[self.last_b]
+
+    def by_word(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the groups of each word."""
+        total = np.concatenate([[0], np.cumsum(values)])[self.ends]
+        return np.diff(total, prepend=0)
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each group on either side."""
+        return np.diff(self.last_a, prepend=-1), np.diff(self.last_b, prepend=-1)
+
+    def groups(self, own: Aligner) -> list[str]:
+        """The groups of each word as text."""
+        in_a, in_b = self.tokens()
+        names = np.empty(len(self.a) + len(self.b), object)
+        # A group's B tokens follow its A tokens: a token moves on by all tokens of the other side before it.
+        at_a = np.arange(len(self.a)) + np.repeat(np.cumsum(in_b) - in_b, in_a)
+        at_b = np.arange(len(self.b)) + np.repeat(np.cumsum(in_a), in_b)
+        names[at_a], names[at_b] = own.names_a[0][self.a], own.names_b[0][self.b]
+        names[at_a[self.last_a]], names[at_b[self.last_b]] = own.names_a[1][self.a[self.last_a]], own.names_b[1][self.b[self.last_b]]
+        stops = (self.last_a + self.last_b + 2)[self.ends - 1].tolist()
+        listed = names.tolist()
+        return ["".join(listed[low:high])[:-1] for low, high in zip([0, *stops], stops)]
+
+
+class Words:
+    """Words met so far, by number: a word is aligned once. ``keep`` makes what is kept of newly aligned words."""
+
+    def __init__(self, own: Aligner):
+        self.own, self.index, self.count, self.size = own, {}, 0, 0
+        self.new: list[Aligned] = []
+
+    @property
+    def full(self) -> bool:
+        return len(self.index) > KNOWN or self.size > KNOWN_CHARACTERS
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The numbers of the words of each text, which in order give the text with a blank before it; none for a text that cannot be aligned. A text that has to be seen whole is one word."""
         split = []
         for text in texts:
             text = " " + text if text else ""
-            split.append([text] if text and OTHER.search(text) else list(_cut_words(text)))
-        new = [word for word in dict.fromkeys(word for words in split for word in words) if word not in self.known]
-        if len(self.known) > KNOWN:
-            self.known, new = {}, list(dict.fromkeys(word for words in split for word in words))
-        whole = [word for word in new if OTHER.search(word)]
-        learned = self._learn([word for word in new if not OTHER.search(word)]) if len(whole) < len(new) else {}
-        learned.update((word, (self.align(word) or [None])[0]) for word in whole)
-        found = {word: learned[word] if word in learned else self.known[word] for word in {word for words in split for word in words}}
-        self.known.update((word, known) for word, known in learned.items() if len(word) <= LONG_WORD)
-        return split, found
-
-
-def _cut_words(text: str) -> Iterator[str]:
-    """Words of a text; very long texts are cut between words, so that no regular expression runs over all of them."""
-    at = 0
-    while len(text) - at > CHUNK:
-        cut = CUT.search(text, at + CHUNK)
-        if not cut:
-            break
-        yield from WORD.findall(text[at : cut.start()])
-        at = cut.start()
-    yield from WORD.findall(text[at:] if at else text)
+            split.append([text] if text and OTHER.search(text) else _cut_words(text))
+        missing = dict.fromkeys(chain.from_iterable(split))
+        self._learn([word for word in missing if word not in self.index], {words[0] for words in split if len(words) == 1})
+        look = self.index.__getitem__
+        numbers = [np.fromiter(map(look, words), np.int64, len(words)) for words in split]
+        return [None if len(found) and found.min() < 0 else found for found in numbers]
+
+    def _take(self, words: list[str]) -> None:
+        """Number words and keep their alignment; words that cannot be aligned together are tried one by one, and one that cannot be at all has no number."""
+        aligned = self.own.align(words) if words else None
+        if aligned:
+            first = self.count
+            self.index.update(zip(words, range(first, first + len(words))))
+            self.count += len(words)
+            self.new.append(aligned)
+        elif len(words) > 1:
+            for word in words:
+                self._take([word])
+        elif words:
+            self.index[words[0]] = -1
+        self.size += sum(map(len, words))
+
+    def _learn(self, words: list[str], whole: set[str]) -> None:
+        """A word begins with its blanks, so words follow each other as one text; those of blanks only, very long ones and whole texts are aligned by themselves."""
+        run, size = [], 0
+        for word in words:
+            if len(word) > LONG_WORD or not word.strip(" \n") or (word in whole and OTHER.search(word)):
+                self._take([word])
+                continue
+            run.append(word)
+            size += len(word)
+            if size > RUN:
+                self._take(run)
+                run, size = [], 0
+        self._take(run)
+
+
+def _cut_words(text: str) -> list[str]:
+    """Words of a text: each with the blanks and line ends before it."""
+    return WORD.findall(text)
 
 
 @lru_cache(maxsize=2)
@@ -254,21 +281,25 @@ def local_counts(docs: DataFrame, byte_file: str, piece_file: str, text: str = "
     """``(pair, n)``: the pair counts of each task, one row per pair and task."""
 
     def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
-        own = aligner(byte_file, piece_file)
-        keys, counts = [], []
+        words, times = Words(aligner(byte_file, piece_file)), np.zeros(0, np.int64)
+        distinct, total = _summed([], [])
+
+        def flush():
+            """Pair counts so far, with those of the words at hand as often as they were met."""
+            sizes = [part.by_word(np.ones(len(part.last_a), np.int64)) for part in words.new]
+            keys, met = [part.pairs() for part in words.new], np.concatenate([times, np.zeros(words.count - len(times), np.int64)])
+            counts = [np.repeat(met, np.concatenate(sizes))] if sizes else []
+            return _summed([distinct, *keys], [total, *counts])
+
         for rows in slices:
-            split, found = own.words([row[0] or "" for row in rows])
-            times: Counter = Counter()
-            for words in split:
-                if all(found[word] for word in words):
-                    times.update(words)
-            for word, n in times.items():
-                keys.append(found[word].pairs)
-                counts.append(np.full(len(keys[-1]), n, np.int64))
-            if len(keys) > 1:
-                distinct, total = _summed(keys, counts)
-                keys, counts = [distinct], [total]
-        distinct, total = _summed(keys, counts)
+            found = [numbers for numbers in words.numbers([row[0] or "" for row in rows]) if numbers is not None]
+            met = np.bincount(np.concatenate([np.zeros(0, np.int64), *found]), minlength=words.count)
+            met[: len(times)] += times
+            times = met
+            if words.full:
+                distinct, total = flush()
+                words, times = Words(words.own), np.zeros(0, np.int64)
+        distinct, total = flush()
         yield {"pair": distinct, "n": total}
 
     return map_rows(docs.select(F.col(text)), work, "pair long, n long")
@@ -328,34 +359,29 @@ def align(docs: DataFrame, byte_file: str, piece_file: str, counts: PairCounts,
 
     ``groups`` is ``a1,a2|b1;a3|b2,b3``: the A and B ids of each group. Null and empty texts, and those whose tokens do not give the bytes of a blank and the text, have no token: zeros
     and an empty string. ``n_best`` counts links whose pair is the most frequent of its B token in ``counts``, ties included; pairs that ``counts`` does not know count 0 and are no
-    best. Rows that repeat an id or text are aligned each; an empty table gives no row; very long texts are cut between words, or aligned whole where they hold other white space.
+    best. Rows that repeat an id or text are aligned each; an empty table gives no row; a very long text is a slice of its own, and aligned whole where it holds other white space.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(counts)
 
     def work(slices: Iterator[list[tuple]]) -> Iterable[dict]:
-        own, table = aligner(byte_file, piece_file), shipped.value
+        table, words = shipped.value, Words(aligner(byte_file, piece_file))
+        numbers, groups = np.zeros((0, 5), np.int64), []
         for rows in slices:
-            split, found = own.words([row[1] or "" for row in rows])
-            names = [word for word, known in found.items() if known]
-            index = {word: k for k, word in enumerate(names)}
-            sizes = np.array([len(found[word].pairs) for word in names], np.int64)
-            numbers = np.zeros((len(names), 5), np.int64)
-            if names:
-                n, best = table.look_up(np.concatenate([found[word].pairs for word in names]))
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                numbers[:, 0], numbers[:, 1] = [found[word].n_a for word in names], [found[word].n_b for word in names]
-                numbers[:, 2], numbers[:, 3], numbers[:, 4] = sizes, np.add.reduceat(best.astype(np.int64), starts), np.add.reduceat(n, starts)
-            totals, groups = np.zeros((len(rows), 5), np.int64), []
-            for k, words in enumerate(split):
-                at = [index.get(word, -1) for word in words]
-                whole = bool(at) and min(at) >= 0
-                if whole:
-                    totals[k] = numbers[at].sum(axis=0)
-                groups.append(";".join([found[word].groups for word in words]) if whole else "")
+            if words.full:
+                words, numbers, groups = Words(words.own), numbers[:0], []
+            split = words.numbers([row[1] or "" for row in rows])
+            parts = [numbers]
+            for part in words.new:
+                n, best = table.look_up(part.pairs())
+                columns = (*part.tokens(), np.ones(len(n), np.int64), best, n)
+                parts.append(np.stack([part.by_word(column.astype(np.int64)) for column in columns], axis=1))
+                groups += part.groups(words.own)
+            words.new, numbers = [], np.concatenate(parts)
+            totals = np.array([[0] * 5 if at is None else numbers[at].sum(axis=0) for at in split])
             n_a, n_b, n_groups, n_best, count_sum = totals.T
             yield {
-                "doc_id": [row[0] for row in rows], "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_groups, "n_best": n_best,
-                "count_sum": count_sum, "groups": groups,
+                "doc_id": [row[0] for row in rows], "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_groups, "n_best": n_best, "count_sum": count_sum,
+                "groups": ["" if at is None else ";".join(map(groups.__getitem__, at.tolist())) for at in split],
             }
 
     return map_rows(docs.select(F.col(id_column).cast("long"), F.col(text)), work, ALIGNED)

@@ -7,6 +7,7 @@ import pytest
 from llm.helpers import awkward, rows_of
 from simloom.llm import alignment
 from simloom.llm.alignment import PerfectHash, align, aligner, count_pairs
+from simloom.llm.shared import map_rows
 
 RESULT = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
@@ -83,16 +84,29 @@ def test_against_both_libraries(spark, files):
     assert sorted(rows_of(found, *RESULT), key=key) == sorted(brute(rows, files), key=key)
 
 
-def test_very_long_texts_are_cut_between_words(spark, files, monkeypatch):
+def test_words_together_equal_the_whole_text(files, monkeypatch):
+    """Words aligned in runs of any size, each once, give what aligning the whole text gives."""
     rnd = random.Random(4)
-    text = "".join(rnd.choice(["river", "stone", "été", "42,"]) + rnd.choice([" ", "\n", "  ", "\n\n"]) for _ in range(3000))
-    cut = list(alignment._cut_words(" " + text))
-    monkeypatch.setattr(alignment, "CHUNK", 500)
-    assert list(alignment._cut_words(" " + text)) == cut and "".join(cut) == " " + text
-    own = alignment.Aligner(*files)
-    whole = own.align(" " + text)[0]
-    split, found = own.words([text])
-    assert ";".join(found[w].groups for w in split[0]) == whole.groups
+    text = " " + "".join(rnd.choice(["river", "stone", "été", "42,", "don't"]) + rnd.choice([" ", "\n", "  ", "\n\n"]) for _ in range(3000))
+    own = aligner(*files)
+    whole = own.align([text])
+    for run in (1, 40, 1 << 16):
+        monkeypatch.setattr(alignment, "RUN", run)
+        words = alignment.Words(own)
+        (numbers,) = words.numbers([text[1:]])
+        groups = [group for part in words.new for group in part.groups(own)]
+        pairs = np.concatenate([part.pairs() for part in words.new])
+        assert ";".join(groups[k] for k in numbers) == whole.groups(own)[0]
+        assert set(pairs.tolist()) == set(whole.pairs().tolist()) and words.count == len(set(numbers.tolist()))
+
+
+def test_few_words_at_hand_give_the_same_counts(spark, files, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(k, " ".join(rnd.choice(["river", "stone", "cloud", "mill", "green"]) + rnd.choice("abcdef") for _ in range(30))) for k in range(40)]
+    docs = awkward(spark, rows)
+    monkeypatch.setattr(alignment, "KNOWN", 3)
+    monkeypatch.setattr(alignment, "map_rows", lambda *given, **more: map_rows(*given, rows=4))
+    assert rows_of(align(docs, *files, count_pairs(docs, *files)), *RESULT) == sorted(brute(rows, files))
 
 
 def test_pairs_not_counted_before(spark, files):
@@ -127,7 +141,6 @@ def test_counts_are_summed_as_a_tree(spark, files, monkeypatch):
 def test_pairs_are_bounded_by_the_vocabularies(files):
     own = aligner(*files)
     assert own.most_pairs() < 600_000
-    (word,) = own.align(" thintion")
-    for pair in word.pairs.tolist():
+    for pair in own.align([" thintion"]).pairs().tolist():
         x, y = own.bytes_a[pair >> alignment.SHIFT], own.bytes_b[pair & ((1 << alignment.SHIFT) - 1)]
         assert x.endswith(y) or y.endswith(x)
