@@ -359,6 +359,22 @@ _LOGO = f"""
     SELECT col, aa, round(p * greatest(0, log2(20) - (entropy + 19.0 / (2 * ln(2) * {_ROWS}))) * present / {_ROWS}, 6) AS height FROM h"""
 
 
+def _identity_at(threshold: float) -> str:
+    return sql("aligned", _IDENTITY.replace("0.6 * uni", f"{threshold} * uni") + "SELECT row_id, round(weight, 8) AS weight FROM w")
+
+
+@query("agg_13_identity_weights_strict", _identity_at(0.9))
+def strict_identity_weights(t: Tables):
+    """Weights where nine columns of ten must agree."""
+    return identity.identity_weights(t.aligned, 0.9).withColumn("weight", F.round("weight", 8))
+
+
+@query("agg_13_identity_weights_loose", _identity_at(0.5))
+def loose_identity_weights(t: Tables):
+    """Weights where every second column must agree; the work is that of any other threshold."""
+    return identity.identity_weights(t.aligned, 0.5).withColumn("weight", F.round("weight", 8))
+
+
 @query("agg_14_logo_bits", sql("counts", _LOGO))
 def logo(t: Tables):
     """Letter heights in bits, scaled by occupancy."""

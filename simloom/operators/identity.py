@@ -3,102 +3,70 @@
 Identity is the share of matching standard residues among columns where either row has one.
 A row's weight is the inverse number of rows (itself included) at least that identical.
 
-Comparing all pairs is avoided exactly: two rows within the threshold differ in at most
-``d = (1 - t) * width`` columns. Of ``d + 1`` bands of columns, one therefore agrees completely,
-and candidates come from an equality join on band contents. A band content shared by very many
-rows (mostly gaps, say) is split further by the same argument on the remaining columns. Copies
-are collapsed first, and a pair counts only in its first common band, so nothing has to be
-deduplicated afterwards and only per-row sums are shuffled.
+Whether two rows are similar is looked up for every pair of distinct rows, on the grid of :mod:`simloom.plans.pairs`: a
+tile compares blocks of rows by matrix products, one per residue, and keeps a sum per row. The work does not depend on the
+threshold nor on how many rows share a stretch of columns, and only sums leave a tile. Copies are collapsed first.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simloom.functions.residues import STANDARD_RESIDUES
+from simloom.plans.pairs import block_pairs, map_tiles, place_column
 from simloom.plans.runtime import materialized
 
-HOT_ROWS = 50_000
+BLOCK_ROWS = 512
+BLOCK_BYTES = 8 << 20
 
 
 def _standard_only(sequence: Column) -> Column:
     return F.regexp_replace(F.upper(sequence), f"[^{STANDARD_RESIDUES}]", "-")
 
 
-def _bands(text: Column, width: int, bands: int) -> Column:
-    """Interleaved columns, so that conserved and gap-rich regions spread over all bands."""
-    return F.array(
-        *[F.concat(*[F.substring(text, c + 1, 1) for c in range(band, width, bands)]) for band in range(bands)]
-    )
+def similar_rows(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of two matrices of letters (gaps are ``-``) are at least that identical, as a matrix of booleans."""
+    gap = ord("-")
+    product = lambda x, y: x.astype(np.float32) @ y.astype(np.float32).T  # exact: sums are below 2**24
+    in_a, in_b = a != gap, b != gap
+    either = in_a.sum(1)[:, None] + in_b.sum(1)[None, :] - product(in_a, in_b)
+    same = np.zeros(either.shape, np.float32)
+    for letter in np.intersect1d(np.unique(a), np.unique(b)):
+        if letter != gap:
+            same += product(a == letter, b == letter)
+    return (either > 0) & (same.astype(np.float64) >= threshold * either.astype(np.float64) - 1e-12)
 
 
 def neighbour_counts(sequences: DataFrame, threshold: float) -> DataFrame:
     """``(sequence, neighbours)`` for distinct aligned texts ``(sequence, copies)``."""
     coded = sequences.select("sequence", "copies", _standard_only(F.col("sequence")).alias("coded"))
-    by_code = materialized(coded.groupBy("coded").agg(F.sum("copies").alias("copies")))
+    by_code = materialized(coded.groupBy("coded").agg(F.sum("copies").alias("copies")).withColumn("id", F.monotonically_increasing_id()))
     width = by_code.agg(F.max(F.length("coded"))).first()[0] or 1
-    bands = int(math.floor((1.0 - threshold) * width + 1e-9)) + 1
-    if bands > width:
-        raise ValueError("the identity threshold is too low for this width")
     padded = by_code.withColumn("coded", F.rpad("coded", width, "-"))
-    padded = padded.withColumn("parts", _bands(F.col("coded"), width, bands))
-    residues = F.length(F.replace("coded", F.lit("-"), F.lit("")))
-    keyed = padded.select(
-        "coded", "copies", "parts", residues.alias("size"), F.posexplode("parts").alias("band", "part")
-    )
-    per_band = [len(range(band, width, bands)) for band in range(bands)]
-    rest_width = width - max(per_band)
-    pairs = _similar(keyed, ["band", "part"], [("parts", "band")], threshold)
-    if rest_width >= bands:
-        sizes = keyed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("rows"))
-        hot = materialized(sizes.where(F.col("rows") > HOT_ROWS).select("band", "part"))
-        if not hot.isEmpty():
-            rest = F.array_join(F.filter("parts", lambda part, k: k != F.col("band")), "")
-            split = keyed.join(hot, ["band", "part"], "left_semi").withColumn(
-                "subparts", _bands(rest, width - min(per_band), bands)
-            )
-            split = split.select("*", F.posexplode("subparts").alias("sub", "subpart"))
-            cold = keyed.join(hot, ["band", "part"], "left_anti")
-            pairs = _similar(cold, ["band", "part"], [("parts", "band")], threshold).unionByName(
-                _similar(
-                    split, ["band", "part", "sub", "subpart"], [("parts", "band"), ("subparts", "sub")], threshold
-                )
-            )
-    counted = pairs.groupBy("coded").agg(F.sum("copies").alias("neighbours"))
+    rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // width))
+    pairs = block_pairs(place_column(padded, "id"), "place", ["id", "copies", "coded"], rows)
+
+    def work(tile):
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def add(block: int, ids: np.ndarray, n: np.ndarray) -> None:
+            sums[block] = ids, n + (sums[block][1] if block in sums else 0)
+
+        for given in tile:
+            a, b = (np.frombuffer("".join(given[f"{side}_coded"]).encode("ascii"), np.uint8).reshape(-1, width) for side in "ab")
+            similar = similar_rows(a, b, threshold)
+            add(given["bi"], given["a_id"], similar @ given["b_copies"])
+            if given["bi"] != given["bj"]:
+                add(given["bj"], given["b_id"], similar.T @ given["a_copies"])
+        for ids, n in sums.values():
+            yield {"id": ids, "n": n}
+
+    counted = map_tiles(pairs, work, "id BIGINT, n BIGINT").groupBy("id").agg(F.sum("n").alias("neighbours"))
     # A row without any standard residue stays one independent observation.
-    return (
-        coded.select("sequence", F.rpad("coded", width, "-").alias("coded"))
-        .join(counted, "coded", "left")
-        .select("sequence", F.coalesce("neighbours", F.lit(1)).alias("neighbours"))
-    )
-
-
-def _similar(
-    keyed: DataFrame, keys: list[str], bands: list[tuple[str, str]], threshold: float
-) -> DataFrame:
-    """``(coded, copies)`` per similar pair: the left row and the copies of the right one."""
-    a, b = keyed.alias("a"), keyed.alias("b")
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & (F.col(f"a.{key}") == F.col(f"b.{key}"))
-    # A match needs min(size) >= t * max(size): most unequal rows never get compared.
-    for x, y in ("ab", "ba"):
-        condition = condition & (F.col(f"{x}.size") >= threshold * F.col(f"{y}.size") - 1e-9)
-    for parts, band in bands:
-        agree = F.zip_with(f"a.{parts}", f"b.{parts}", lambda x, y: x == y)
-        condition = condition & (F.array_position(agree, F.lit(True)) == F.col(f"a.{band}") + 1)
-
-    def columns(test) -> Column:
-        letters = F.zip_with(F.split("a.coded", ""), F.split("b.coded", ""), lambda x, y: F.when(test(x, y), 1).otherwise(0))
-        return F.aggregate(letters, F.lit(0), lambda n, x: n + x)
-
-    same = columns(lambda x, y: (x == y) & ~x.isin("-", ""))
-    either = columns(lambda x, y: ~(x.isin("-", "") & y.isin("-", "")))
-    similar = (either > 0) & (same >= threshold * either - 1e-12)
-    return a.join(b, condition & similar).select(F.col("a.coded").alias("coded"), F.col("b.copies").alias("copies"))
+    found = by_code.join(counted, "id").select("coded", F.greatest("neighbours", F.lit(1)).alias("neighbours"))
+    return coded.select("sequence", "coded").join(found, "coded").select("sequence", "neighbours")
 
 
 def identity_weights(aligned: DataFrame, threshold: float) -> DataFrame:

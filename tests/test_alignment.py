@@ -25,10 +25,10 @@ def brute_weights(texts, threshold):
     return weights
 
 
-@pytest.mark.parametrize("hot", [2, 50_000])
+@pytest.mark.parametrize("rows", [5, 512])
 @pytest.mark.parametrize("threshold, seed", [(0.9, 0), (0.6, 1), (0.35, 2), (1.0, 3)])
-def test_identity_weights(spark, monkeypatch, threshold, seed, hot):
-    monkeypatch.setattr(identity, "HOT_ROWS", hot)
+def test_identity_weights(spark, monkeypatch, threshold, seed, rows):
+    monkeypatch.setattr(identity, "BLOCK_ROWS", rows)
     rng = np.random.default_rng(seed)
     base = rng.choice(list("ACD-X"), (6, 15))
     texts = []

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simloom.operators import network
+from simloom.plans import pairs
 from simloom.plans.numbering import dense_index, id_bucket, running_total
 from simloom.plans.ranking import kth_largest, linear_percentile
 
@@ -74,3 +75,36 @@ def test_intermediate_tables_go_to_the_named_folder(spark):
     before = len(os.listdir(folder))
     assert materialized(spark.range(5)).count() == 5
     assert len(os.listdir(folder)) == before + 1
+
+
+@pytest.mark.parametrize("tasks", [1, 3, 10, 200])
+def test_tiles_hold_every_pair_of_blocks_once(spark, tasks):
+    rows = spark.range(43).select(F.col("id").alias("node_id")).withColumn("place", F.col("node_id"))
+    found = pairs.block_pairs(rows, "place", ["node_id"], 4)
+    tiled, count = found.tiled(tasks)
+    p = found.grid(tasks)[0]
+    assert count == p * (p + 1) // 2 and tiled.count() == 11 * p  # a block travels to p tiles
+
+    def every(tile):
+        for given in tile:
+            a, b = pairs.upper_triangle(given["bi"], given["bj"], len(given["a_node_id"]), len(given["b_node_id"]))
+            yield {"i": given["a_node_id"][a], "j": given["b_node_id"][b]}
+
+    got = [tuple(r) for r in pairs.map_tiles(found, every, "i BIGINT, j BIGINT", tasks).collect()]
+    assert sorted(got) == [(i, j) for i in range(43) for j in range(i + 1, 43)]
+
+
+@pytest.mark.parametrize("tasks", [1, 5, 64])
+def test_tiles_of_two_tables(spark, tasks):
+    def numbered(low, high):
+        return spark.range(low, high).select(F.col("id").alias("node_id"), (F.col("id") - low).alias("place"))
+
+    found = pairs.bipartite_pairs(numbered(0, 9), numbered(100, 131), "place", ["node_id"], 4)
+    p, q = found.grid(tasks)
+    tiled, count = found.tiled(tasks)
+    assert count == p * q and tiled.count() == 3 * q + 8 * p
+    both = lambda given: {"i": given["a_node_id"].repeat(len(given["b_node_id"])), "j": np.tile(given["b_node_id"], len(given["a_node_id"]))}
+    got = [tuple(r) for r in pairs.map_block_pairs(found, both, "i BIGINT, j BIGINT").collect()]
+    assert sorted(got) == [(i, j) for i in range(9) for j in range(100, 131)]
+    nothing = pairs.bipartite_pairs(numbered(0, 0), numbered(5, 8), "place", ["node_id"], 4)
+    assert pairs.map_block_pairs(nothing, both, "i BIGINT, j BIGINT").collect() == []
