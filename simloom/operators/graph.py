@@ -226,129 +226,203 @@ def leiden_labels(
     edges: DataFrame,
     resolution: float = 1.0,
     seed: int = 42,
-    max_rounds: int = 8,
+    max_rounds: int = 4,
     max_settling: int = 1000,
 ) -> DataFrame:
-    """``(node_id, label)`` by modularity optimisation; nodes without edges are noise.
+    """``(node_id, label)`` by modularity optimisation in the Leiden scheme; nodes without edges are noise.
 
-    Nodes move in parallel to the neighbouring community with the best gain; a seeded part of
-    them waits in each round, which keeps neighbours from swapping forever. After ``max_rounds`` such
-    rounds, moves that share no community follow until no node gains. Communities then become the nodes
-    of the next, smaller level, until a level merges none. A level that does not settle in ``max_settling`` rounds
-    raises. As a last step every community is split into its connected parts, so all results are connected.
+    On every level nodes move to better communities for ``max_rounds`` rounds, each community is refined from single
+    nodes, and the refined parts become the nodes of the next level, which begins with the communities found so far. When
+    parts no longer merge, the nodes themselves move until none gains, and communities that fell apart are split into their
+    connected parts; both are repeated until neither changes anything. So every community is connected and no node
+    gains by a move. Moves that do not settle in ``max_settling`` rounds raise.
     """
     links = materialized(
         edges.where("i <> j")
         .groupBy(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
         .agg(F.sum(F.col("score").cast("double")).alias("w"))
     )
-    level = links
-    members = endpoints(links).select("node_id").distinct().withColumn("label", F.col("node_id"))
-    members = materialized(members)
+    linked = materialized(endpoints(links).select("node_id").distinct())
+    count_ = linked.count()
+    members, level, start = linked.withColumn("part", F.col("node_id")), links, None
     for depth in count():
-        moved = _local_moves(level, resolution, seed + depth, max_rounds, max_settling)
-        if moved is None:  # every other level has fewer nodes than the one before
+        moved = _local_moves(level, resolution, seed + depth, max_rounds, 0, start)
+        if moved is None:
             break
-        members = materialized(
-            members.join(
-                moved.select(F.col("node_id").alias("label"), F.col("label").alias("__new")), "label", "left"
-            ).select("node_id", F.coalesce("__new", "label").alias("label"))
-        )
-        a = moved.select(F.col("node_id").alias("i"), F.col("label").alias("__i"))
-        b = moved.select(F.col("node_id").alias("j"), F.col("label").alias("__j"))
-        merged = level.join(a, "i").join(b, "j")
-        # A self loop keeps the weight inside a community for the next level.
+        parts = materialized(_refined(level, moved, resolution, seed + depth))
+        found, fewer = parts.count(), parts.select("part").distinct().count()
+        start = materialized(parts.groupBy("part").agg(F.min("label").alias("label")).withColumnRenamed("part", "node_id"))
+        finer = parts.select(F.col("node_id").alias("part"), F.col("part").alias("__part"))
+        members = materialized(members.join(finer, "part").select("node_id", F.col("__part").alias("part")))
+        if fewer == found:
+            break
+        a = parts.select(F.col("node_id").alias("i"), F.col("part").alias("__i"))
+        b = parts.select(F.col("node_id").alias("j"), F.col("part").alias("__j"))
+        # A self loop keeps the weight inside a part for the next level.
         level = materialized(
-            merged.groupBy(F.least("__i", "__j").alias("i"), F.greatest("__i", "__j").alias("j")).agg(
-                F.sum("w").alias("w")
-            )
+            level.join(a, "i").join(b, "j")
+            .groupBy(F.least("__i", "__j").alias("i"), F.greatest("__i", "__j").alias("j"))
+            .agg(F.sum("w").alias("w"))
         )
-    inside = (
-        links.join(members.select(F.col("node_id").alias("i"), F.col("label").alias("__i")), "i")
-        .join(members.select(F.col("node_id").alias("j"), F.col("label").alias("__j")), "j")
-        .where(F.col("__i") == F.col("__j"))
-    )
-    parts = connected_components(members, inside).withColumnRenamed("component", "label")
-    return nodes.select("node_id").join(parts, "node_id", "left").select(
+    labels = members.withColumn("label", F.col("part"))
+    if start is not None:
+        labels = members.join(start.withColumnRenamed("node_id", "part"), "part")
+    labels = materialized(labels.select("node_id", "label"))
+    while count_:
+        settled = _local_moves(links, resolution, seed, max_rounds, max_settling, labels)
+        if settled is None:
+            break
+        a, b = (settled.select(F.col("node_id").alias(x), F.col("label").alias(f"__{x}")) for x in ("i", "j"))
+        inside = links.join(a, "i").join(b, "j").where("__i = __j")
+        labels = materialized(connected_components(linked, inside).withColumnRenamed("component", "label"))
+        if labels.select("label").distinct().count() == settled.select("label").distinct().count():
+            break
+    return nodes.select("node_id").join(labels, "node_id", "left").select(
         "node_id", F.coalesce("label", F.lit(NOISE)).alias("label")
     )
 
 
-def _local_moves(level: DataFrame, resolution: float, seed: int, max_rounds: int, max_settling: int = 1000) -> DataFrame | None:
-    """Communities ``(node_id, label)`` of one level once no node gains by a move, or None if they merge no nodes.
+# The share of nodes that may move at once; neighbours that wait keep others from chasing each other.
+MOVING = 0.7
 
-    After ``max_rounds`` rounds a node moves only if no other move touches the community it leaves or the one it enters. The
-    gains of such moves add up, so modularity rises in every round and the level settles.
-    """
-    both = level.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("i").alias("node_id"), F.col("j").alias("other"), F.col("w")),
-                F.struct(F.col("j").alias("node_id"), F.col("i").alias("other"), F.col("w")),
-            )
-        )
+
+def _both_ways(level: DataFrame) -> DataFrame:
+    ways = F.array(
+        F.struct(F.col("i").alias("node_id"), F.col("j").alias("other"), F.col("w")),
+        F.struct(F.col("j").alias("node_id"), F.col("i").alias("other"), F.col("w")),
     )
+    return level.select(F.inline(ways))
+
+
+def _local_moves(
+    level: DataFrame, resolution: float, seed: int, max_rounds: int, max_settling: int = 1000, start: DataFrame | None = None
+) -> DataFrame | None:
+    """Communities ``(node_id, label)`` of one level, from those of ``start`` or from single nodes; None if there is no weight or no merge.
+
+    In a round a hashed share of the nodes that gain moves to the best neighbouring community. Only nodes are looked at
+    whose neighbourhood changed, or that wait; once none of them gains, all are looked at again for what other
+    communities' weights have changed. A round after which modularity is lower is taken back and repeated with half the share, so
+    modularity rises until no node gains. With ``max_settling`` 0 it ends after ``max_rounds`` rounds wherever it stands.
+    """
+    both = _both_ways(level)
     strength = materialized(both.groupBy("node_id").agg(F.sum("w").alias("k")))
     nodes, total = strength.agg(F.count(F.lit(1)), F.sum("k")).first()
     if not total:
         return None
     # The strength travels with every edge, so no round has to look it up again.
     outer = materialized(both.where("node_id <> other").join(strength, "node_id"))
-    state = strength.withColumn("label", F.col("node_id"))
+    begun = strength.withColumn("label", F.col("node_id")) if start is None else strength.join(start, "node_id")
+    state, active = begun.withColumn("inside", F.lit(0.0)), None
+    share, best_so_far, kept = MOVING, None, None
     for turn in range(max_rounds + max_settling):
-        sizes = state.groupBy("label").agg(F.sum("k").alias("mass"), F.count(F.lit(1)).alias("n"))
-        near = outer.join(state.select(F.col("node_id").alias("other"), "label"), "other")
-        near = near.select("node_id", "label", "k", "w", F.lit(False).alias("stays"))
-        own = state.select("node_id", "label", "k", F.lit(0.0).alias("w"), F.lit(True).alias("stays"))
-        options = near.unionByName(own).groupBy("node_id", "label").agg(
-            F.max("k").alias("k"), F.sum("w").alias("inside"), F.max("stays").alias("stays")
+        found, totals = materialized_with(
+            _choices(outer, state, active, resolution, total), wants=F.count_if("wants"), moves=F.count_if("may_move"), quality=F.sum("quality")
         )
-        mass = F.col("mass") - F.when(F.col("stays"), F.col("k")).otherwise(F.lit(0.0))
-        gain = F.col("inside") - F.lit(resolution) * F.col("k") * mass / F.lit(total)
-        best = options.join(sizes, "label").withColumn("gain", gain).groupBy("node_id").agg(
-            F.max("k").alias("k"),
-            F.max(F.struct("gain", (-F.col("label")).alias("minus"), "n")).alias("best"),
-            F.max(F.when(F.col("stays"), F.struct("gain", "label", "n"))).alias("home"),
-        )
-        # Two single nodes never swap: only the one with the higher label moves. Otherwise a
-        # seeded quarter of the nodes waits, so that groups do not chase each other.
-        single = (F.col("best.n") == 1) & (F.col("home.n") == 1)
-        wait = F.pmod(F.xxhash64("node_id", F.lit(seed * 1000 + turn)), F.lit(4)) == 0
-        may_move = F.when(single, -F.col("best.minus") < F.col("home.label")).otherwise(~wait)
-        # Above the rounding of sums that are at most ``k``, so that no node moves to and fro between equals.
-        better = F.col("best.gain") > F.col("home.gain") + 1e-9 * F.greatest(F.lit(1.0), F.col("k"))
-        choice = best.select(
-            "node_id",
-            "k",
-            F.col("home.label").alias("home"),
-            (-F.col("best.minus")).alias("target"),
-            better.alias("wants"),
-            (better & may_move).alias("moves"),
-            F.struct((F.col("best.gain") - F.col("home.gain")).alias("gain"), "node_id").alias("rank"),
-        )
-        if turn >= max_rounds:
-            choice = _disjoint_moves(materialized(choice))
-        decided, totals = materialized_with(
-            choice.select("node_id", "k", F.when(F.col("moves"), F.col("target")).otherwise(F.col("home")).alias("label"), "wants"),
-            wants=F.count_if("wants"),
-        )
-        state = decided.select("node_id", "k", "label")
-        if not totals["wants"]:
-            break
+        if best_so_far is not None and totals["quality"] < best_so_far - 1e-12 * total:
+            share /= 2
+        else:
+            kept, best_so_far = found, totals["quality"]
+            share = min(MOVING, 1.5 * share)
+            if not totals["wants"]:
+                if active is None:
+                    break
+                state, active = kept.select("node_id", "k", F.col("home").alias("label"), "inside"), None
+                continue
+        drawn = F.pmod(F.xxhash64("node_id", F.lit(seed * 10_000 + turn)), F.lit(1 << 20)) < int(share * (1 << 20))
+        decided = kept.withColumn("moved", F.col("may_move") & drawn)
+        label = F.when(F.col("moved"), F.col("target")).otherwise(F.col("home"))
+        state = decided.select("node_id", "k", label.alias("label"), "inside")
+        moved = decided.where("moved").select(F.col("node_id").alias("other"))
+        near = outer.join(moved, "other", "left_semi").select("node_id")
+        active = near.unionByName(decided.where("wants").select("node_id")).distinct()
     else:
-        raise RuntimeError(f"nodes still gain by moves after {max_rounds} and {max_settling} rounds")
-    labels = state.select("node_id", "label")
-    return labels if labels.select("label").distinct().count() < nodes else None
-
-
-def _disjoint_moves(choice: DataFrame) -> DataFrame:
-    """Let those moves happen that rank first in the community they leave and in the one they enter."""
-    wanted = choice.where("wants")
-    touched = wanted.select("node_id", "rank", F.explode(F.array("home", "target")).alias("label"))
-    first = touched.groupBy("label").agg(F.max("rank")["node_id"].alias("node_id"))
-    both = first.groupBy("node_id").agg((F.count(F.lit(1)) == 2).alias("__first"))
-    joined = choice.drop("moves").join(both, "node_id", "left")
-    return joined.withColumn("moves", F.coalesce("__first", F.lit(False)))
+        if max_settling:
+            raise RuntimeError(f"nodes still gain by moves after {max_rounds} and {max_settling} rounds")
+    labels = kept.select("node_id", F.col("home").alias("label"))
+    merged = start is not None or labels.select("label").distinct().count() < nodes
+    return labels if merged else None
+
+
+def _choices(outer: DataFrame, state: DataFrame, active: DataFrame | None, resolution: float, total: float) -> DataFrame:
+    """For every node its community (``home``), the best one for it (``target``) and whether it gains (``wants``); nodes that are not active stay.
+
+    ``quality`` sums up to the weight inside communities less what is expected there. Two single nodes never swap: only the one with the higher
+    label may move.
+    """
+    sizes = state.groupBy("label").agg(F.sum("k").alias("mass"), F.count(F.lit(1)).alias("n"))
+    looked_at = state if active is None else state.join(active, "node_id", "left_semi")
+    edges = outer if active is None else outer.join(active, "node_id", "left_semi")
+    near = edges.join(state.select(F.col("node_id").alias("other"), "label"), "other")
+    near = near.select("node_id", "label", "k", "w", F.lit(False).alias("stays"))
+    own = looked_at.select("node_id", "label", "k", F.lit(0.0).alias("w"), F.lit(True).alias("stays"))
+    options = near.unionByName(own).groupBy("node_id", "label").agg(
+        F.max("k").alias("k"), F.sum("w").alias("weight"), F.max("stays").alias("stays")
+    )
+    mass = F.col("mass") - F.when(F.col("stays"), F.col("k")).otherwise(F.lit(0.0))
+    gain = F.col("weight") - F.lit(resolution) * F.col("k") * mass / F.lit(total)
+    best = options.join(sizes, "label").withColumn("gain", gain).groupBy("node_id").agg(
+        F.max("k").alias("k"),
+        F.max(F.struct("gain", (-F.col("label")).alias("minus"), "n")).alias("best"),
+        F.max(F.when(F.col("stays"), F.struct("gain", "label", "n", "weight"))).alias("here"),
+    )
+    # Above the rounding of sums that are at most ``k``, so that no node moves to and fro between equals.
+    better = F.col("best.gain") > F.col("here.gain") + 1e-9 * F.greatest(F.lit(1.0), F.col("k"))
+    swap = (F.col("best.n") == 1) & (F.col("here.n") == 1) & (-F.col("best.minus") > F.col("here.label"))
+    chosen = best.select(
+        "node_id", (-F.col("best.minus")).alias("target"), better.alias("wants"), (better & ~swap).alias("may_move"), F.col("here.weight").alias("weight"),
+        (F.col("best.gain") - F.col("here.gain")).alias("gain"),
+    )
+    whole = state.join(sizes.select("label", "mass"), "label").join(chosen, "node_id", "left")
+    inside = F.coalesce("weight", "inside")
+    return whole.select(
+        "node_id", "k", F.col("label").alias("home"), inside.alias("inside"), F.coalesce("target", "label").alias("target"),
+        F.coalesce("wants", F.lit(False)).alias("wants"), F.coalesce("may_move", F.lit(False)).alias("may_move"),
+        (inside - F.lit(resolution) * F.col("k") * F.col("mass") / F.lit(total)).alias("quality"), F.coalesce("gain", F.lit(0.0)).alias("gain"),
+    )
+
+
+def move_gains(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """``(node_id, gain)`` of every linked node: what its best move to a neighbouring community adds to the weight inside communities beyond expectation; 0 if it is best where it is."""
+    both = _both_ways(edges.where("i <> j").select("i", "j", F.col("score").cast("double").alias("w")))
+    strength = materialized(both.groupBy("node_id").agg(F.sum("w").alias("k")))
+    total = strength.agg(F.sum("k")).first()[0]
+    state = strength.join(labels, "node_id").withColumn("inside", F.lit(0.0))
+    return _choices(both.join(strength, "node_id"), state, None, resolution, total or 1.0).select("node_id", "gain")
+
+
+def split_communities(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(label, parts)`` of communities that are not connected, and the number of their parts."""
+    members = labels.where(F.col("label") != NOISE)
+    a, b = (members.select(F.col("node_id").alias(x), F.col("label").alias(f"__{x}")) for x in ("i", "j"))
+    inside = edges.join(a, "i").join(b, "j").where("__i = __j").select("i", "j")
+    parts = members.join(connected_components(members.select("node_id"), inside), "node_id")
+    return parts.groupBy("label").agg(F.count_distinct("component").alias("parts")).where("parts > 1")
+
+
+def _refined(level: DataFrame, labels: DataFrame, resolution: float, seed: int, rounds: int = 4) -> DataFrame:
+    """``(node_id, label, part)``: connected parts of each community, put together from single nodes.
+
+    In each round a coin decides for every part whether it stays or its node may move. Only single nodes move, to a part of their own
+    community that stays, is linked to them and adds to modularity; so parts are connected.
+    """
+    both = _both_ways(level)
+    strength = both.groupBy("node_id").agg(F.sum("w").alias("k"))
+    total = strength.agg(F.sum("k")).first()[0]
+    state = materialized(strength.join(labels, "node_id").withColumn("part", F.col("node_id")))
+    side = lambda name: labels.select(F.col("node_id").alias(name), F.col("label").alias(f"__{name}"))
+    within = both.where("node_id <> other").join(side("node_id"), "node_id").join(side("other"), "other")
+    within = materialized(within.where("__node_id = __other").select("node_id", "other", "w"))
+    for turn in range(rounds):
+        stays = F.pmod(F.xxhash64("part", F.lit(seed * 10_000 + turn)), F.lit(2)) == 0
+        parts = state.groupBy("part").agg(F.sum("k").alias("mass"), F.count(F.lit(1)).alias("n")).withColumn("stays", stays)
+        free = state.join(parts.where("n = 1 AND NOT stays").select("part"), "part", "left_semi").select("node_id", "k")
+        near = within.join(free, "node_id").join(state.select(F.col("node_id").alias("other"), "part"), "other")
+        options = near.groupBy("node_id", "part").agg(F.max("k").alias("k"), F.sum("w").alias("w")).join(parts.where("stays"), "part")
+        gain = F.col("w") - F.lit(resolution) * F.col("k") * F.col("mass") / F.lit(total)
+        best = options.withColumn("gain", gain).where("gain > 0").groupBy("node_id").agg(F.max(F.struct("gain", (-F.col("part")).alias("minus"))).alias("best"))
+        target = best.select("node_id", (-F.col("best.minus")).alias("__part"))
+        state = materialized(state.join(target, "node_id", "left").select("node_id", "k", "label", F.coalesce("__part", "part").alias("part")))
+    return state.select("node_id", "label", "part")
 
 
 def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -118,6 +118,21 @@ def test_leiden_level_ends_when_no_node_gains(spark):
     assert len(set(label.values())) < len(label)
 
 
+def test_leiden_communities_are_connected_and_stable(spark):
+    """On a random network with weights: no community falls apart, no node gains by a move, and refined parts are connected."""
+    pairs = random_pairs(12, 50, 0.15)
+    scores = [1.0 + (a * 7 + b * 3) % 5 for a, b in pairs]
+    nodes, edges = frames(spark, 52, pairs, scores)
+    labels = graph.leiden_labels(nodes, edges)
+    assert graph.split_communities(edges, labels).isEmpty()
+    assert graph.move_gains(edges, labels).where("gain > 1e-6").isEmpty()
+    level = edges.select("i", "j", F.col("score").cast("double").alias("w"))
+    one = nodes.select("node_id", F.lit(0).cast("long").alias("label"))
+    parts = graph._refined(level, one, 1.0, 3)
+    assert graph.split_communities(edges, parts.select("node_id", F.col("part").alias("label"))).isEmpty()
+    assert 1 < parts.select("part").distinct().count() < 50
+
+
 def test_subclusters_replace_older_groups(spark):
     pairs = list(itertools.combinations(range(4), 2)) + list(itertools.combinations(range(4, 9), 2)) + [(3, 4)]
     nodes, edges = frames(spark, 10, pairs)
