@@ -245,11 +245,11 @@ def leiden_labels(
     linked = materialized(endpoints(links).select("node_id").distinct())
     count_ = linked.count()
     members, level, start = linked.withColumn("part", F.col("node_id")), links, None
-    for depth in count():
-        moved = _local_moves(level, resolution, seed + depth, max_rounds, 0, start)
+    while True:
+        moved = _local_moves(level, resolution, seed, max_rounds, 0, start)
         if moved is None:
             break
-        parts = materialized(_refined(level, moved, resolution, seed + depth))
+        parts = materialized(_refined(level, moved, resolution, seed))
         found, fewer = parts.count(), parts.select("part").distinct().count()
         start = materialized(parts.groupBy("part").agg(F.min("label").alias("label")).withColumnRenamed("part", "node_id"))
         finer = parts.select(F.col("node_id").alias("part"), F.col("part").alias("__part"))
@@ -312,7 +312,8 @@ def _local_moves(
     # The strength travels with every edge, so no round has to look it up again.
     outer = materialized(both.where("node_id <> other").join(strength, "node_id"))
     begun = strength.withColumn("label", F.col("node_id")) if start is None else strength.join(start, "node_id")
-    state, active = begun.withColumn("inside", F.lit(0.0)), None
+    # Draws follow from the ones before, so that all rounds have the same compiled plan.
+    state, active = begun.withColumns({"inside": F.lit(0.0), "draw": F.xxhash64("node_id", F.lit(seed))}), None
     share, best_so_far, kept = MOVING, None, None
     for turn in range(max_rounds + max_settling):
         found, totals = materialized_with(
@@ -326,12 +327,12 @@ def _local_moves(
             if not totals["wants"]:
                 if active is None:
                     break
-                state, active = kept.select("node_id", "k", F.col("home").alias("label"), "inside"), None
+                state, active = kept.select("node_id", "k", F.col("home").alias("label"), "inside", "draw"), None
                 continue
-        drawn = F.pmod(F.xxhash64("node_id", F.lit(seed * 10_000 + turn)), F.lit(1 << 20)) < int(share * (1 << 20))
+        drawn = F.pmod("draw", F.lit(1 << 20)) < int(share * (1 << 20))
         decided = kept.withColumn("moved", F.col("may_move") & drawn)
         label = F.when(F.col("moved"), F.col("target")).otherwise(F.col("home"))
-        state = decided.select("node_id", "k", label.alias("label"), "inside")
+        state = decided.select("node_id", "k", label.alias("label"), "inside", "draw")
         moved = decided.where("moved").select(F.col("node_id").alias("other"))
         near = outer.join(moved, "other", "left_semi").select("node_id")
         active = near.unionByName(decided.where("wants").select("node_id")).distinct()
@@ -378,6 +379,7 @@ def _choices(outer: DataFrame, state: DataFrame, active: DataFrame | None, resol
         "node_id", "k", F.col("label").alias("home"), inside.alias("inside"), F.coalesce("target", "label").alias("target"),
         F.coalesce("wants", F.lit(False)).alias("wants"), F.coalesce("may_move", F.lit(False)).alias("may_move"),
         (inside - F.lit(resolution) * F.col("k") * F.col("mass") / F.lit(total)).alias("quality"), F.coalesce("gain", F.lit(0.0)).alias("gain"),
+        F.xxhash64("node_id", "draw").alias("draw"),
     )
 
 
@@ -386,7 +388,7 @@ def move_gains(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     both = _both_ways(edges.where("i <> j").select("i", "j", F.col("score").cast("double").alias("w")))
     strength = materialized(both.groupBy("node_id").agg(F.sum("w").alias("k")))
     total = strength.agg(F.sum("k")).first()[0]
-    state = strength.join(labels, "node_id").withColumn("inside", F.lit(0.0))
+    state = strength.join(labels, "node_id").withColumns({"inside": F.lit(0.0), "draw": F.lit(0).cast("long")})
     return _choices(both.join(strength, "node_id"), state, None, resolution, total or 1.0).select("node_id", "gain")
 
 
@@ -413,7 +415,7 @@ def _refined(level: DataFrame, labels: DataFrame, resolution: float, seed: int,
     within = both.where("node_id <> other").join(side("node_id"), "node_id").join(side("other"), "other")
     within = materialized(within.where("__node_id = __other").select("node_id", "other", "w"))
     for turn in range(rounds):
-        stays = F.pmod(F.xxhash64("part", F.lit(seed * 10_000 + turn)), F.lit(2)) == 0
+        stays = F.pmod(F.xxhash64("part", F.lit(seed + turn)), F.lit(2)) == 0
         parts = state.groupBy("part").agg(F.sum("k").alias("mass"), F.count(F.lit(1)).alias("n")).withColumn("stays", stays)
         free = state.join(parts.where("n = 1 AND NOT stays").select("part"), "part", "left_semi").select("node_id", "k")
         near = within.join(free, "node_id").join(state.select(F.col("node_id").alias("other"), "part"), "other")
