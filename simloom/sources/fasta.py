@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
     Splitting at ``>`` line starts keeps reading parallel within one file. The order of a record
     is its file, split and row within the split; splits are bounded, so numbering them in
-    buckets never gathers a file in one task.
+    buckets never gathers a file in one task. Lines may end in LF, CR LF or CR; a file with CR alone has
+    nothing to split at and is read by one task. A header is its line without the ``>`` and without white space at its end.
     """
     raw = spark.read.text(path, lineSep="\n>").select(
         F.col("_metadata.file_path").alias("file"),
@@ -37,11 +40,11 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     opened = F.when(
         (F.col("block") == 0) & (F.col("place") == F.col("first_place")), F.regexp_replace("value", "^\ufeff", "")
     ).otherwise(F.concat(F.lit(">"), F.col("value")))
-    chunks = F.split(opened, rf"(?m)^{UNICODE_SPACE}*>")
+    chunks = F.split(F.regexp_replace(opened, "\r\n?", "\n"), rf"(?m)^{UNICODE_SPACE}*>")
     records = raw.select(
         "file", "block", "place", F.posexplode(F.slice(chunks, F.lit(2), F.size(chunks))).alias("part", "record")
     )
-    header = stripped(F.split_part("record", F.lit("\n"), F.lit(1)))
+    header = F.regexp_replace(F.split_part("record", F.lit("\n"), F.lit(1)), rf"{UNICODE_SPACE}+$", "")
     body = F.regexp_extract("record", r"(?s)^[^\n]*\n(.*)$", 1)
     parsed = records.select("file", "block", "place", "part", header.alias("header"), joined_lines(body).alias("sequence"))
     return dense_index(
@@ -100,11 +103,28 @@ def fasta_lines(records: DataFrame) -> DataFrame:
 
 
 def write_fasta(records: DataFrame, path: str, refuse_empty: bool = False) -> None:
-    """Write records in ``ord`` order as FASTA part files; the job commit publishes them at once."""
+    """Write records in ``ord`` order as FASTA part files.
+
+    They are written beside the target, which is replaced only once all of them are there: a failed run leaves the old files as they were.
+    """
     if refuse_empty and records.isEmpty():
         raise ValueError("refusing to write an empty FASTA")
     ordered = records.orderBy("ord") if "ord" in records.columns else records
-    fasta_lines(ordered).write.mode("overwrite").text(path)
+    token = uuid.uuid4().hex
+    staged, old = f"{path.rstrip('/')}.{token}.new", f"{path.rstrip('/')}.{token}.old"
+    fasta_lines(ordered).write.text(staged)
+    session = records.sparkSession
+    target, staged, old = (session._jvm.org.apache.hadoop.fs.Path(name) for name in (path, staged, old))
+    files = target.getFileSystem(session._jsc.hadoopConfiguration())
+    replaced = files.exists(target)
+    if replaced and not files.rename(target, old):
+        raise OSError(f"cannot replace {path}")
+    if not files.rename(staged, target):
+        if replaced:
+            files.rename(old, target)
+        raise OSError(f"cannot publish {path}")
+    if replaced:
+        files.delete(old, True)
 
 
 def numbered_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:

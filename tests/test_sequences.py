@@ -89,6 +89,36 @@ def test_sanitized_records_and_counters(spark):
     assert counters["final_records"] == 3
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_fasta_line_ends_and_headers(spark, tmp_path, end):
+    """Any line end; a header keeps what follows its first ``>``, but for white space at the end."""
+    path = tmp_path / "ends.fasta"
+    lines = ["stray", ">one two \t", "AC", "", " DE ", "> spaced", "K", "  >indented", ">>double", "LL"]
+    path.write_bytes(b"\xef\xbb\xbf" + end.join(lines).encode())
+    records = fasta.read_fasta(spark, str(path)).orderBy("ord").collect()
+    expected, current = [], None
+    for line in "\n".join(lines).split("\n"):
+        line = line.strip()
+        if line.startswith(">"):
+            current = [line[1:], ""]
+            expected.append(current)
+        elif current is not None:
+            current[1] += line
+    assert [[r["header"], r["sequence"]] for r in records] == expected
+
+
+def test_failed_write_keeps_the_old_files(spark, tmp_path):
+    out = str(tmp_path / "kept")
+    fasta.write_fasta(spark.createDataFrame([(0, "a", "AC")], "ord BIGINT, header STRING, sequence STRING"), out)
+    broken = spark.createDataFrame([(0, "b", "K")], "ord BIGINT, header STRING, sequence STRING")
+    broken = broken.withColumn("sequence", F.when(F.col("ord") == 0, F.raise_error(F.lit("no"))).otherwise(F.col("sequence")))
+    with pytest.raises(Exception):
+        fasta.write_fasta(broken, out)
+    assert [r["header"] for r in fasta.read_fasta(spark, out + "/*.txt").collect()] == ["a"]
+    fasta.write_fasta(spark.createDataFrame([(0, "c", "K")], "ord BIGINT, header STRING, sequence STRING"), out)
+    assert [r["header"] for r in fasta.read_fasta(spark, out + "/*.txt").collect()] == ["c"]
+
+
 def test_fasta_round_trip(spark, tmp_path):
     path = tmp_path / "in.fasta"
     path.write_bytes(b"\xef\xbb\xbfjunk\n>one > x \r\nAC\r\n\r\n  DE \n>two\nK\n >three\nLL\n")
