@@ -55,8 +55,8 @@ def held_out(id_column: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _places(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Distinct ``text number << BITS | place`` of every gram of a stretch of words."""
+def _places(words: np.ndarray, owner: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+    """Distinct ``text number << BITS | place`` of every gram of a stretch of words, or of those at ``wanted`` places."""
     shift = np.uint64(64 - BITS)
     found = [owner << BITS | (mix(words) >> shift).astype(np.int64)]
     for gap, salt in ((1, 0xD6E8FEB86659FD93), (2, 0xA0761D6478BD642F)):
@@ -64,11 +64,13 @@ def _places(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
             same = owner[gap:] == owner[:-gap]
             pairs = mix(words[:-gap][same] * np.uint64(salt) + words[gap:][same])
             found.append(owner[gap:][same] << BITS | (pairs >> shift).astype(np.int64))
+    if wanted is not None:  # far fewer are left to sort
+        found = [part[wanted[part & ((1 << BITS) - 1)]] for part in found]
     return np.unique(np.concatenate(found))
 
 
-def gram_places(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """``(text number, place)`` of every gram of every text, each once, sorted.
+def gram_places(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``(text number, place)`` of every gram of every text, each once, sorted; with ``wanted`` (a flag for each place) of grams at these places only.
 
     Words are taken ``STRETCH`` at a time, and a stretch begins with the last two words of the one before, so a very long text needs
     memory for its words and its places only.
@@ -78,7 +80,7 @@ def gram_places(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(0, np.int64)
     for k in range(0, len(words), STRETCH):
         part = slice(max(k - 2, 0), k + STRETCH)
-        found = _places(words[part], owner[part])
+        found = _places(words[part], owner[part], wanted)
         out = np.union1d(out, found) if len(out) else found
     return out >> BITS, out & ((1 << BITS) - 1)
 
@@ -165,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
 
 def scores(texts: list[str | None], dense: np.ndarray, bias: float) -> np.ndarray:
     """Probability of each text; every gram counts once however often it occurs."""
-    owner, place = gram_places(texts)
+    owner, place = gram_places(texts, dense != 0)
     total = np.bincount(owner, dense[place], len(texts))
     return sigmoid(total + bias)
 
