@@ -84,14 +84,15 @@ def _common_neighbours(plain: DataFrame, degree: DataFrame) -> DataFrame:
         degree.withColumnRenamed("node_id", "j").withColumnRenamed("degree", "dj"), "j"
     )
     forward = F.struct("di", "i") < F.struct("dj", "j")
-    out = materialized(
-        ranked.select(
-            F.when(forward, F.col("i")).otherwise(F.col("j")).alias("a"),
-            F.when(forward, F.col("j")).otherwise(F.col("i")).alias("b"),
-        )
-    )
-    wedges = out.join(out.withColumnRenamed("b", "c"), "a").where("b < c")
-    closed = wedges.join(plain.withColumnsRenamed({"i": "b", "j": "c"}), ["b", "c"], "left_semi")
+    end = lambda i, j, di, dj: F.struct(F.when(forward, dj).otherwise(di).alias("degree"), F.when(forward, j).otherwise(i).alias("b"))
+    directed = ranked.select(F.when(forward, F.col("i")).otherwise(F.col("j")).alias("a"), end(*map(F.col, ("i", "j", "di", "dj"))).alias("to"))
+    # The ends of a node in rising order of degree: of two of them that are linked, the first one has the second among its own.
+    out = materialized(directed.groupBy("a").agg(F.sort_array(F.collect_list("to")).alias("to")).select("a", F.col("to.b").alias("ends")))
+    # The wedges of an edge travel as one list, to the one place where all that could close them is known.
+    following = out.select("a", "ends", F.posexplode("ends").alias("at", "b")).where(F.col("at") < F.size("ends") - 1)
+    wedges = following.select("a", "b", F.slice("ends", F.col("at") + 2, F.size("ends")).alias("rest"))
+    closed = wedges.join(out.withColumnsRenamed({"a": "b", "ends": "own"}), "b")
+    closed = closed.select("a", "b", F.explode(F.array_intersect("rest", "own")).alias("c"))
     sides = F.array(*[F.struct(F.least(x, y).alias("i"), F.greatest(x, y).alias("j")) for x, y in ("ab", "ac", "bc")])
     return closed.select(F.inline(sides)).groupBy("i", "j").agg(F.count(F.lit(1)).alias("common"))
 
@@ -100,17 +101,24 @@ def with_jaccard(edges: DataFrame) -> DataFrame:
     """Distinct edges with the Jaccard index of their endpoints' neighbour sets."""
     plain = _plain(edges)
     degree = materialized(degrees(plain))
-    counted = (
-        plain.join(_common_neighbours(plain, degree), ["i", "j"], "left")
-        .join(degree.withColumnsRenamed({"node_id": "i", "degree": "di"}), "i")
-        .join(degree.withColumnsRenamed({"node_id": "j", "degree": "dj"}), "j")
+    return _jaccard(plain.join(_common_neighbours(plain, degree), ["i", "j"], "left"), degree)
+
+
+def _jaccard(counted: DataFrame, degree: DataFrame) -> DataFrame:
+    counted = counted.join(degree.withColumnsRenamed({"node_id": "i", "degree": "di"}), "i").join(
+        degree.withColumnsRenamed({"node_id": "j", "degree": "dj"}), "j"
     )
     common = F.coalesce("common", F.lit(0))
     return counted.select("i", "j", (common / (F.col("di") + F.col("dj") - common)).alias("jaccard"))
 
 
 def jaccard_edges(edges: DataFrame, threshold: float) -> DataFrame:
-    return with_jaccard(edges).where(F.col("jaccard") >= threshold)
+    """:func:`with_jaccard` from a threshold on; above zero only edges of triangles can reach it."""
+    if threshold <= 0:
+        return with_jaccard(edges).where(F.col("jaccard") >= threshold)
+    plain = _plain(edges)
+    degree = materialized(degrees(plain))
+    return _jaccard(_common_neighbours(plain, degree), degree).where(F.col("jaccard") >= threshold)
 
 
 # -- numbering ---------------------------------------------------------------------------------

@@ -51,6 +51,16 @@ def test_jaccard_counts_every_triangle_once(spark):
         assert value == pytest.approx(len(near[a] & near[b]) / len(near[a] | near[b]))
 
 
+def test_wedges_travel_as_lists(spark):
+    pairs = random_pairs(4, 40, 0.3) + [(50, k) for k in range(40)]
+    nodes, edges = frames(spark, 51, pairs)
+    every = {(r["i"], r["j"]): r["jaccard"] for r in graph.with_jaccard(edges).collect()}
+    got = {(r["i"], r["j"]): r["jaccard"] for r in graph.jaccard_edges(edges, 0.1).collect()}
+    assert got == {k: v for k, v in every.items() if v >= 0.1} and 0 < len(got) < len(every)
+    plan = graph.common_neighbours(edges)._jdf.queryExecution().executedPlan().toString()
+    assert "array_intersect" in plan and "LeftSemi" not in plan
+
+
 @pytest.mark.parametrize(
     "labels, expected",
     [
