@@ -100,6 +100,20 @@ def test_markov_clusters(spark):
     assert {frozenset(g) for g in groups.values()} == dense_mcl(13, pairs, scores, 2.0)
 
 
+def test_markov_products_are_dealt_once(spark, monkeypatch):
+    plans = []
+
+    def kept(df, written=graph.materialized):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return written(df)
+
+    monkeypatch.setattr(graph, "materialized", kept)
+    nodes, edges = frames(spark, 12, random_pairs(5, 12, 0.4))
+    graph.mcl_labels(nodes, edges, 2.0)
+    squares = [p for p in plans if "Window" in p]
+    assert squares and all(p.count("Exchange hashpartitioning(j") == 1 and "hashpartitioning(i" not in p for p in squares)
+
+
 def test_leiden_invariants(spark):
     cliques = [range(0, 6), range(6, 12), range(12, 17)]
     pairs = [p for c in cliques for p in itertools.combinations(c, 2)] + [(5, 6), (11, 12)]
