@@ -46,6 +46,6 @@ def test_stages_handle_empty_and_odd_tables(spark, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and corpus_pipeline.ORACLE_SQL is None
     assert all((decontaminate, exact_dedup, near_dedup, toxicity))
