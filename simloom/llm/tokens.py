@@ -1,8 +1,8 @@
 """Token ids of whole texts, exact as the tokenizer library gives them, with words encoded once per task.
 
 The tokenizer lower-cases, drops white space and encodes runs of letters, single digits and runs of marks each by itself. So the ids
-of a text are those of its runs, one after the other, and each worker keeps the ids of runs it has met as bytes. Texts of common Latin
-characters are cut into runs here; any other text (combining marks, other scripts, strings that look like special tokens) goes to the library whole.
+of a text are those of its runs, one after the other, and each worker keeps the ids of runs, and of what it has met between white space, as bytes. Texts of
+common Latin characters are cut into runs here; any other text (combining marks, other scripts, strings that look like special tokens) goes to the library whole.
 """
 
 from __future__ import annotations
@@ -53,17 +53,28 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         texts = [text or "" for text in texts]
         common = [bool(COMMON.fullmatch(text)) and "<|" not in text for text in texts]
-        split = [RUN.findall(text.lower()) for text, plain in zip(texts, common) if plain]
-        wanted = set(chain.from_iterable(split))
+        # No run holds white space: what stands between it is looked up at once, and cut into runs only where it is new.
+        split = [text.lower().split() for text, plain in zip(texts, common) if plain]
         if len(self.runs) > KNOWN_RUNS:
             self.runs = {}
-        missing = list(wanted.difference(self.runs))
-        self._learn(missing)
-        look = self.runs.__getitem__
-        plain_ids = iter([b"".join(map(look, runs)) for runs in split])
-        for run in missing:
-            if len(run) > LONG_RUN:
-                del self.runs[run]
+        look, plain_ids, new = self.runs.__getitem__, [], []
+        for k, words in enumerate(split):
+            try:
+                plain_ids.append(b"".join(map(look, words)))
+            except KeyError:
+                plain_ids.append(b"")
+                new.append(k)
+        missing = set(chain.from_iterable(split[k] for k in new)).difference(self.runs)
+        cut = {word: RUN.findall(word) for word in missing if not word.isalpha()}
+        runs = missing.difference(cut).union(*cut.values()).difference(self.runs)
+        self._learn(list(runs))
+        self.runs.update([(word, b"".join(map(look, parts))) for word, parts in cut.items()])
+        for k in new:
+            plain_ids[k] = b"".join(map(look, split[k]))
+        for word in runs.union(cut):
+            if len(word) > LONG_RUN:
+                del self.runs[word]
+        plain_ids = iter(plain_ids)
         other_ids = iter(self.whole([text for text, plain in zip(texts, common) if not plain]))
         return [next(plain_ids if plain else other_ids) for plain in common]
 

@@ -6,10 +6,10 @@ import pytest
 from tokenizers import Tokenizer
 
 from llm.helpers import awkward
-from simloom.llm import token_files
+from simloom.llm import token_files, tokens
 from simloom.llm.prefix_counts import PrefixCounter, longest_within, prefix_counts, tokens_at
 from simloom.llm.shared import new_folder, open_store
-from simloom.llm.tokens import WordEncoder
+from simloom.llm.tokens import RUN, WordEncoder
 
 SPECIAL = ["<|endoftext|> a<|startoftext|>b", "it's DON'T we'll", "x" * 500, "é", "a\x1cb\x85c", "", "<s> <0x0A>▁a", "ẞß K Å"]
 
@@ -31,6 +31,23 @@ def test_words_equal_the_library(words_file):
     assert own.encode([None]) == [b""]
 
 
+def test_known_words_are_not_cut_again(words_file, monkeypatch):
+    own, cut = WordEncoder(words_file), []
+
+    class Counting:
+        def findall(self, text):
+            cut.append(text)
+            return RUN.findall(text)
+
+    monkeypatch.setattr(tokens, "RUN", Counting())
+    batch = ["It's 2019, they'll say: don't!", "say it's  2019,\n(don't)", "x" * 500 + " y-" * 3]
+    first = own.encode(batch)
+    assert cut and own.encode(batch[:2]) == first[:2]
+    before = len(cut)
+    assert own.encode(batch) == first and len(cut) == before
+    assert max(map(len, own.runs)) <= tokens.LONG_RUN
+
+
 def test_prefix_counts_equal_the_library(pieces_file):
     import sentencepiece
 
