@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simloom.llm.shared import map_rows, materialized, slices_of
+from simloom.llm.shared import map_rows, materialized, release, slices_of
 from simloom.llm.words import hash_words, mix
 
 BITS = 20
@@ -107,9 +107,13 @@ class Ftrl:
         self.n[at] = n + gradient * gradient
 
     def model(self) -> Weights:
-        w = self.weights(np.arange((1 << BITS) + 1))
-        places = np.flatnonzero(w[:-1])
-        return Weights(places.astype(np.int32), w[places].astype(np.float32), float(w[-1]))
+        places, values = [], []
+        for k in range(0, 1 << BITS, 1 << 16):
+            w = self.weights(np.arange(k, min(k + (1 << 16), 1 << BITS)))
+            at = np.flatnonzero(w)
+            places.append((at + k).astype(np.int32))
+            values.append(w[at].astype(np.float32))
+        return Weights(np.concatenate(places), np.concatenate(values), float(self.weights(np.array([1 << BITS]))[0]))
 
 
 def sigmoid(x):
@@ -203,5 +207,6 @@ def without_toxic(docs: DataFrame, weights: Weights, threshold: float = THRESHOL
         for batch in batches:
             for part in slices_of(batch):
                 yield part.filter(pa.array(scores(part.column(column).to_pylist(), dense, model.bias) < threshold))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

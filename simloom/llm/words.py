@@ -10,7 +10,8 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 21
+# A chunk's arrays take some 40 bytes for each of its own.
+CHUNK_BYTES = 1 << 18
 
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True

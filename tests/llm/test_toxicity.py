@@ -111,3 +111,23 @@ def test_long_texts_by_stretches(monkeypatch):
     whole = [x.tolist() for x in gram_places([text, "vile cloud", text[:50]])]
     monkeypatch.setattr(toxicity, "STRETCH", 64)
     assert [x.tolist() for x in gram_places([text, "vile cloud", text[:50]])] == whole
+
+
+def test_memory_of_a_task(monkeypatch):
+    import tracemalloc
+
+    from simloom.llm import words
+
+    def peak(work):
+        tracemalloc.start()
+        work()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    monkeypatch.setattr(words, "_powers", {})
+    text = "word and other " * 70_000  # about a megabyte, as much as a slice has
+    assert peak(lambda: words.hash_words([text])) < 40 << 20
+    state = Ftrl(Settings())
+    state.learn(np.arange(0, 1 << BITS, 5000), 1)
+    assert peak(state.model) < 20 << 20
