@@ -114,6 +114,21 @@ def test_markov_products_are_dealt_once(spark, monkeypatch):
     assert squares and all(p.count("Exchange hashpartitioning(j") == 1 and "hashpartitioning(i" not in p for p in squares)
 
 
+def test_markov_columns_in_parts_give_the_same_clusters(spark, monkeypatch):
+    nodes, edges = frames(spark, 14, random_pairs(5, 12, 0.4), [1.0 + k % 4 for k in range(66)])
+    whole = sorted(map(tuple, graph.mcl_labels(nodes, edges, 2.0).collect()))
+    parts = []
+
+    def counted(matrix, found=graph._column_parts):
+        parts.append(found(matrix))
+        return parts[-1]
+
+    monkeypatch.setattr(graph, "PRODUCTS", 250)
+    monkeypatch.setattr(graph, "_column_parts", counted)
+    assert sorted(map(tuple, graph.mcl_labels(nodes, edges, 2.0).collect())) == whole
+    assert parts[0] > 1
+
+
 def test_leiden_invariants(spark):
     cliques = [range(0, 6), range(6, 12), range(12, 17)]
     pairs = [p for c in cliques for p in itertools.combinations(c, 2)] + [(5, 6), (11, 12)]
