@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from simloom.functions import communities
 from simloom.operators import graph, layout, metadata, network
 
 
@@ -172,6 +173,28 @@ def test_leiden_communities_are_connected_and_stable(spark):
     assert 1 < parts.select("part").distinct().count() < 50
 
 
+def test_hashes_are_those_of_spark(spark):
+    ids = [0, 1, -5, 7, 1 << 40, -(1 << 62)]
+    df = spark.createDataFrame([(x,) for x in ids], "id BIGINT").withColumn("one", F.xxhash64("id", F.lit(42)))
+    want = [tuple(r)[1:] for r in df.withColumn("two", F.xxhash64("id", "one")).collect()]
+    first = communities.hashed_int(42, communities.hashed(np.array(ids)))
+    second = communities.hashed(first.view(np.int64), communities.hashed(np.array(ids)))
+    assert list(zip(first.view(np.int64).tolist(), second.view(np.int64).tolist())) == want
+
+
+def test_leiden_in_one_task_is_that_of_the_joins(spark, monkeypatch):
+    pairs = random_pairs(21, 36, 0.12)
+    nodes, edges = frames(spark, 38, pairs, [1.0 + (a * 5 + b) % 4 for a, b in pairs])
+    jobs, found = [], []
+    moves = graph._local_moves
+    monkeypatch.setattr(graph, "_local_moves", lambda *given: jobs.append(1) or moves(*given))
+    for most in (graph.IN_ONE_TASK, len(pairs) - 1, 0):
+        monkeypatch.setattr(graph, "IN_ONE_TASK", most)
+        found.append((sorted(map(tuple, graph.leiden_labels(nodes, edges).collect())), len(jobs)))
+    assert found[0][0] == found[1][0] == found[2][0]
+    assert 0 == found[0][1] < found[1][1]
+
+
 def test_subclusters_replace_older_groups(spark):
     pairs = list(itertools.combinations(range(4), 2)) + list(itertools.combinations(range(4, 9), 2)) + [(3, 4)]
     nodes, edges = frames(spark, 10, pairs)
