@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simloom.plans.runtime import configure, materialized, scratch_folder
+from simloom.plans.runtime import configure, discard, materialized, scratch_folder
 
 __all__ = ["configure", "discard", "map_rows", "materialized", "new_folder", "open_store", "release", "slices_of", "table"]
 
@@ -41,14 +41,6 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table made by ``materialized`` once nothing will read it again."""
-    session = df.sparkSession
-    for folder in {path.rsplit("/", 1)[0] for path in df.inputFiles()}:
-        path = session._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def slices_of(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of at most ``rows`` rows, cut where their texts exceed ``SLICE_BYTES``; a longer text is a slice of its own."""
     size = np.zeros(batch.num_rows, np.int64)
